@@ -21,7 +21,7 @@ def bandwidth(x: str, n: str) -> Column:
     mean_x = F.sum(F.col(n) * F.col(x)) / total
     var = F.try_divide(F.sum(F.col(n) * F.col(x) * F.col(x)) - total * mean_x * mean_x, total - 1)
     sd = F.sqrt(F.greatest(var, F.lit(0.0)))
-    iqr = (F.percentile(x, 0.75, n) - F.percentile(x, 0.25, n)) / 1.34
+    iqr = (F.percentile(x, 0.75, F.col(n)) - F.percentile(x, 0.25, F.col(n))) / 1.34
     low = F.least(sd, iqr)
     spread = F.when(low > 0, low).when(sd > 0, sd).otherwise(F.coalesce(F.nullif(F.abs(F.min(x)), F.lit(0.0)), F.lit(1.0)))
     return 0.9 * spread * F.pow(total, F.lit(-0.2))
