@@ -135,7 +135,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = t.raw("customer").withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("MACHINERY")))
     path = sinks.write_csv(rows, new_path(t.spark, "customer"))
-    return tables.read_csv(t.spark, path, rows.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    return tables.read_csv(t.spark, path, rows.schema)
 
 
 @plan("s7_paired_sink", "S7 S8 S9", "SELECT conv_id, turn, role, text FROM conversations")

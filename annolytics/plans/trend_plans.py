@@ -36,9 +36,9 @@ def _density_out(df: DataFrame) -> DataFrame:
 
 @plan("y1_density_of_items", "Y1 A8", sql("ratings", "WITH " + density_sql("""
     SELECT CAST(year AS DOUBLE) AS x FROM ratings GROUP BY doc_id, year
-    HAVING sum(CAST(about AS DOUBLE) * confidence) / sum(CASE WHEN about IS NOT NULL THEN confidence END) > 8e-1""").strip()))
+    HAVING round(sum(CAST(about AS DOUBLE) * confidence) / sum(CASE WHEN about IS NOT NULL THEN confidence END), 9) > 8e-1""").strip()))
 def _(t: Tables) -> DataFrame:
-    scored = aggregate.weighted_rates(t.ratings(), ["doc_id", "year"], "about", "confidence").where("share > 0.8")
+    scored = aggregate.weighted_rates(t.ratings(), ["doc_id", "year"], "about", "confidence").where(F.round("share", 9) > 0.8)
     return _density_out(trend.kernel_density(scored, "year", 1958.0, 2025.0, 68))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from annolytics.operators.annotate import RATER_SCHEMA
 from annolytics.operators.reshape import rename_snake
@@ -33,7 +34,7 @@ LIST_PRICES = [
 ]
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
     """CSV with a header; names normalised. Without a schema the types are inferred (small files only)."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
