@@ -56,11 +56,11 @@ def tokens(cleaned: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Blank-joined runs of ``n`` neighbouring words."""
-    if n == 1:
-        return words
-    last = F.size(words) - (n - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    out = words
+    for k in range(2, n + 1):
+        later = F.slice(words, F.lit(k), F.greatest(F.size(words), F.lit(0)))
+        out = F.filter(F.zip_with(out, later, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
+    return out
 
 
 def table_cell(col: Column) -> Column:

@@ -1,28 +1,22 @@
 """One row per key, with the tie-break always spelt out.
 
-Built on ``min_by`` instead of ``row_number``: the aggregate combines on the map side, so a key that holds a third of
-all rows never travels to one task as a whole group.
+``row_number() = 1`` is planned with a group limit ahead of the shuffle: every task passes on one row per key it holds,
+so a key with a third of all rows never travels to one task as a whole group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nulls_last(col: str | Column) -> Column:
-    col = F.col(col) if isinstance(col, str) else col
-    return F.struct(col.isNull().alias("missing"), col.alias("value"))
-
-
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The row of each key that comes first by ``order``; give enough order columns to make it unique."""
-    rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(*[nulls_last(o).alias(f"o{i}") for i, o in enumerate(order)])
-    best = F.min_by(F.struct(*rest), rank).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*df.columns)
+    """The row of each key that comes first by ``order``, nulls last; give enough order columns to make it unique."""
+    ranks = [F.col(o).asc_nulls_last() if isinstance(o, str) else o.asc_nulls_last() for o in order]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*ranks))
+    return df.withColumn("_place", place).where(F.col("_place") <= 1).drop("_place")
 
 
 def best_scored_per_key(df: DataFrame, keys: Sequence[str], score: str, below: float, tie: Sequence[str]) -> DataFrame:

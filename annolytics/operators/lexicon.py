@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from annolytics.functions import stats, text
 from annolytics.operators.relational import salted_lookup
 from annolytics.operators.windows import top_per_group
-from annolytics.session import BROADCAST_ROWS
+from annolytics.session import BROADCAST_ROWS, spread
 
 MAX_SEEDS = 10_000
 
@@ -26,11 +26,17 @@ def grams(docs: DataFrame, id_col: str, text_col: str, longest: int = 1) -> Data
 
     The count collapses repeats inside the task that read the document.
     """
-    words = docs.select(id_col, text.tokens(text.clean_text(F.col(text_col))).alias("_words"))
+    return _runs(docs, id_col, text_col, longest).groupBy(id_col, "tokens", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _runs(docs: DataFrame, id_col: str, text_col: str, longest: int) -> DataFrame:
+    """(id, tokens, term), one row per run of words."""
+    words = spread(docs.select(id_col, text_col), id_col).select(
+        id_col, text.tokens(text.clean_text(F.col(text_col))).alias("_words")
+    )
     runs = [text.ngrams(F.col("_words"), n) for n in range(1, longest + 1)]
     terms = runs[0] if longest == 1 else F.concat(*runs)
-    exploded = words.select(id_col, F.size("_words").alias("tokens"), F.explode(terms).alias("term"))
-    return exploded.groupBy(id_col, "tokens", "term").agg(F.count(F.lit(1)).alias("n"))
+    return words.select(id_col, F.size("_words").alias("tokens"), F.explode(terms).alias("term"))
 
 
 def category_scores(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, longest: int = 1) -> DataFrame:
@@ -41,12 +47,8 @@ def category_scores(docs: DataFrame, id_col: str, text_col: str, lexicon: DataFr
     """
     pairs = lexicon.where(F.col("term").isNotNull()).select("category", "term").distinct()
     small = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    words = docs.select(id_col, text.tokens(text.clean_text(F.col(text_col))).alias("_words"))
-    runs = [text.ngrams(F.col("_words"), n) for n in range(1, longest + 1)]
-    terms = runs[0] if longest == 1 else F.concat(*runs)
     if small:
-        exploded = words.select(id_col, F.size("_words").alias("tokens"), F.explode(terms).alias("term"))
-        hits = exploded.join(F.broadcast(pairs), "term").withColumn("n", F.lit(1))
+        hits = _runs(docs, id_col, text_col, longest).join(F.broadcast(pairs), "term").withColumn("n", F.lit(1))
     else:
         hits = grams(docs, id_col, text_col, longest).join(pairs, "term")
     return hits.groupBy(id_col, "category").agg(

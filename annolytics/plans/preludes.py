@@ -53,11 +53,11 @@ CTES = {
     "raw_ratings": (
         ("docs", "rules"),
         """
-        SELECT doc_id, year, lang, source, n_chars, rater, seq,
+        SELECT doc_id, year, rater, seq,
                CASE WHEN (doc_id + k) % 23 <> 0 THEN
                     CASE WHEN seq = 1 THEN density > cut ELSE NOT (density > cut) END END AS about,
                5e-1 + CAST((doc_id * 31 + k * 17) % 50 AS DOUBLE) / 1e2 AS confidence
-        FROM (SELECT doc_id, year, lang, source, n_chars,
+        FROM (SELECT doc_id, year,
                      1e2 * (CAST(length(lower(text)) - length(replace(lower(text), 'th', '')) AS DOUBLE) / 2e0)
                          / CAST(length(text) AS DOUBLE) AS density
               FROM docs) d

@@ -9,6 +9,7 @@ from annolytics.functions import text
 from annolytics.operators import aggregate, relational, reshape
 from annolytics.plans.preludes import clean, sql
 from annolytics.plans.registry import plan
+from annolytics.session import spread
 from annolytics.sources.standins import RATERS, Tables
 
 
@@ -119,7 +120,8 @@ _FLAGS_SQL = ", ".join(f"regexp_matches(c, '{p}') AS keyword_{k}" for k, p in FL
     SELECT year, keyword, round(rate, 9) AS rate
     FROM (UNPIVOT rates ON {', '.join(f'keyword_{k}' for k in FLAG_PATTERNS)} INTO NAME keyword VALUE rate)"""))
 def _(t: Tables) -> DataFrame:
-    flags = t.docs().select("year", text.clean_text(F.col("text")).alias("_c")).select(
+    docs = spread(t.docs().select("doc_id", "year", "text"), "doc_id")
+    flags = docs.select("year", text.clean_text(F.col("text")).alias("_c")).select(
         "year", *text.keyword_flags(F.col("_c"), FLAG_PATTERNS)
     )
     out = aggregate.flag_rates_long(flags, ["year"], [f"keyword_{k}" for k in FLAG_PATTERNS])

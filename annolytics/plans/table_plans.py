@@ -122,11 +122,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @plan("j9_tagged_union", "J9", sql("human ratings", """
-    SELECT doc_id, coder AS rater, is_political = 1 AS about, 'human' AS kind, NULL::VARCHAR AS lang FROM human
-    UNION ALL SELECT doc_id, rater, about, 'model', lang FROM ratings WHERE doc_id IN (SELECT doc_id FROM human)"""))
+    SELECT doc_id, coder AS rater, is_political = 1 AS about, 'human' AS kind, NULL::DOUBLE AS confidence FROM human
+    UNION ALL SELECT doc_id, rater, about, 'model', confidence FROM ratings WHERE doc_id IN (SELECT doc_id FROM human)"""))
 def _(t: Tables) -> DataFrame:
     human = t.human().select("doc_id", F.col("coder").alias("rater"), (F.col("is_political") == 1).alias("about"))
-    model = relational.keep_keys(t.ratings().select("doc_id", "rater", "about", "lang"), t.raw("labels"), ["doc_id"])
+    model = relational.keep_keys(t.ratings().select("doc_id", "rater", "about", "confidence"), t.raw("labels"), ["doc_id"])
     return relational.union_tagged({"human": human, "model": model}, "kind")
 
 

@@ -11,6 +11,7 @@ from annolytics.operators import aggregate, annotate, relational, reshape
 from annolytics.plans.preludes import clean, join_key, match, sql, words
 from annolytics.plans.registry import plan
 from annolytics.plans.rollup_plans import FLAG_PATTERNS
+from annolytics.session import spread
 from annolytics.sources.standins import CODERS, RATERS, Tables
 
 
@@ -113,7 +114,8 @@ PAGE_SPEC = PageSpec(
 
 @plan("t11_page_text", "T11 T12")
 def _(t: Tables) -> DataFrame:
-    out = t.raw("pages").select("page_id", page_text(F.col("html"), PAGE_SPEC).alias("body"))
+    pages = spread(t.raw("pages").select("page_id", "html"), "page_id")
+    out = pages.select("page_id", page_text(F.col("html"), PAGE_SPEC).alias("body"))
     status = F.when(F.col("body").isNull(), "lyrics_not_found").otherwise("ok")
     return out.select("page_id", F.length("body").alias("n_chars"), text.digest(F.col("body")).alias("digest"), status.alias("status"))
 

@@ -60,6 +60,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy work on few, large input splits a task per core; inputs with enough splits pass untouched.
+
+    Rows are hashed by ``key``, so a later grouping on it needs no further shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after a count, cut off at the bound, proves ``df`` small."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from annolytics.functions import text
 from annolytics.operators.dedupe import first_per_key
 from annolytics.operators.relational import cross_with_dimension
+from annolytics.session import spread
 
 # Fixed values of the rule raters: a document is "about" when its count of "th" per 100 characters is above the cut.
 RATER_CUTS = [
@@ -71,7 +72,7 @@ class Tables:
         lower = F.lower("text")
         hits = (F.length(lower) - F.length(F.replace(lower, F.lit("th"), F.lit("")))) / 2.0
         docs = self.docs().select(
-            "doc_id", "year", "lang", "source", "n_chars", (F.lit(100.0) * hits / F.length("text").cast("double")).alias("density")
+            "doc_id", "year", (F.lit(100.0) * hits / F.length("text").cast("double")).alias("density")
         )
         rules = [{"rater": r, "k": k, "cut": c} for r, k, c in RATER_CUTS]
         crossed = cross_with_dimension(docs, rules, "rater string, k int, cut double")
@@ -79,8 +80,7 @@ class Tables:
         confidence = 0.5 + ((F.col("doc_id") * 31 + F.col("k") * 17) % 50).cast("double") / 100.0
         copies = F.when(F.col("doc_id") % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
         rated = crossed.select(
-            "doc_id", "year", "lang", "source", "n_chars", "rater", F.explode(copies).alias("seq"), about.alias("_about"),
-            confidence.alias("confidence"),
+            "doc_id", "year", "rater", F.explode(copies).alias("seq"), about.alias("_about"), confidence.alias("confidence")
         )
         flipped = F.when(F.col("seq") == 1, F.col("_about")).otherwise(~F.col("_about"))
         return rated.withColumn("about", flipped).drop("_about")
@@ -100,9 +100,10 @@ class Tables:
 
     def themes(self) -> DataFrame:
         """(doc_id, year, rater, themes): up to four categories whose word is frequent enough for the rater."""
-        words = F.split(text.clean_text(F.col("text")), " ")
-        counts = F.array(*[_occurrences(F.col("_w"), w) for _, w in CATEGORY_WORDS])
-        docs = self.docs().select("doc_id", "year", words.alias("_w")).select("doc_id", "year", counts.alias("_n"))
+        listed = [w for _, w in CATEGORY_WORDS]
+        words = F.filter(F.split(text.clean_text(F.col("text")), " "), lambda x: x.isin(listed))
+        counts = F.array(*[_occurrences(F.col("_w"), w) for w in listed])
+        docs = spread(self.docs().select("doc_id", "year", "text"), "doc_id").select("doc_id", "year", words.alias("_w")).select("doc_id", "year", counts.alias("_n"))
         rules = [{"rater": r, "k": k} for r, k, _ in RATER_CUTS[:8]]
         crossed = cross_with_dimension(docs, rules, "rater string, k int")
         names = F.array(*[F.lit(c) for c in CATEGORIES])
