@@ -34,7 +34,7 @@ def t_975(df: Column) -> Column:
     )
     out = F.lit(z)
     for power, term in enumerate(terms, start=1):
-        out = out + F.lit(term) / F.pow(df, F.lit(float(power)))
+        out = out + F.try_divide(F.lit(term), F.pow(df, F.lit(float(power))))
     return out
 
 

@@ -155,11 +155,12 @@ def fleiss_available(
     squares = first2 - 2 * cross + second2
     mean_star = (a * (F.col("pa") - e * n2) - b * (sum_pe - e * n)) / n
     spread = squares - 2 * k * n * mean_star + n * k * k
-    se = F.sqrt(F.greatest(F.try_divide(spread, n * (n - 1)), F.lit(0.0)))
-    half = stats.t_975(n - 1) * se
+    variance = F.try_divide(spread, n * (n - 1))
+    se = F.sqrt(F.when(variance.isNotNull(), F.greatest(variance, F.lit(0.0))))
+    half = F.when(n > 1, stats.t_975(n - 1)) * se
     return base.select(
         *by, n.cast("long").alias("items"), k.alias("kappa"), se.alias("se"),
-        (k - half).alias("low"), F.least(k + half, F.lit(1.0)).alias("high"),
+        (k - half).alias("low"), F.when((k + half).isNotNull(), F.least(k + half, F.lit(1.0))).alias("high"),
     )
 
 

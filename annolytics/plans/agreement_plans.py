@@ -107,17 +107,17 @@ def fleiss_sql(counts: str, by: str = "") -> str:
                  CASE WHEN r >= 2 THEN (y * (y - 1) + n * (n - 1)) / (r * (r - 1)) END AS pa FROM rated),
     g AS (SELECT *, avg(pa) OVER ({over}) AS po, avg(sy) OVER ({over}) AS py, avg(sn) OVER ({over}) AS pn,
                  CAST(count(*) OVER ({over}) AS DOUBLE) AS n, CAST(count(pa) OVER ({over}) AS DOUBLE) AS n2 FROM i),
-    h AS (SELECT *, py * py + pn * pn AS pe, (po - py * py - pn * pn) / (1 - py * py - pn * pn) AS kappa FROM g),
-    s AS (SELECT *, CASE WHEN r >= 2 THEN (n / n2) * (pa - pe) / (1 - pe) ELSE 0 END
-                    - 2 * (1 - kappa) * (py * sy + pn * sn - pe) / (1 - pe) AS star FROM h),
-    v AS (SELECT {group}max(n) AS n, max(kappa) AS kappa, sqrt(sum(pow(star - kappa, 2)) / (max(n) * (max(n) - 1))) AS se
+    h AS (SELECT *, py * py + pn * pn AS pe, (po - py * py - pn * pn) / nullif(1 - py * py - pn * pn, 0) AS kappa FROM g),
+    s AS (SELECT *, CASE WHEN r >= 2 THEN (n / n2) * (pa - pe) / nullif(1 - pe, 0) ELSE 0 END
+                    - 2 * (1 - kappa) * (py * sy + pn * sn - pe) / nullif(1 - pe, 0) AS star FROM h),
+    v AS (SELECT {group}max(n) AS n, max(kappa) AS kappa, sqrt(sum(pow(star - kappa, 2)) / nullif(max(n) * (max(n) - 1), 0)) AS se
           FROM s {'GROUP BY ' + by if by else ''})
-    SELECT {group}CAST(n AS BIGINT) AS items, round(kappa, 8) AS kappa, round(se, 7) AS se, round(kappa - {tq} * se, 7) AS low,
-           round(least(kappa + {tq} * se, 1e0), 7) AS high FROM v"""
+    SELECT {group}CAST(n AS BIGINT) AS items, round(kappa, 8) AS kappa, round(se, 6) AS se, round(kappa - {tq} * se, 6) AS low,
+           CASE WHEN kappa IS NOT NULL AND se IS NOT NULL THEN round(least(kappa + {tq} * se, 1e0), 6) END AS high FROM v"""
 
 
 def _fleiss_out(df: DataFrame) -> DataFrame:
-    return _rounded(_rounded(df, 8, "kappa"), 7, "se", "low", "high")
+    return _rounded(_rounded(df, 8, "kappa"), 6, "se", "low", "high")
 
 
 _COUNTS = "CAST(count(*) FILTER (WHERE about) AS DOUBLE) AS y, CAST(count(*) FILTER (WHERE NOT about) AS DOUBLE) AS n"
