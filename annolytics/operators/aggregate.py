@@ -12,14 +12,24 @@ from annolytics.operators.relational import lookup
 
 
 def entity_rollup(chart: DataFrame, keys: Sequence[str], rank: str, date: str) -> DataFrame:
-    """Weeks, best rank, and the latest year at that best rank, in one partial aggregate."""
-    year = F.year(date)
-    best = F.max(F.struct((-F.col(rank)).alias("r"), year.alias("y")))
+    """Weeks, best rank, and the latest year at that best rank, in one hash aggregate."""
     return chart.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("weeks"), F.min(rank).alias("top"), best["y"].alias("year")
+        F.count(F.lit(1)).alias("weeks"), F.min(rank).alias("top"), year_at_best(F.col(rank), F.year(date)).alias("year")
     )
 
 
+YEARS_PER_RANK = 1_000_000  # more than any span of years
+
+
+def year_at_best(rank: Column, year: Column) -> Column:
+    """Latest year among the rows of the lowest rank, as a maximum over one number per row.
+
+    Plain numbers keep the plan a hash aggregate; a maximum over structs would sort the rows by key first.
+    """
+    steps = rank.cast("long") * YEARS_PER_RANK
+    return (F.max(year - steps) + F.min(steps)).cast("int")
+
+
 def count_true(columns: Sequence[Column]) -> Column:
     """How many of the flags are true; null counts as false."""
     total = F.lit(0)

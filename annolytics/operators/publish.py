@@ -36,9 +36,15 @@ def text_features(df: DataFrame, body: str, keep: Sequence[str]) -> DataFrame:
 
 
 def content_hash(df: DataFrame):
-    """Order-free hash of all rows and columns: the sum of 64-bit row hashes, so that copies do not cancel out."""
-    named = [F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in sorted(df.columns)]
-    return F.sum(F.xxhash64(*named).cast("decimal(38,0)")).cast("string")
+    """Order-free hash of all rows and columns: the sum of 64-bit row hashes, so that copies do not cancel out.
+
+    Hashing skips nulls, so each column goes in with its null flag; maps have no hash and go in as JSON.
+    """
+    parts = []
+    for field in sorted(df.schema.fields, key=lambda f: f.name):
+        value = F.to_json(field.name) if field.dataType.typeName() == "map" else F.col(field.name)
+        parts += [value, F.col(field.name).isNull()]
+    return F.sum(F.xxhash64(*parts).cast("decimal(38,0)")).cast("string")
 
 
 def snapshot_manifest(tables: Mapping[str, DataFrame], sensitive: Sequence[str] = ()) -> DataFrame:

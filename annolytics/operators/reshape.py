@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolytics.functions.text import snake_names
+from annolytics.operators.relational import lookup
 
 
 def wide(df: DataFrame, item: Sequence[str], rater: str, values: Sequence[str], raters: Sequence) -> DataFrame:
@@ -43,7 +44,7 @@ def lump_rare(df: DataFrame, label: str, n: int, other: str = "Other") -> DataFr
     top = [r["_n"] for r in counts.orderBy(F.desc("_n")).limit(n).collect()]
     least = top[-1] if top else 0
     kept = counts.where(F.col("_n") >= least).select(label, F.lit(True).alias("_kept"))
-    joined = df.join(kept, label, "left")
+    joined = lookup(df, kept, label)
     lumped = F.when(F.col("_kept") | F.col(label).isNull(), F.col(label)).otherwise(F.lit(other))
     return joined.withColumn(label, lumped).drop("_kept").select(*df.columns)
 

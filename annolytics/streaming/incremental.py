@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolytics.operators import annotate
-from annolytics.operators.aggregate import entity_rollup
+from annolytics.operators.aggregate import entity_rollup, year_at_best
 from annolytics.sources.files import list_batches
 
 
 def merge_rollups(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Merge partial rollups: weeks add up, the best rank is the minimum, the year is the latest at that rank."""
-    best = F.max(F.struct((-F.col("top")).alias("r"), F.col("year").alias("y")))
-    return parts.groupBy(*keys).agg(F.sum("weeks").alias("weeks"), F.min("top").alias("top"), best["y"].alias("year"))
+    year = year_at_best(F.col("top"), F.col("year")).alias("year")
+    return parts.groupBy(*keys).agg(F.sum("weeks").alias("weeks"), F.min("top").alias("top"), year)
 
 
 def read_rollup(spark: SparkSession, state: str, keys: Sequence[str]) -> DataFrame:
