@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -234,16 +236,20 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+# engines upper-case letters outside ASCII differently, so only these are re-cased
+LETTERS = (string.ascii_lowercase, string.ascii_uppercase)
+
+
 def known_items(t: Tables) -> DataFrame:
     """A curated list: the first document of each source, its heading re-cased and re-punctuated."""
     docs = t.headings().join(t.docs().select("doc_id", "source"), "doc_id")
     first = dedupe.first_per_key(docs.select("source", "doc_id", "title"), ["source"], ["doc_id"])
-    shouted = F.concat(F.upper(F.replace("title", F.lit(" "), F.lit(" - "))), F.lit("?!"))
+    shouted = F.concat(F.translate(F.replace("title", F.lit(" "), F.lit(" - ")), *LETTERS), F.lit("?!"))
     return first.select("source", shouted.alias("title"), text.join_key(shouted).alias("title_key"))
 
 
 KNOWN_SQL = f"""
-    first_docs AS (SELECT source, upper(replace(split_part(text, '.', 1), ' ', ' - ')) || '?!' AS title FROM docs
+    first_docs AS (SELECT source, translate(replace(split_part(text, '.', 1), ' ', ' - '), '{LETTERS[0]}', '{LETTERS[1]}') || '?!' AS title FROM docs
                    QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1),
     known AS (SELECT source, title, {join_key('title')} AS title_key FROM first_docs),
     keyed AS (SELECT doc_id, source, {join_key("split_part(text, '.', 1)")} AS title_key FROM docs)"""

@@ -168,7 +168,7 @@ def _(t: Tables) -> DataFrame:
     return publish.published_manifest(manifest, notes).select("target", "rows", "description")
 
 
-@plan("u1_u2_pseudonymised_codes", "U1 U2 W10", sql("human", """
+@plan("u1_u2_pseudonymised_codes", "U1 U2 W10 J10", sql("human", """
     SELECT doc_id, year, 'Coder ' || CASE coder WHEN 'coder_a' THEN 'A' ELSE 'B' END AS coder, is_political, confidence FROM human"""))
 def _(t: Tables) -> DataFrame:
     named = t.human().withColumnRenamed("coder", "coder_name").withColumn("note", F.lit("private"))

@@ -8,7 +8,7 @@ from conftest import SMALL
 
 SURVEY_IDS = (
     [f"S{i}" for i in range(1, 12)] + [f"P{i}" for i in range(1, 15)] + [f"T{i}" for i in range(1, 14)]
-    + [f"F{i}" for i in range(1, 9)] + [f"L{i}" for i in range(1, 9)] + [f"J{i}" for i in range(1, 12) if i != 10]
+    + [f"F{i}" for i in range(1, 9)] + [f"L{i}" for i in range(1, 9)] + [f"J{i}" for i in range(1, 12)]
     + [f"D{i}" for i in range(1, 8)] + [f"A{i}" for i in range(1, 26)] + [f"W{i}" for i in range(1, 11)]
     + [f"N{i}" for i in range(1, 11)] + [f"G{i}" for i in range(1, 20)] + [f"I{i}" for i in range(1, 5)]
     + [f"X{i}" for i in range(1, 8)] + [f"K{i}" for i in range(1, 10)] + [f"Y{i}" for i in range(1, 5)]
