@@ -106,6 +106,9 @@ def nearest_to_seeds(
             own = batch[id_col].to_numpy()
             for s, key in enumerate(keys):
                 keep = np.flatnonzero(own != ids[s])
+                if len(keep) > k:  # every row tied with the k-th best stays for the id tie-break
+                    least = np.partition(cosine[keep, s], -k)[-k]
+                    keep = keep[cosine[keep, s] >= least]
                 best = keep[np.lexsort((own[keep], -cosine[keep, s]))[:k]]
                 yield pd.DataFrame({seed_key: key, "seed_id": ids[s], id_col: own[best], "cosine": cosine[best, s]})
 

@@ -47,7 +47,7 @@ def kernel_density(
     step = (high - low) / (points - 1)
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: low + i * F.lit(step))
     spread = counts.withColumn("grid", F.explode(grid))
-    joined = join_on(spread, F.broadcast(widths), by) if by else spread.withColumn(
+    joined = join_on(spread, widths, by) if by else spread.withColumn(
         "h", widths.select("h").scalar()
     ).withColumn("total", widths.select("total").scalar())
     z = (F.col("grid") - F.col("_x")) / F.col("h")

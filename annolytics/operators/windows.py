@@ -46,6 +46,7 @@ def running_total(df: DataFrame, order: Sequence[str], value: Column, name: str)
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = laid.groupBy("_slice").agg(F.sum("_v").alias("_s"))
     sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).drop("_s")
+    # ``sums`` has one row per slice, so its size is bounded by the number of partitions
     inside = Window.partitionBy("_slice").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("_v").over(inside) + F.col("_before")
     return laid.join(F.broadcast(sums), "_slice").withColumn(name, total).select(*df.columns, name)
