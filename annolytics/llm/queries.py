@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolytics.llm import merge_dropout, spotsigs
+from annolytics.llm import merge_dropout, ngram_join, spotsigs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +19,14 @@ def op1_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
     return spotsigs.fingerprint_neighbours(table(spark, folder, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents"), words=3, percent=90)
+
+
 def op10_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
     return merge_dropout.encode(table(spark, folder, "documents"), seed=20)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op10_merge_dropout)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op2_ngram_join, op10_merge_dropout)}
 
 ORACLE_SQL: dict[str, str] = {}
