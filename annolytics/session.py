@@ -56,6 +56,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*stored: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for these frames. Call it once nothing unevaluated reads them."""
+    for df in stored:
+        spark = df.sparkSession
+        ours = f"{shared_dir(spark)}/annolytics/"
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if ours.split(":", 1)[-1].lstrip("/") not in folder:
+                raise ValueError(f"{folder} is no stored intermediate")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # Rows and bytes a side may hold before it is no longer broadcast.
 BROADCAST_ROWS = 200_000
 
