@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,7 +26,7 @@ def cuts(df: DataFrame, key: str, count: int) -> list:
 
 
 def with_next(
-    df: DataFrame, key: str, tie: Column, work: Callable[[Iterator[tuple[dict, dict | None]]], Iterator[dict]],
+    df: DataFrame, key: str, tie: str, work: Callable[[Iterator[tuple[dict, dict | None]]], Iterator[dict]],
     out: StructType, *, wrap: bool = True,
 ) -> DataFrame:
     """Apply ``work`` to the pairs (row, next row) of every task, by descending ``key`` and ascending ``tie``.
@@ -46,11 +46,11 @@ def with_next(
         first & ((own < len(found) - 1) | F.lit(wrap)), F.array(F.struct(before.cast("int").alias("s"), F.lit(True).alias("x")))
     ).otherwise(F.array().cast("array<struct<s:int,x:boolean>>"))
     dealt = (
-        df.withColumns({"_tie": tie, "_to": F.explode(F.when(F.col(key).isNull(), lone).otherwise(F.concat(places, extra)))})
+        df.withColumns({"_to": F.explode(F.when(F.col(key).isNull(), lone).otherwise(F.concat(places, extra)))})
         .withColumns({"_slice": F.col("_to.s"), "_extra": F.col("_to.x")}).drop("_to")
     )
     # an extra row closes its slice; of several with that key the first in order is the next row
-    laid = dealt.repartition("_slice").sortWithinPartitions("_slice", "_extra", F.desc(key), "_tie")
+    laid = dealt.repartition("_slice").sortWithinPartitions("_slice", "_extra", F.desc(key), tie)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict | None]]:
         held = None

@@ -127,7 +127,7 @@ def fingerprint_neighbours(
             }
 
     wanted = df.select(F.col(id_column), text_or_empty(text_column).alias("_text"))
-    return with_next(wanted, id_column, F.col("_text"), work, out)
+    return with_next(wanted, id_column, "_text", work, out)
 
 
 def near_pairs(df: DataFrame, fingerprint_column: str = "fingerprint", threshold: float = 0.8) -> DataFrame:
