@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolytics.llm import merge_dropout, ngram_join, spotsigs
+from annolytics.llm import merge_dropout, ngram_join, spotsigs, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,29 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(table(spark, folder, "documents"), words=3, percent=90)
 
 
+def op3_warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"), least_bytes=0)
+
+
 def op10_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
     return merge_dropout.encode(table(spark, folder, "documents"), seed=20)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op2_ngram_join, op10_merge_dropout)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op2_ngram_join, op3_warc_dictionary, op10_merge_dropout)}
+
+# The payloads as DuckDB sees them; base32 is written out, since SQL has no function for it.
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id, row_number() OVER (PARTITION BY hex ORDER BY page_id) AS place FROM d),
+b AS (
+  SELECT hex, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (('0x' || substr(hex || '0', 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) % 32 + 1, 1)), 'string_agg', '') AS base32
+  FROM (SELECT DISTINCT hex FROM d)
+)
+SELECT page_id, payload_bytes, base32 AS payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first_id END AS refers_to
+FROM r JOIN b USING (hex)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_warc_dictionary": OP3_SQL}
