@@ -2,8 +2,8 @@
 
 The pieces and their ranks come from a published model file; nothing is trained. A text is cut in front of its words
 (no piece of such a model crosses a word's start), and every word is merged by an agenda: the best-ranked candidate
-merge first, the leftmost of equals. A candidate taken from the agenda is skipped when a hash of (seed, variant, word,
-place, length) falls under the dropout rate, so that the same seed always gives the same pieces, while other seeds
+merge first, the leftmost of equals. A candidate taken from the agenda is skipped when a hash of (seed, variant, part of the
+word, place, length) falls under the dropout rate, so that the same seed always gives the same pieces, while other seeds
 and variants give other ones. Texts are dealt over ``variants`` by a hash of their id, which keeps words cacheable.
 
 Spaces are written as U+2581 as usual. A U+2581 that the text itself holds, and any character without a piece, goes
@@ -19,21 +19,43 @@ import functools
 import re
 from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh32_intdigest
 
 from annolytics.llm.common import column_of, slices, spread_out, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words of at most this many characters are cached, up to the number of entries below; then the cache starts anew.
-CACHED_CHARS, CACHED_WORDS = 24, 400_000
-MASK = (1 << 64) - 1
+#: Words and parts of at most this many characters are cached, up to these numbers; then a cache starts anew.
+CACHED_CHARS, CACHED_WORDS, CACHED_PARTS = 24, 500_000, 400_000
+#: Longer parts use a heap.
+SHORT_PART = 48
+
+
+class Cache(dict):
+    """Ids by variant and text; starts anew at a number of entries."""
+
+    def __init__(self, most: int):
+        self.most, self.held = most, 0
+
+    def __missing__(self, variant: int) -> dict[str, list[int]]:
+        self[variant] = {}
+        return self[variant]
+
+    def put(self, variant: int, text: str, ids: list[int]) -> None:
+        if len(text) <= CACHED_CHARS:
+            if self.held >= self.most:
+                for kept in self.values():
+                    kept.clear()
+                self.held = 0
+            self.held += 1
+            self[variant][text] = ids
 
 
 class MergeDropout:
@@ -54,59 +76,93 @@ class MergeDropout:
                 self.byte_ids[value] = i
                 self.bytes_of[i] = bytes([value])
         self.limit, self.seed = int(rate * (1 << 32)), seed
-        self.caches: dict[int, dict[str, list[int]]] = {}
-
-    def merged(self, word: str, variant: int) -> list[int]:
-        """Ids of one word. Candidates on the agenda are (rank, start, end); stale ones no longer fit the chain."""
-        rank, limit = self.rank, self.limit
-        n = len(word)
-        key = xxh64_intdigest(word, self.seed * 1_000_003 + variant) if limit else 0
+        self.inside = {piece[i : i + 2] for piece in self.rank for i in range(len(piece) - 1)}
+        self.words = Cache(CACHED_WORDS)
+        self.parts = Cache(CACHED_PARTS)
+
+    def skipped(self, key: int, start: int, end: int) -> bool:
+        draw = (key ^ (start * 0x9E3779B1 + end * 0x85EBCA6B)) * 0xC2B2AE3D & 0xFFFFFFFF
+        return (draw ^ draw >> 15) * 0x27D4EB2F & 0xFFFFFFFF < self.limit
+
+    def spans_of_short(self, word: str, key: int) -> list[int]:
+        """Starts of the pieces. The agenda is the list of the neighbours' ranks; ``none`` marks what cannot merge."""
+        rank, limit, none = self.rank.get, self.limit, len(self.rank)
+        starts = list(range(len(word) + 1))
+        agenda = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
+        while agenda and (best := min(agenda)) < none:
+            i = agenda.index(best)
+            if limit and self.skipped(key, starts[i], starts[i + 2]):
+                agenda[i] = none
+                continue
+            del starts[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = rank(word[starts[i - 1] : starts[i + 1]], none)
+            if i < len(agenda):
+                agenda[i] = rank(word[starts[i] : starts[i + 2]], none)
+        return starts
+
+    def spans_of_long(self, word: str, key: int) -> list[int]:
+        """The same with a heap of (rank, start, end); candidates that no longer fit the chain are passed over."""
+        rank, limit, n = self.rank, self.limit, len(word)
         ends, starts = list(range(1, n + 1)), list(range(-1, n))  # of the symbol that begins / ends at a place
         agenda = [(rank[pair], i, i + 2) for i in range(n - 1) if (pair := word[i : i + 2]) in rank]
         heapify(agenda)
         while agenda:
             _, start, end = heappop(agenda)
             middle = ends[start]
-            if not 0 < middle < end or ends[middle] != end:
+            if not 0 < middle < end or ends[middle] != end or limit and self.skipped(key, start, end):
                 continue
-            if limit:
-                draw = (key ^ (start * 0x9E3779B97F4A7C15 + end)) * 0xD6E8FEB86659FD93 & MASK
-                if (draw ^ draw >> 29) * 0xBF58476D1CE4E5B9 >> 32 & 0xFFFFFFFF < limit:
-                    continue
             ends[start], ends[middle], starts[end] = end, 0, start
             if start and (r := rank.get(word[starts[start] : end])) is not None:
                 heappush(agenda, (r, starts[start], end))
             if end < n and (r := rank.get(word[start : ends[end]])) is not None:
                 heappush(agenda, (r, start, ends[end]))
-        ids, place = [], 0
-        while place < n:
-            piece = word[place : ends[place]]
-            r = rank.get(piece)
+        out = [0]
+        while out[-1] < n:
+            out.append(ends[out[-1]])
+        return out
+
+    def merged(self, part: str, variant: int) -> list[int]:
+        """Ids of one part of a word."""
+        key = xxh32_intdigest(part, (self.seed * 1_000_003 + variant) & 0xFFFFFFFF) if self.limit else 0
+        starts = (self.spans_of_short if len(part) <= SHORT_PART else self.spans_of_long)(part, key)
+        ids = []
+        for start, end in pairwise(starts):
+            r = self.rank.get(part[start:end])
             if r is None:
-                ids += [self.byte_ids[b] for b in piece.encode()]
+                ids += [self.byte_ids[b] for b in part[start:end].encode()]
             else:
                 ids.append(self.id_at[r])
-            place = ends[place]
+        return ids
+
+    def of_word(self, word: str, variant: int) -> list[int]:
+        """Ids of one word, which falls into parts where two neighbours stand in no piece together."""
+        ids, start, known = [], 0, self.parts[variant]
+        for end in range(1, len(word) + 1):
+            if end == len(word) or word[end - 1 : end + 1] not in self.inside:
+                part = word[start:end]
+                found = known.get(part)
+                if found is None:
+                    found = self.merged(part, variant)
+                    self.parts.put(variant, part, found)
+                ids += found
+                start = end
         return ids
 
     def encode(self, text: str, variant: int = 0) -> list[int]:
         if not text:
             return []
-        cache = self.caches.setdefault(variant, {})
+        known = self.words[variant]
         ids: list[int] = []
         for number, part in enumerate(text.split(SPACE)):
             if number:
                 ids += [self.byte_ids[b] for b in SPACE.encode()]
             part = part.replace(" ", SPACE)
             for word in WORD.findall(part if number else SPACE + part):
-                found = cache.get(word)
+                found = known.get(word)
                 if found is None:
-                    found = self.merged(word, variant)
-                    if len(word) <= CACHED_CHARS:
-                        if sum(map(len, self.caches.values())) >= CACHED_WORDS:
-                            for old in self.caches.values():
-                                old.clear()
-                        cache[word] = found
+                    found = self.of_word(word, variant)
+                    self.words.put(variant, word, found)
                 ids += found
         return ids
 

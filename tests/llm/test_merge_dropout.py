@@ -51,17 +51,24 @@ def test_seeds_and_variants_vary_and_repeat():
     assert one.encode(text, 0) != one.encode(text, 1)
 
 
-def test_share_of_skipped_merges_follows_the_rate():
-    text = " ".join(f"thing{i} considerable number" for i in range(2000))
+def test_share_of_skipped_merges_follows_the_rate(spark):
+    text = " ".join(r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(9).collect())
     sizes = [len(MergeDropout(rate=r).encode(text)) for r in (0.0, 0.1, 0.5, 1.0)]
     assert sizes == sorted(sizes) and sizes[0] < sizes[1] < sizes[2] < sizes[3]
-    assert sizes[3] == len(text) + 1  # every character alone
+    assert sizes[3] >= len(text) + 1  # every character alone, or as its bytes
+
+
+@given(st.text("aeinst▁", min_size=1, max_size=40), st.integers(0, 99))
+@settings(max_examples=200, deadline=None)
+def test_both_agendas_agree(word, key):
+    assert _coder().spans_of_short(word, key) == _coder().spans_of_long(word, key)
 
 
 def test_cache_limit_does_not_change_ids(monkeypatch):
     text = " ".join(f"word{i % 50}" for i in range(500))
     want = MergeDropout(rate=0.2).encode(text)
     monkeypatch.setattr(merge_dropout, "CACHED_WORDS", 7)
+    monkeypatch.setattr(merge_dropout, "CACHED_PARTS", 3)
     assert MergeDropout(rate=0.2).encode(text) == want
 
 
