@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolytics.llm import merge_dropout, ngram_join, page_diff, spotsigs, warc
+from annolytics.llm import merge_dropout, ngram_join, page_diff, pii, resample, spotsigs, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,11 +31,19 @@ def op4_page_differencing(spark: SparkSession, folder: str) -> DataFrame:
     return page_diff.extract(table(spark, folder, "pages"))
 
 
+def op5_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "labels"), seed=5)
+
+
+def op6_candidate_boosting(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
 def op10_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
     return merge_dropout.encode(table(spark, folder, "documents"), seed=20)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op2_ngram_join, op3_warc_dictionary, op4_page_differencing, op10_merge_dropout)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op2_ngram_join, op3_warc_dictionary, op4_page_differencing, op5_importance_resampling, op6_candidate_boosting, op10_merge_dropout)}
 
 # The payloads as DuckDB sees them; base32 is written out, since SQL has no function for it.
 OP3_SQL = """
