@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolytics.session import materialize
+from annolytics.session import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,11 +24,13 @@ def components(links: DataFrame) -> DataFrame:
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         move = materialize(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "moves")
         moves.append(move)
+        before = links
         links = materialize(
             links.join(move.withColumnRenamed("to", "x"), "a")
             .join(move.select(F.col("a").alias("b"), F.col("to").alias("y")), "b").where("x != y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links",
         )
+        discard(before)
     if not moves:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     reached = moves[0].select(F.col("a").alias("node"), F.col("to").alias("root"))
@@ -36,4 +38,6 @@ def components(links: DataFrame) -> DataFrame:
         reached = reached.join(move.select(F.col("a").alias("root"), "to"), "root", "left").select(
             "node", F.coalesce("to", "root").alias("root")
         )
-    return materialize(reached, "components")
+    reached = materialize(reached, "components")
+    discard(*moves)
+    return reached

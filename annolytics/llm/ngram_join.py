@@ -12,8 +12,8 @@ The distinct n-grams of a text are its tokens, named by 64-bit hashes; equal set
    frequent token joins one of ``GROUPS`` groups, of which pairs are the keys. A group holding g prefix tokens must lose
    g - 1 of them before no pair is left, so the prefix is extended until its tokens, less one for each group begun,
    exceed ``misses(n)``. Whichever of two linked texts has the shorter prefix shares a key with the other.
-3. Classes that share a key form families (components over a star for each key: as many links as keys). Families are
-   cut in blocks of about ``BLOCK`` classes; each pair of blocks is one task group that intersects its sets by matrix
+3. Classes of like size that share a key form families (components over a star for each key). Families are
+   cut in blocks of about ``BLOCK`` classes of like size; each pair of blocks that could link is one group that intersects its sets by matrix
    products, and returns for each class its number of links and the class it is linked to. No pair becomes a row.
 4. Components over these links; the smallest id names each.
 
@@ -25,25 +25,27 @@ component only where it has no id at all (then null); repeated rows give repeate
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from annolytics.llm.common import column_of, slices, spread_out, text_or_empty, texts_of
 from annolytics.llm.components import components
-from annolytics.session import materialize
+from annolytics.session import discard, materialize
 
 #: A token is frequent from this share of all texts on, and from this many; so at most (tokens in the counted part of
 #: the hash space per text) / share are frequent at any size of the corpus: those are sent to the executors.
 FREQUENT_SHARE, FREQUENT_LEAST = 1 / 1000, 64
 GROUPS = np.uint64(8)
-BLOCK = 128
-#: The counted part of the hash space, times the share of tokens that may miss; and the size up to which all count.
-COUNTED_PART, SHORT = 1.5, 32
+BLOCK = 256
+#: The counted part of the hash space is the share of tokens that may miss and this much more, which leaves room for
+#: the chance in hashing; sets up to a size are counted whole.
+COUNTED_MORE, SHORT = 0.1, 64
 #: Sets apart the class ids of texts whose tokens count for others only.
 MARK = 0x5DEECE66D1234567
 ODD, ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -157,35 +159,58 @@ def labels_of(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _read_sets(df: DataFrame, id_column: str, text_column: str, words: int, percent: int) -> DataFrame:
-    """Size, class and counted tokens of every text: ``doc_id, n, class, cid, th, tokens, seen``.
-
-    Texts of at most ``SHORT`` tokens are judged by all of them; so those that could link with them, a little longer,
-    have their other tokens in ``seen``: these count for others, but not for themselves.
-    """
-    wanted = df.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")).withColumn(
+def _texts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return df.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")).withColumn(
         "th", F.xxhash64("text")
     )
-    below = np.uint64(min(COUNTED_PART * (100 - percent) / 100, 1.0) * (2**64 - 2048))
-    schema = f"doc_id {dict(wanted.dtypes)['doc_id']}, n long, class binary, cid long, th long, tokens array<long>, seen array<long>"
-    longest = SHORT * 100 // percent
+
+
+def _short_id(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _rows(texts: DataFrame, words: int) -> DataFrame:
+    """Size and class of every text: ``doc_id, n, class, cid, th``."""
+    schema = f"doc_id {dict(texts.dtypes)['doc_id']}, n long, class binary, cid long, th long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in slices(batches):
             sets = [shingles.of(t) for t in texts_of(batch, "text")]
-            classes = [class_of(s) for s in sets]
-            at = [len(s) if len(s) <= SHORT else np.searchsorted(s, below) for s in sets]
-            counted = [s[:a].view(np.int64) for s, a in zip(sets, at, strict=True)]
-            seen = [s[a : a if len(s) > longest else None].view(np.int64) for s, a in zip(sets, at, strict=True)]
+            found = [class_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()),
-                 pa.array([int.from_bytes(c[:8], "little", signed=True) for c in classes], pa.int64()), batch.column("th"),
-                 lists(counted), lists(seen)],
-                names=["doc_id", "n", "class", "cid", "th", "tokens", "seen"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.binary()),
+                 pa.array(map(_short_id, found), pa.int64()), batch.column("th")],
+                names=["doc_id", "n", "class", "cid", "th"],
             )
 
-    return spread_out(wanted).mapInArrow(run, schema)
+    return spread_out(texts).mapInArrow(run, schema)
+
+
+def _counted(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(cid, token)`` for the tokens of every text in the counted part of the hash space.
+
+    Texts of at most ``SHORT`` tokens are judged by all of them; so those that could link with them, a little longer,
+    give their other tokens under a mark: these count for others, but not for themselves.
+    """
+    below = np.uint64(min((100 - percent) / 100 + COUNTED_MORE, 1.0) * (2**64 - 2048))
+    longest = SHORT * 100 // percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for batch in slices(batches):
+            ids, tokens = [], []
+            for text in texts_of(batch, "text"):
+                s = shingles.of(text)
+                at = len(s) if len(s) <= SHORT else int(np.searchsorted(s, below))
+                ids.append(_short_id(class_of(s)))
+                tokens.append(s[:at].view(np.int64))
+                if at < len(s) <= longest:
+                    ids.append(ids[-1] ^ MARK)
+                    tokens.append(s[at:].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(tokens)], names=["cid", "tokens"])
+
+    return spread_out(texts.select("text")).mapInArrow(run, "cid long, tokens array<long>").select("cid", F.explode("tokens").alias("token"))
 
 
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -193,14 +218,11 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else [], pa.int64()))
 
 
-def _open_sets(df, id_column, text_column, still, frequent, words, percent) -> DataFrame:
-    """Sets and keys of the classes in ``still``, from the texts of one document of each."""
-    texts = df.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")).withColumn(
-        "th", F.xxhash64("text")
-    )
+def _open_sets(texts: DataFrame, still: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+    """Sets and keys of the classes in ``still``, from the text of one document of each."""
     wanted = still.select(F.col("doc_id").alias("d"), F.col("th").alias("h"))
     kept = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left_semi")
-    sent = df.sparkSession.sparkContext.broadcast(frequent)
+    sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, often = Shingles(words), sent.value
@@ -215,16 +237,33 @@ def _open_sets(df, id_column, text_column, still, frequent, words, percent) -> D
     return kept.select("text").mapInArrow(run, "class binary, keys array<long>, tokens binary")
 
 
+def band_of(size: Column, percent: int) -> Column:
+    """Sizes of linked sets lie in the same band or in adjacent ones."""
+    return F.floor(F.log(size) / -math.log(percent / 100) + 1e-9).cast("int")
+
+
 def _tiles(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within families: ``class, to, links`` for each class and pair of blocks it is in."""
-    sizes = family.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    """Links within families: ``class, to, links`` for each class and pair of blocks it is in.
+
+    A block holds classes of one family and band; it meets the blocks of its own band and of the two beside it.
+    """
+    sizes = family.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    by_band = Window.partitionBy("root").orderBy("band")
+    beside = lambda f, step: F.when(f("band").over(by_band) == F.col("band") + step, f("blocks").over(by_band)).otherwise(0)
+    sizes = sizes.withColumns({"above": beside(F.lead, 1), "below": beside(F.lag, -1)})
+    counted = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda g, i, h, j: F.struct(g.alias("g"), i.alias("i"), h.alias("h"), j.alias("j"))
+    band, own = F.col("band"), F.col("block")
     member = (
-        family.join(sizes, "root").withColumn("blocks", blocks)
+        family.join(sizes, ["root", "band"])
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .join(sets.select(F.col("class").alias("node"), "tokens"), "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "tokens")
+        .withColumn("tile", F.explode(F.concat(
+            F.transform(counted("blocks"), lambda q: tile(band, F.least(own, q), band, F.greatest(own, q))),
+            F.transform(counted("above"), lambda q: tile(band, own, band + 1, q)),
+            F.transform(counted("below"), lambda q: tile(band - 1, q, band, own)),
+        )))
+        .select("root", "tile", (band * 65536 + own).alias("block"), "node", "copies", "tokens")
     )
 
     def run(key, table):
@@ -232,7 +271,8 @@ def _tiles(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         nodes = list(rows)
         links = linked([np.frombuffer(rows[n]["tokens"], np.uint64) for n in nodes], percent)
         block = np.array([rows[n]["block"] for n in nodes])
-        if key[1].as_py() != key[2].as_py():
+        g, i, h, j = key[1].as_py().values()
+        if (g, i) != (h, j):
             links &= block[:, None] != block[None, :]
         copies = np.array([rows[n]["copies"] for n in nodes], np.int64)
         return pa.table(
@@ -240,14 +280,15 @@ def _tiles(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
              "links": pa.array(links @ copies, pa.int64())}
         )
 
-    return member.groupBy("root", "i", "j").applyInArrow(run, "class binary, to binary, links long")
+    return member.groupBy("root", "tile").applyInArrow(run, "class binary, to binary, links long")
 
 
 def classes(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, words: int = 3, percent: int = 90
 ) -> tuple[DataFrame, DataFrame]:
     """Rows ``(doc_id, n, class)`` and classes ``(class, n, doc_id, th, copies, root, component_id, n_links)``."""
-    rows = materialize(_read_sets(df, id_column, text_column, words, percent), "sets")
+    texts = _texts(df, id_column, text_column)
+    rows = materialize(_rows(texts, words), "rows")
     found = materialize(
         rows.groupBy("class").agg(
             F.max("n").alias("n"), F.max("cid").alias("cid"), F.count(F.lit(1)).alias("copies"),
@@ -255,8 +296,7 @@ def classes(
         ).select("class", "n", "cid", "copies", "first.doc_id", "first.th"), "classes",
     )
     least = max(FREQUENT_LEAST, int(rows.count() * FREQUENT_SHARE))
-    others = rows.where(F.size("seen") > 0).select(F.col("cid").bitwiseXOR(F.lit(MARK)).alias("cid"), F.explode("seen").alias("token"))
-    counted = rows.select("cid", F.explode("tokens").alias("token")).unionByName(others).groupBy("token").agg(
+    counted = _counted(texts, words, percent).groupBy("token").agg(
         F.min("cid").alias("low"), F.max("cid").alias("high"), F.count(F.lit(1)).alias("texts")
     )
     alone = F.col("low") == F.col("high")
@@ -268,15 +308,19 @@ def classes(
     still = found.where("n > 0").join(tallied.where("alone").select(F.col("id").alias("cid"), "own"), "cid", "left").where(
         F.coalesce("own", F.lit(0)) <= F.floor(F.col("n") * (100 - percent) / 100)
     )
-    sets = materialize(_open_sets(df, id_column, text_column, still, often, words, percent), "open")
-    keys = sets.select("class", F.explode("keys").alias("key"))
+    sets = materialize(_open_sets(texts, still, often, words, percent), "open")
+    band = band_of(F.length("tokens") / 8, percent)  # a key is taken once for each two bands
+    keys = sets.select("class", F.explode(F.array(band, band - 1)).alias("band"), "keys").select("class", "band", F.explode("keys").alias("key"))
     hubs = materialize(
-        keys.groupBy("key").agg(F.min("class").alias("hub"), F.max("class").alias("top")).where("hub != top").select("key", "hub"),
-        "hubs",
+        keys.groupBy("key", "band").agg(F.min("class").alias("hub"), F.max("class").alias("top")).where("hub != top")
+        .select("key", "band", "hub"), "hubs",
+    )
+    family = components(keys.join(hubs, ["key", "band"]).select(F.col("class").alias("a"), F.col("hub").alias("b")))
+    family = family.join(
+        found.select(F.col("class").alias("node"), "copies", band_of(F.col("n"), percent).alias("band")), "node"
     )
-    family = components(keys.join(hubs, "key").select(F.col("class").alias("a"), F.col("hub").alias("b")))
-    family = family.join(found.select(F.col("class").alias("node"), "copies"), "node")
     tiles = materialize(_tiles(family, sets, percent), "tiles")
+    discard(tallied, hubs, sets)
     joined = components(tiles.select(F.col("class").alias("a"), F.col("to").alias("b")))
     links = tiles.groupBy("class").agg(F.sum("links").alias("others"))
     named = materialize(
