@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolytics.llm import merge_dropout, ngram_join, page_diff, pii, resample, spotsigs, warc
+from annolytics.llm import merge_dropout, mixing, ngram_join, page_diff, pii, resample, spotsigs, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,11 +39,19 @@ def op6_candidate_boosting(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
 
 
+#: Target weights of the mixture: the large source a quarter, the others alike.
+WEIGHTS = {"src0": 0.24} | {f"src{i}": 0.04 for i in range(1, 20)}
+
+
+def op7_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.schedule(table(spark, folder, "documents"), WEIGHTS)
+
+
 def op10_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
     return merge_dropout.encode(table(spark, folder, "documents"), seed=20)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op2_ngram_join, op3_warc_dictionary, op4_page_differencing, op5_importance_resampling, op6_candidate_boosting, op10_merge_dropout)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op2_ngram_join, op3_warc_dictionary, op4_page_differencing, op5_importance_resampling, op6_candidate_boosting, op7_pfair_mixing, op10_merge_dropout)}
 
 # The payloads as DuckDB sees them; base32 is written out, since SQL has no function for it.
 OP3_SQL = """
@@ -60,4 +68,35 @@ SELECT page_id, payload_bytes, base32 AS payload_digest, CASE WHEN place = 1 THE
 FROM r JOIN b USING (hex)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_warc_dictionary": OP3_SQL}
+# One period of 1,000 slots by recursion, then arithmetic. The weights are those above, with every source present.
+OP7_SQL = """
+WITH RECURSIVE s AS (SELECT * FROM (SELECT DISTINCT source AS stream, CASE WHEN source = 'src0' THEN 240 ELSE 40 END AS w FROM documents)),
+l AS (SELECT list(stream ORDER BY stream) AS names, list(w ORDER BY stream) AS ws, count(*) AS n FROM s),
+r AS (
+  SELECT -1 AS t, -1 AS pick, list_transform(range(0, n), lambda i: 0::BIGINT) AS done FROM l
+  UNION ALL
+  SELECT t + 1, first, list_transform(done, lambda d, i: d + (i - 1 = first)::INT)
+  FROM (
+    SELECT t, done, list_sort(list_transform(range(0, n), lambda i: {
+      'early': done[i + 1] * 1000 >= (t + 2) * ws[i + 1], 'due': ((done[i + 1] + 1) * 1000 + ws[i + 1] - 1) // ws[i + 1], 'i': i
+    }))[1].i AS first
+    FROM r, l WHERE t < 999
+  )
+),
+p AS (SELECT names[pick + 1] AS stream, t AS place, row_number() OVER (PARTITION BY pick ORDER BY t) AS turn FROM r, l WHERE t >= 0),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS i FROM documents),
+b AS (SELECT source AS stream, max(i // 16) + 1 AS blocks FROM d GROUP BY source),
+z AS (
+  SELECT max(((blocks - 1) // w) * 1000 + place) AS last FROM b JOIN s USING (stream) JOIN p USING (stream) WHERE turn = (blocks - 1) % w + 1
+),
+k AS (
+  SELECT d.*, i // 16 AS block, w, blocks, unnest(range(i // 16, (last // 1000 + 1) * w, blocks)) AS k, last
+  FROM d JOIN b ON d.source = b.stream JOIN s ON s.stream = b.stream, z
+)
+SELECT doc_id, source, source AS stream, block, k // blocks AS pass, (k // w) * 1000 + place AS slot, i % 16 AS within,
+  k * 1000 // w AS release, ((k + 1) * 1000 + w - 1) // w AS deadline
+FROM k JOIN p ON p.stream = k.source AND p.turn = k % w + 1
+WHERE (k // w) * 1000 + place <= last
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_pfair_mixing": OP7_SQL, "op3_warc_dictionary": OP3_SQL}
