@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annolytics.llm import merge_dropout, mixing, ngram_join, page_diff, pii, resample, spotsigs, warc
+from annolytics.llm import chat, merge_dropout, mixing, ngram_join, page_diff, pii, resample, spotsigs, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,11 +47,15 @@ def op7_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.schedule(table(spark, folder, "documents"), WEIGHTS)
 
 
+def op9_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rotate(table(spark, folder, "conversations"))
+
+
 def op10_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
     return merge_dropout.encode(table(spark, folder, "documents"), seed=20)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op2_ngram_join, op3_warc_dictionary, op4_page_differencing, op5_importance_resampling, op6_candidate_boosting, op7_pfair_mixing, op10_merge_dropout)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op2_ngram_join, op3_warc_dictionary, op4_page_differencing, op5_importance_resampling, op6_candidate_boosting, op7_pfair_mixing, op9_perspective_rotation, op10_merge_dropout)}
 
 # The payloads as DuckDB sees them; base32 is written out, since SQL has no function for it.
 OP3_SQL = """
@@ -99,4 +103,26 @@ FROM k JOIN p ON p.stream = k.source AND p.turn = k % w + 1
 WHERE (k // w) * 1000 + place <= last
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_pfair_mixing": OP7_SQL, "op3_warc_dictionary": OP3_SQL}
+OP9_SQL = """
+WITH c AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS n
+  FROM conversations
+),
+v AS (SELECT DISTINCT conv_id, role AS perspective FROM c WHERE role <> 'system'),
+l AS (
+  SELECT conv_id, perspective, n, ((n - 1) // 64)::INT AS part, role = perspective AS own, said || '<|im_end|>' AS body,
+    '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant'
+      ELSE 'user name=' || replace(role, '<|', '< |') END || chr(10) AS head
+  FROM c JOIN v USING (conv_id)
+),
+o AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY n) AS ends FROM l
+)
+SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (own) AS n_masked,
+  string_agg(head || body || chr(10), '' ORDER BY n) AS rendered,
+  coalesce(string_agg((ends - 1 - length(body))::BIGINT || ':' || (ends - 1)::BIGINT, ',' ORDER BY n) FILTER (own), '') AS mask
+FROM o GROUP BY conv_id, perspective, part
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_perspective_rotation": OP9_SQL, "op7_pfair_mixing": OP7_SQL, "op3_warc_dictionary": OP3_SQL}
