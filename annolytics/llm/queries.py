@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from annolytics.llm import chat, merge_dropout, mixing, ngram_join, page_diff, pii, resample, spotsigs, warc
+from annolytics.llm import chat, merge_dropout, mixing, ngram_join, page_diff, partitions, pii, resample, spotsigs, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +48,10 @@ def op7_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.schedule(table(spark, folder, "documents"), WEIGHTS)
 
 
+def op8_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return partitions.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return chat.rotate(table(spark, folder, "conversations"))
 
@@ -55,7 +60,7 @@ def op10_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
     return merge_dropout.encode(table(spark, folder, "documents"), seed=20)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op2_ngram_join, op3_warc_dictionary, op4_page_differencing, op5_importance_resampling, op6_candidate_boosting, op7_pfair_mixing, op9_perspective_rotation, op10_merge_dropout)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op2_ngram_join, op3_warc_dictionary, op4_page_differencing, op5_importance_resampling, op6_candidate_boosting, op7_pfair_mixing, op8_learned_partitions, op9_perspective_rotation, op10_merge_dropout)}
 
 # The payloads as DuckDB sees them; base32 is written out, since SQL has no function for it.
 OP3_SQL = """
