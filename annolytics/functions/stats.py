@@ -24,8 +24,12 @@ def two_sided_p(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
+# 97.5 % points of Student's t for 1 to 4 degrees of freedom, where the expansion below is too small.
+T_975 = (12.706204736432095, 4.302652729911275, 3.182446305284263, 2.7764451051977987)
+
+
 def t_975(df: Column) -> Column:
-    """97.5 % point of Student's t, by the usual expansion around the normal quantile."""
+    """97.5 % point of Student's t: exact for 1 to 4 degrees of freedom, then by the expansion around the normal quantile."""
     z = Z_975
     terms = (
         (z**3 + z) / 4.0,
@@ -35,6 +39,8 @@ def t_975(df: Column) -> Column:
     out = F.lit(z)
     for power, term in enumerate(terms, start=1):
         out = out + F.try_divide(F.lit(term), F.pow(df, F.lit(float(power))))
+    for exact, value in enumerate(T_975, start=1):
+        out = F.when(df == exact, F.lit(value)).otherwise(out)
     return out
 
 

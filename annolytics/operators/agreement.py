@@ -223,10 +223,22 @@ def profile_distances(profiles: DataFrame, label: str, rater: str, value: str, r
     return _rater_pairs(table, raters).groupBy("rater_a", "rater_b").agg(F.sqrt(F.sum(gap * gap)).alias("distance"))
 
 
-def with_and_without(ratings: DataFrame, item: Sequence[str], rater: str, value: str, subset: Sequence[str], labels: Sequence) -> DataFrame:
-    """Fleiss' kappa and Krippendorff's alpha for a rater subset beside all raters."""
+def with_and_without(
+    ratings: DataFrame, item: Sequence[str], rater: str, value: str, subset: Sequence[str], everyone: Sequence[str],
+    labels: Sequence, complete: bool = True,
+) -> DataFrame:
+    """Fleiss' kappa and Krippendorff's alpha for a rater subset beside all raters.
+
+    Kappa is that of items which every rater of the panel labelled; with ``complete=False`` that of all ratings.
+    """
     inside = F.col(rater).isin(list(subset))
     panels = F.when(inside, F.array(F.lit("subset"), F.lit("all"))).otherwise(F.array(F.lit("all")))
     tagged = ratings.withColumn("panel", F.explode(panels))
-    kappa = fleiss_available(tagged, item, value, labels, ["panel"]).select("panel", "kappa")
+    if complete:
+        panel = lambda name, raters: fleiss_complete(
+            tagged.where(F.col("panel") == name), item, value, labels, len(raters)
+        ).select(F.lit(name).alias("panel"), "kappa")
+        kappa = panel("subset", subset).unionByName(panel("all", everyone))
+    else:
+        kappa = fleiss_available(tagged, item, value, labels, ["panel"]).select("panel", "kappa")
     return kappa.join(krippendorff(tagged, item, value, labels, ["panel"]).select("panel", "alpha"), "panel")

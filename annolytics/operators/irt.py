@@ -33,6 +33,7 @@ class LatentFit:
     log_likelihood: float
     steps: int
     observations: np.ndarray
+    converged: bool = True
 
 
 def _prior(sd: float) -> np.ndarray:
@@ -90,11 +91,15 @@ def _expected_counts(patterns: DataFrame, raters: int, settings: list[tuple[np.n
     return out
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0, -x))
+
+
 def _logistic_step(hits, rated, slope, intercept, rasch):
     """Newton steps of one logistic regression per rater on the node table."""
     for _ in range(25):
         eta = slope[:, None] * NODES + intercept[:, None]
-        p = 1 / (1 + np.exp(-eta))
+        p = _logistic(eta)
         resid, weight = hits - rated * p, rated * p * (1 - p)
         g_d, h_dd = resid.sum(1), weight.sum(1) + 1e-10
         if rasch:
@@ -114,7 +119,7 @@ def _logistic_step(hits, rated, slope, intercept, rasch):
 def _gradient(counts, slope, intercept, sd, rasch):
     """Score of the marginal likelihood (Fisher's identity) in the free parameters."""
     hits, rated, mass, _ = counts
-    resid = hits - rated / (1 + np.exp(-(slope[:, None] * NODES + intercept[:, None])))
+    resid = hits - rated * _logistic(slope[:, None] * NODES + intercept[:, None])
     if rasch:
         second = (mass * NODES**2).sum()
         prior_second = mass.sum() * (_prior(sd) * NODES**2).sum()
@@ -142,7 +147,7 @@ def fit(
     positive = np.array([totals[f"p{i}"] or 0 for i in range(j)], dtype=float)
     share = (positive + 0.5) / (observed + 1)
     slope, intercept, sd = np.ones(j), np.log(share / (1 - share)), 1.0
-    steps = 0
+    steps, converged = 0, False
     for steps in range(1, max_steps + 1):
         hits, rated, mass, _ = _expected_counts(patterns, j, [(slope, intercept, sd)])[0]
         new_slope, new_intercept = _logistic_step(hits, rated, slope, intercept, rasch)
@@ -150,6 +155,7 @@ def fit(
         change = max(np.abs(new_slope - slope).max(), np.abs(new_intercept - intercept).max(), abs(new_sd - sd))
         slope, intercept, sd = new_slope, new_intercept, new_sd
         if change < tolerance:
+            converged = True
             break
     point = np.concatenate([intercept, [sd]]) if rasch else np.concatenate([slope, intercept])
 
@@ -161,13 +167,21 @@ def fit(
     counts = _expected_counts(patterns, j, [unpack(p) for p in [point, *moved]])
     scores = [_gradient(c, *unpack(p), rasch) for c, p in zip(counts, [point, *moved], strict=True)]
     info = np.array([-(scores[1 + 2 * i] - scores[2 + 2 * i]) / (2 * h) for i in range(len(point))])
-    se = np.sqrt(np.clip(np.diag(np.linalg.pinv((info + info.T) / 2)), 0, None))
+    se = _standard_errors((info + info.T) / 2)
     return LatentFit(
         raters, slope, intercept, np.zeros(j) if rasch else se[:j], se[:j] if rasch else se[j:],
-        sd * sd, counts[0][3], steps, observed,
+        sd * sd, counts[0][3], steps, observed, converged,
     )
 
 
+def _standard_errors(info: np.ndarray) -> np.ndarray:
+    """From the observed information; NaN throughout where it is not positive definite, so where the model is not identified."""
+    scale = np.sqrt(np.clip(np.diag(info), 0, None))
+    if not (scale > 0).all() or np.linalg.eigvalsh(info / np.outer(scale, scale))[0] < 1e-8:
+        return np.full(len(info), np.nan)
+    return np.sqrt(np.diag(np.linalg.inv(info)))
+
+
 def parameter_table(spark: SparkSession, model: LatentFit, as_cutpoint: bool = False) -> DataFrame:
     """One row per rater: estimates with 95 % limits and the number of ratings.
 
@@ -181,7 +195,9 @@ def parameter_table(spark: SparkSession, model: LatentFit, as_cutpoint: bool = F
         if as_cutpoint:
             low, high = sorted((low / -a, high / -a))
             mid = d / -a
-        rows.append((name, float(a), float(model.slope_se[i]), float(mid), float(low), float(high), int(model.observations[i])))
+        known = [None if np.isnan(x) else float(x) for x in (a, model.slope_se[i], mid, low, high)]
+        rows.append((name, *known, int(model.observations[i]), model.converged, model.steps))
     return spark.createDataFrame(
-        rows, "rater string, slope double, slope_se double, location double, low double, high double, observations long"
+        rows, "rater string, slope double, slope_se double, location double, low double, high double, observations long, "
+        "converged boolean, steps int"
     )

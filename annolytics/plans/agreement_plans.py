@@ -100,8 +100,10 @@ def fleiss_sql(counts: str, by: str = "") -> str:
     nu = "(n - 1)"
     z = _Z
     tq = (
-        f"({z} + (pow({z}, 3) + {z}) / 4 / {nu} + (5 * pow({z}, 5) + 16 * pow({z}, 3) + 3 * {z}) / 96 / pow({nu}, 2) "
-        f"+ (3 * pow({z}, 7) + 19 * pow({z}, 5) + 17 * pow({z}, 3) - 15 * {z}) / 384 / pow({nu}, 3))"
+        f"(CASE {nu} WHEN 1 THEN 12.706204736432095e0 WHEN 2 THEN 4.302652729911275e0 WHEN 3 THEN 3.182446305284263e0 "
+        f"WHEN 4 THEN 2.7764451051977987e0 "
+        f"ELSE {z} + (pow({z}, 3) + {z}) / 4 / {nu} + (5 * pow({z}, 5) + 16 * pow({z}, 3) + 3 * {z}) / 96 / pow({nu}, 2) "
+        f"+ (3 * pow({z}, 7) + 19 * pow({z}, 5) + 17 * pow({z}, 3) - 15 * {z}) / 384 / pow({nu}, 3) END)"
     )
     return f"""
     counts AS ({counts}), rated AS (SELECT *, y + n AS r FROM counts WHERE y + n > 0),
@@ -171,14 +173,17 @@ _PANEL_SQL = f"""
     tagged AS (SELECT 'all' AS panel, * FROM panel_rows UNION ALL
                SELECT 'subset', * FROM panel_rows WHERE rater NOT LIKE 'coder%'),
     pc AS (SELECT panel, {_COUNTS} FROM tagged GROUP BY panel, doc_id),
-    kap AS (WITH {fleiss_sql("SELECT * FROM pc", "panel").strip()}),
+    whole AS (SELECT panel, y, n, y + n AS r FROM pc WHERE y + n = CASE WHEN panel = 'all' THEN 11 ELSE 9 END),
+    agreed AS (SELECT panel, avg((y * y + n * n - r) / (r * (r - 1))) AS po, pow(sum(y) / sum(r), 2) + pow(sum(n) / sum(r), 2) AS pe
+               FROM whole GROUP BY panel),
+    kap AS (SELECT panel, round((po - pe) / nullif(1 - pe, 0), 8) AS kappa FROM agreed),
     alp AS (WITH {alpha_sql("SELECT * FROM pc", "panel").strip()})"""
 
 
 @plan("g8_with_and_without_coders", "G8 J9", sql("ratings human", f"""
     WITH {_PANEL_SQL.strip()} SELECT panel, kappa, alpha FROM kap JOIN alp USING (panel)"""))
 def _(t: Tables) -> DataFrame:
-    out = agreement.with_and_without(_panel(t), ["doc_id"], "rater", "about", RATERS, [True, False])
+    out = agreement.with_and_without(_panel(t), ["doc_id"], "rater", "about", RATERS, [*RATERS, "coder_a", "coder_b"], [True, False])
     return _rounded(_rounded(out, 8, "kappa"), 9, "alpha")
 
 

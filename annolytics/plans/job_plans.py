@@ -13,7 +13,7 @@ from annolytics.operators import annotate, publish
 from annolytics.plans.preludes import clean, sql
 from annolytics.plans.registry import plan
 from annolytics.plans.text_plans import TEMPLATE, TEMPLATE_SQL
-from annolytics.session import new_path
+from annolytics.session import materialize, new_path
 from annolytics.sources import sinks, tables
 from annolytics.sources.standins import CATEGORIES, RATER_CUTS, Tables
 from annolytics.streaming import incremental
@@ -104,11 +104,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @plan("j11_resumed_job", "J11 B7 Z2", sql("docs rules", f"""
-    WITH {_SCORED_SQL} SELECT prompt_digest, rater AS model, 1e2 * hits / len > cut AS about_politics FROM counted CROSS JOIN rules WHERE k <= 3"""))
+    WITH {_SCORED_SQL} SELECT prompt_digest, rater AS model, CASE WHEN k < 9 THEN 1e2 * hits / len > cut END AS about_politics FROM counted CROSS JOIN rules"""))
 def _(t: Tables) -> DataFrame:
-    others = [name for name, _, _ in RATER_CUTS[3:]]
-    jobs = work(t, exclude=others)
-    done = annotate.run(jobs.where(F.col("model") == "rater_1"), rule_scorer)
+    jobs = work(t)
+    done = materialize(annotate.run(jobs.where(F.col("model") == "rater_1"), rule_scorer), "done")  # scored once
     rest = annotate.run(jobs, rule_scorer, done.select("prompt_digest", "model"))
     return annotate.parse_flag(annotate.combine([done, rest])).select("prompt_digest", "model", "about_politics")
 
@@ -143,7 +142,9 @@ def _(t: Tables) -> DataFrame:
     rows = t.raw("conversations")
     paths = sinks.write_pair(rows, new_path(t.spark, "conversations"))
     stored = t.spark.read.schema(rows.schema).parquet(paths["parquet"])
-    text_form = tables.read_csv(t.spark, paths["csv"], "conv_id long, turn long, role string, text string")
+    text_form = tables.read_csv(
+        t.spark, paths["csv"], "conv_id long, turn long, role string, text string", line_breaks_in_fields=True
+    )
     return stored.join(text_form.select("conv_id", "turn", F.col("text").alias("_t")), ["conv_id", "turn"]).where(
         F.col("_t") == F.col("text")
     ).drop("_t")
@@ -213,13 +214,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @plan("z2_incremental_annotation", "Z2 B1", sql("docs rules", f"""
-    WITH {_SCORED_SQL} SELECT prompt_digest, rater AS model, 1e2 * hits / len > cut AS about_politics FROM counted CROSS JOIN rules WHERE k <= 3"""))
+    WITH {_SCORED_SQL} SELECT prompt_digest, rater AS model, CASE WHEN k < 9 THEN 1e2 * hits / len > cut END AS about_politics FROM counted CROSS JOIN rules"""))
 def _(t: Tables) -> DataFrame:
     from annolytics.operators.relational import cross_with_dimension
 
     docs = _stream(t, "documents").withColumn("year", (1958 + F.col("doc_id") % 68).cast("int"))
     prompted = annotate.prompts(docs, TEMPLATE, _slots()).select("prompt_digest", "prompt")
-    raters = tables.raters_from_config(RATER_CONFIG)[:3]
+    raters = tables.raters_from_config(RATER_CONFIG)
     batch = F.pmod(F.xxhash64("prompt_digest"), F.lit(64))
     rows = cross_with_dimension(prompted, raters, annotate.RATER_SCHEMA).withColumn("batch", batch)
     results = new_path(t.spark, "annotations")

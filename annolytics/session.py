@@ -70,6 +70,7 @@ def discard(*stored: DataFrame) -> None:
 
 # Rows and bytes a side may hold before it is no longer broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -81,17 +82,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after a count, cut off at the bound, proves ``df`` small."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def small_values(df: DataFrame, column: str, max_values: int) -> list:
-    """Distinct non-null values of a dimension column, sorted; raises when there are too many."""
-    found = [
-        row[0]
-        for row in df.where(F.col(column).isNotNull()).select(column).distinct().limit(max_values + 1).collect()
-    ]
-    if len(found) > max_values:
-        raise ValueError(f"{column} has more than {max_values} distinct values; it is not a dimension")
-    return sorted(found)
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after a pass, cut off at the bound on rows, proves ``df`` small in rows and bytes."""
+    width = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in df.columns), F.lit(0))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df

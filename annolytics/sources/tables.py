@@ -34,9 +34,14 @@ LIST_PRICES = [
 ]
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
-    """CSV with a header; names normalised. Without a schema the types are inferred (small files only)."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(
+    spark: SparkSession, path: str, schema: str | StructType | None = None, line_breaks_in_fields: bool = False
+) -> DataFrame:
+    """CSV with a header; names normalised. Without a schema the types are inferred (small files only).
+
+    Line breaks inside quoted fields make a file one unsplittable task; ask for them only where they occur.
+    """
+    reader = spark.read.option("header", True).option("multiLine", line_breaks_in_fields).option("escape", '"')
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return rename_snake(reader.csv(path))
 

@@ -6,7 +6,7 @@ import sys
 import pytest
 from annolytics.operators import annotate, publish
 from annolytics.operators.aggregate import entity_rollup
-from annolytics.session import broadcast_if_small, new_path, shared_dir, small_values
+from annolytics.session import broadcast_if_small, new_path, shared_dir
 from annolytics.sources import sinks, tables
 from annolytics.streaming import incremental
 from pyspark import cloudpickle
@@ -117,7 +117,7 @@ def test_paired_sink_round_trip(spark):
     df = spark.createDataFrame([(1, None, ["a"], 'q"x\ny'), (2, "", [], "z")], "id int, s string, l array<string>, t string")
     paths = sinks.write_pair(df, new_path(spark, "pair"))
     assert sorted(map(tuple, spark.read.parquet(paths["parquet"]).collect())) == sorted(map(tuple, df.collect()))
-    back = {r.id: r for r in tables.read_csv(spark, paths["csv"], "id int, s string, l string, t string").collect()}
+    back = {r.id: r for r in tables.read_csv(spark, paths["csv"], "id int, s string, l string, t string", line_breaks_in_fields=True).collect()}
     assert back[1].s is None and back[1].l == '["a"]' and back[1].t == 'q"x\ny'
 
 
@@ -172,9 +172,9 @@ def test_streamed_annotation_scores_each_pair_once(spark, tmp_path):
 
 def test_session_helpers(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-    assert small_values(spark.range(3).withColumn("v", F.col("id") % 2), "v", 5) == [0, 1]
-    with pytest.raises(ValueError, match="not a dimension"):
-        small_values(spark.range(9), "id", 5)
+    few = spark.range(9).withColumn("t", F.repeat(F.lit("x"), 100))
+    assert "broadcast" in broadcast_if_small(few)._jdf.queryExecution().toString().lower()
+    assert "broadcast" not in broadcast_if_small(few, max_bytes=500)._jdf.queryExecution().toString().lower()
     small, big = spark.range(5), spark.range(50)
     assert "hint" in broadcast_if_small(small, 10)._jdf.queryExecution().logical().toString().lower()
     assert "hint" not in broadcast_if_small(big, 10)._jdf.queryExecution().logical().toString().lower()
