@@ -73,6 +73,12 @@ def test_stems():
     ]
 
 
+def test_stems_of_the_english_rules():
+    words = "boy day play way stay hey money eye one cry by ties cries gas this generously communism knightly hoping skies inning"
+    stems = "boy day play way stay hey money eye one cri by tie cri gas this generous communism knight hope sky inning"
+    assert [stem_word(w) for w in words.split()] == stems.split()
+
+
 PAGE = """<html><script>var a="<div data-lyrics-container='true'>no</div>"</script>
 <div data-lyrics-container="true"><div class="LyricsHeader__x">Head</div>One &amp; two<br>  three<br><br><br>four
 <script>x()</script><b>bo<i>ld</i></b></div><p>outside</p><div data-lyrics-container="true">second</div></html>"""

@@ -152,3 +152,9 @@ def test_effects_match_least_squares(spark):
     assert np.allclose(model.beta, expected, atol=1e-6) and model.documents == n
     curve = topics.effect_curve(model, 1, 11).toPandas()
     assert (curve.lower < curve["mean"]).all() and curve["mean"].iloc[-1] > curve["mean"].iloc[0]
+
+
+def test_words_keep_inner_dashes_and_lose_typographic_marks(spark):
+    docs = spark.createDataFrame([(1, "La-la-la \u2018played\u2019 -- well\u2014known 42nd rock-'n'-roll- -x ok!")], "id int, body string")
+    bag = {r.term: r.n for r in topics.bag_of_words(docs, "id", "body").collect()}
+    assert bag == {"la-la-la": 1, "play": 1, "wellknown": 1, "rock-n-rol": 1}
