@@ -118,14 +118,16 @@ def _write_archive(folder: str, records: Iterator[bytes], archive_bytes: int) ->
 
 
 def with_originals(df: DataFrame, id_column: str, payload_column: str, least_bytes: int) -> DataFrame:
-    """``page_id, url, payload, original``: the id of the response that holds the payload, for payloads large enough."""
+    """``page_id, url, payload, digest, original, marker``: the pages, and before those of repeated payloads a marker row
+    that names the response. Pages and markers of one id and digest share a task and stand together."""
     pages = df.select(F.col(id_column).alias("page_id"), F.col("url"), text_or_empty(payload_column).alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
     ids = pages.where(F.octet_length("payload") >= least_bytes).select("page_id", "digest")
     first = ids.groupBy("digest").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
     first = materialize(first.where("n > 1").drop("n"), "originals")
-    known = ids.distinct().join(first, "digest").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "original", F.lit(True).alias("copied"))
-    return pages.join(known, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
+    markers = ids.distinct().join(first, "digest").withColumn("marker", F.lit(True))
+    rows = pages.withColumn("marker", F.lit(False)).unionByName(markers, allowMissingColumns=True)
+    return rows.repartition("page_id", "digest").sortWithinPartitions("page_id", "digest", F.desc("marker"))
 
 
 def write_archives(
@@ -133,17 +135,20 @@ def write_archives(
     archive_bytes: int = ARCHIVE_BYTES,
 ) -> DataFrame:
     """Archive every page under ``folder`` (a URI all executors reach) and return the stored manifest."""
-    rows = with_originals(df, id_column, payload_column, least_bytes)
-    laid = rows.repartition("page_id", "digest").sortWithinPartitions("page_id", "digest")
+    laid = with_originals(df, id_column, payload_column, least_bytes)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
-        last, place = None, 0
+        last, place, repeated, original = None, 0, False, None
         for batch in slices(batches):
             for row in batch.to_pylist():
                 key = (row["page_id"], row["digest"])
-                place = place + 1 if key == last else 0
+                if row["marker"]:
+                    last, place, repeated, original = key, -1, True, row["original"]
+                    continue
+                place, repeated = (place + 1, repeated) if key == last else (0, False)
                 last = key
-                row["first"] = not row["copied"] or (row["page_id"] == row["original"] and not place)
+                row["original"] = original
+                row["first"] = not repeated or (row["page_id"] == original and not place)
                 yield record(row, place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
