@@ -131,12 +131,12 @@ def mix(
     df: DataFrame, weights: Mapping[str, float], id_column: str = "doc_id", source_column: str = "source", **options
 ) -> DataFrame:
     """The rows of ``df`` in the order of the mixture, those that are read several times once for each reading."""
-    marked = df.withColumn("_row", F.xxhash64(*df.columns)) if df.columns else df
-    plan = schedule(marked.select(id_column, source_column, "_row"), weights, id_column, source_column, keep=["_row"], **options)
-    plan = plan.select(
-        F.col(id_column).alias("_d"), F.col("_row").alias("_r"), F.col("slot").alias("_slot"), F.col("within").alias("_within")
-    )
-    same = Window.partitionBy(id_column, "_row").orderBy("_row")
-    once = marked.withColumn("_n", F.row_number().over(same)).where("_n = 1")  # each of equal rows has its own place
-    mixed = once.join(plan, F.col(id_column).eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")))
+    # two hashes of the whole row name it: equal rows are one, which the plan holds once for each of them
+    marked = df.withColumns({"_row": F.xxhash64(*df.columns), "_row2": F.hash(*df.columns)})
+    plan = schedule(
+        marked.select(id_column, source_column, "_row", "_row2"), weights, id_column, source_column, keep=["_row", "_row2"], **options
+    ).select("_row", "_row2", F.col("slot").alias("_slot"), F.col("within").alias("_within"))
+    same = Window.partitionBy("_row", "_row2").orderBy("_row")
+    once = marked.withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    mixed = once.join(plan, ["_row", "_row2"])
     return mixed.repartitionByRange("_slot", "_within").sortWithinPartitions("_slot", "_within").select(*df.columns)
