@@ -97,6 +97,7 @@ def nearest_to_seeds(
     id_type = vectors.schema[id_col].dataType.simpleString()
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [(np.empty(0, dtype=object), np.empty(0))] * len(keys)  # best of each seed so far
         for batch in batches:
             if batch.empty:
                 continue
@@ -104,13 +105,17 @@ def nearest_to_seeds(
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             cosine = np.round(x @ matrix.T, 9)
             own = batch[id_col].to_numpy()
-            for s, key in enumerate(keys):
+            for s in range(len(keys)):
                 keep = np.flatnonzero(own != ids[s])
                 if len(keep) > k:  # every row tied with the k-th best stays for the id tie-break
                     least = np.partition(cosine[keep, s], -k)[-k]
                     keep = keep[cosine[keep, s] >= least]
-                best = keep[np.lexsort((own[keep], -cosine[keep, s]))[:k]]
-                yield pd.DataFrame({seed_key: key, "seed_id": ids[s], id_col: own[best], "cosine": cosine[best, s]})
+                both, score = np.append(held[s][0], own[keep]), np.append(held[s][1], cosine[keep, s])
+                best = np.lexsort((both, -score))[:k]
+                held[s] = both[best], score[best]
+        for s, key in enumerate(keys):
+            if len(held[s][0]):
+                yield pd.DataFrame({seed_key: key, "seed_id": ids[s], id_col: held[s][0].tolist(), "cosine": held[s][1]})
 
     schema = f"{seed_key} {key_type}, seed_id {id_type}, {id_col} {id_type}, cosine double"
     near = vectors.select(id_col, vector_col).mapInPandas(partial, schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import string
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,9 +96,18 @@ def first_maximum(df: DataFrame, key: str, score: str, fallback: int) -> DataFra
 
 
 def letter_aliases(df: DataFrame, column: str, alias: str) -> DataFrame:
-    """One capital letter per distinct value in sorted order, for at most 26 values."""
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(27).collect()]
-    if len(values) > 26:
-        raise ValueError(f"{column} has more than 26 distinct values")
-    pairs = dict(zip(sorted(values), string.ascii_uppercase, strict=False))
-    return df.sparkSession.createDataFrame(list(pairs.items()), f"{column} string, {alias} string")
+    """Letters for the distinct values in sorted order: A to Z, then AA, AB and so on."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    numbered = number_rows(values, [column], name="_n")
+    start = F.struct(F.col("_n").cast("long").alias("left"), F.lit("").alias("text"))
+
+    def digit(state: Column, _: Column) -> Column:
+        letter = F.char((F.lit(65) + F.pmod(state["left"] - 1, F.lit(26))).cast("int"))
+        more = state["left"] > 0
+        return F.struct(
+            F.when(more, F.floor((state["left"] - 1) / 26)).otherwise(F.lit(0)).cast("long").alias("left"),
+            F.when(more, F.concat(letter, state["text"])).otherwise(state["text"]).alias("text"),
+        )
+
+    digits = F.sequence(F.lit(1), F.lit(14))  # enough for any long
+    return numbered.select(F.col(column).cast("string").alias(column), F.aggregate(digits, start, digit)["text"].alias(alias))

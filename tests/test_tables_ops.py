@@ -61,9 +61,9 @@ def test_first_maximum_and_letters(spark):
     df = spark.createDataFrame([(5, 2), (13, 2), (1, 0)], "topic int, hits int")
     assert windows.first_maximum(df, "topic", "hits", 70).first()[0] == 5
     assert windows.first_maximum(df.where("hits = 0"), "topic", "hits", 70).first()[0] == 70
-    many = spark.range(30).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError, match="more than 26"):
-        windows.letter_aliases(many, "c", "a")
+    many = spark.range(800).select(F.format_string("%04d", F.col("id")).alias("c"))
+    got = [r.a for r in windows.letter_aliases(many, "c", "a").orderBy("c").collect()]
+    assert got[:2] == ["A", "B"] and got[25:28] == ["Z", "AA", "AB"] and got[701:703] == ["ZZ", "AAA"]
 
 
 def test_lump_keeps_ties_and_nulls(spark):
