@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annolytics.llm.common import column_of
+from annolytics.llm.common import column_of, first_by_hash
 from annolytics.session import materialize
 
 SAMPLE, PARTS, PER_PART = 8192, 128, 1000
@@ -174,7 +174,7 @@ def search(
     if common is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     rows, count = rows.where(usable("v", common.n)), common["count"]
-    sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    sample = first_by_hash(rows.select("id", "v"), F.xxhash64("id"), SAMPLE, "id").collect()
     parts = int(np.clip(count // PER_PART, 1, min(PARTS, max(1, len(sample) // 64))))
     vectors = np.array([r.v for r in sample])
     router, tries = fit(vectors / np.abs(vectors).max(axis=1, keepdims=True), parts, recall, k, seed) if parts > 1 else (None, 1)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from annolytics.llm.common import column_of, slices, spread_out, text_or_empty, texts_of
+from annolytics.llm.common import column_of, first_by_hash, slices, spread_out, text_or_empty, texts_of
 from annolytics.session import discard, materialize
 
 BUCKETS = 1 << 15
@@ -133,7 +133,7 @@ def labelled_sample(labels: DataFrame, id_column: str, label_column: str, most:
     rows = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(
         F.col(id_column).alias("doc_id")
     ).agg(F.min(label_column).alias("low"), F.max(label_column).alias("high")).where("low = high")
-    return [(r.doc_id, r.low > 0) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    return [(r.doc_id, r.low > 0) for r in first_by_hash(rows, F.xxhash64("doc_id"), most, "doc_id").collect()]
 
 
 def gumbel(seed: int, *columns: str) -> Column:
