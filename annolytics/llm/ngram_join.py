@@ -56,10 +56,14 @@ def misses(n: int, percent: int) -> int:
     return n * (100 - percent) // 100
 
 
+def scarce_set(percent: int) -> int:
+    """Size up to which the groups could use a set's tokens up, so that it may have no pairs enough."""
+    return max(n for n in range(1, 100) if n - int(GROUPS) < misses(n, percent) + 1)
+
+
 def small_set(percent: int) -> int:
     """Size up to which sets are indexed by all their tokens."""
-    scarce = max(n for n in range(1, 100) if n - int(GROUPS) < misses(n, percent) + 1)
-    return scarce * 100 // percent
+    return scarce_set(percent) * 100 // percent
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -96,18 +100,20 @@ def class_of(tokens: np.ndarray) -> bytes:
 def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """Keys of one set: its rare prefix tokens, and pairs of frequent ones of the same group.
 
-    A set so small that its groups could use its tokens up, or that could link with such a set, has all its tokens.
+    A set so small that its groups could use its tokens up has all its tokens as keys. One that could link with such a
+    set has them too, beside its prefix keys, by which it meets larger sets.
     """
     need = misses(len(tokens), percent) + 1
-    if len(tokens) <= small_set(percent):
+    if len(tokens) <= scarce_set(percent):
         return tokens
+    single = tokens[: len(tokens) if len(tokens) <= small_set(percent) else 0]
     if len(frequent):
         often = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
     else:
         often = np.zeros(len(tokens), bool)
     rare = tokens[~often][:need]
     if len(rare) == need:
-        return rare
+        return single if len(single) else rare
     rest = tokens[often]
     group = rest % GROUPS
     begun = np.zeros(len(rest), bool)
@@ -120,7 +126,7 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nd
         own = rest[group == g]
         i, j = np.triu_indices(len(own), 1)
         pairs.append(mixed(own[i] * ODD + own[j]))
-    return np.concatenate([rare, *pairs])
+    return np.concatenate([single if len(single) else rare, *pairs])
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:

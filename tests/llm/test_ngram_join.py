@@ -96,6 +96,27 @@ def test_linked_sets_share_a_key(percent):
             assert keys[0] & keys[1]
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_small_subsets_of_frequent_tokens_share_a_key(percent):
+    """Every pair of sizes about the bound for short sets, with all tokens frequent."""
+    rng = np.random.default_rng(percent)
+    for large in range(2, 30):
+        for small in range(-(-percent * large // 100), large + 1):
+            for _ in range(20):
+                b = np.unique(rng.integers(0, 1 << 63, large).astype(np.uint64))
+                a = np.sort(rng.choice(b, small, replace=False))
+                keys = [set(ngram_join.prefix_keys(x, b, percent).tolist()) for x in (a, b)]
+                assert keys[0] & keys[1], (small, large)
+
+
+def test_short_subset_of_a_text_copied_many_times(spark):
+    """12 of 15 shingles are 80 %, and all 15 are in 65 texts or more."""
+    words = [f"w{i}" for i in range(19)]
+    rows = [(i, " ".join(words)) for i in range(65)] + [(i, " ".join(words[:16])) for i in range(65, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(ngram_join.join(df, words=5, percent=80)) == by_hand(rows, 5, 80)
+
+
 def test_null_ids_clashing_columns_and_empty_table(spark):
     rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (4, "a b c d e f g"), (None, "x y z"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as class", "2 as n", "3 as th", "4 as component_id")
