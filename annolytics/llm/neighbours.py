@@ -33,15 +33,22 @@ def cuts(df: DataFrame, key: str, count: int) -> list:
 
 def with_next(
     df: DataFrame, key: str, tie: str, work: Callable[[Iterator[tuple[dict, dict | None]]], Iterator[dict]],
-    out: StructType, *, wrap: bool = True,
+    out: StructType, *, wrap: bool = True, group: str | None = None,
 ) -> DataFrame:
     """Apply ``work`` to the pairs (row, next row) of every task, by descending ``key`` and ascending ``tie``.
 
     After the last row comes the first (``wrap``) or none. A row with a null key has no place in the order and no
     next row; such rows are dealt out by their ``tie``. A key repeated on many rows keeps those rows in one slice.
+
+    With ``group``, a column whose values lie side by side in the order, the last row of a group comes straight after
+    the row before it: a slice that would begin with that row begins with the first one of its group.
     """
     count = SLICES_PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cuts(df, key, count)
+    if group is not None:
+        ends = df.groupBy(group).agg(F.min(key).alias("last"), F.max(key).alias("first"))
+        moved = {r["last"]: r["first"] for r in ends.where(F.col("last").isin(found)).collect()}
+        found = sorted({moved.get(b, b) for b in found})
     bounds = F.array(*map(F.lit, found)).cast(f"array<{dict(df.dtypes)[key]}>")
     own = F.size(F.filter(bounds, lambda b: b < F.col(key)))
     first = F.array_contains(bounds, F.col(key))

@@ -4,12 +4,14 @@ Pages stand in order of host and URL path; each is paired with the next page of
 text lines of both are aligned by their longest common subsequence, and lines that the pair shares are template: they
 go. Differencing by itself is wrong in both directions on pages of one host: a quotation, a mirrored article or an
 often repeated paragraph is shared without being template, and a footer with a changing line is template without being
-shared. So it decides about lines whose place in the page does not: lines inside an ``article`` or ``main`` element
+shared. So it decides about all lines whose place in the page does not: lines inside an ``article`` or ``main`` element
 stay, and menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles go by their element,
-class or id. On a page with an article, only the article is kept; on others, what neither rule removed.
+class or id. Of the other lines those stay that the partner does not share, also on a page with an article. Where there
+is no partner to decide, they stay on a page without an article and go on a page with one.
 
-Defined cases: null or empty HTML gives the empty text; a page without URL, or the last of its host, has no partner;
-pages with one URL stand in order of their ids; unclosed elements end with the page; extra columns are not read.
+Defined cases: null or empty HTML gives the empty text; a page without URL, or the only one of its host, has no partner;
+the last of its host has the page before it (``turn_back``) or none; pages with one URL stand in order of their ids;
+unclosed elements end with the page; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -128,13 +130,15 @@ def main_text(own: list[tuple[str, str]], partner: list[tuple[str, str]] | None)
     has_article = any(kind == "article" for _, kind in own)
     kept = [
         t for i, (t, kind) in enumerate(own)
-        if (kind == "article" if has_article else kind == "open" and i not in shared)
+        if kind == "article" or kind == "open" and i not in shared and (partner is not None or not has_article)
     ]
     return "\n".join(kept)
 
 
-def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """``page_id, url, text, n_chars`` for every page."""
+def extract(
+    df: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", *, turn_back: bool = False
+) -> DataFrame:
+    """``page_id, url, text, n_chars`` for every page; with ``turn_back``, the last page of a host takes the one before."""
     out = df.select(F.col(id_column), F.col(url_column), F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
     place = F.regexp_extract(url_column, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@]*@)?([^/?#]*)([^?#]*)", 1)
     path = F.regexp_extract(url_column, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@]*@)?([^/?#]*)([^?#]*)", 2)
@@ -147,13 +151,17 @@ def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
 
     def work(pairs: Iterator[tuple[dict, dict | None]]) -> Iterator[dict]:
         ready: tuple[str | None, list] = (None, [])
+        before: tuple[str | None, list] = (None, [])  # host and lines of the page before
         for row, following in pairs:
             own = ready[1] if ready[0] == row["_html"] else lines(row["_html"])
             partner = None
             if following is not None:
                 ready = (following["_html"], lines(following["_html"]))
                 partner = ready[1] if following["_host"] == row["_host"] else None
+            if turn_back and partner is None and row["_host"] is not None and before[0] == row["_host"]:
+                partner = before[1]
+            before = (row["_host"], own)
             text = main_text(own, partner)
             yield {id_column: row[id_column], url_column: row[url_column], "text": text, "n_chars": len(text)}
 
-    return with_next(wanted, "_key", "_html", work, out, wrap=False)
+    return with_next(wanted, "_key", "_html", work, out, wrap=False, group="_host" if turn_back else None)

@@ -29,7 +29,7 @@ def op3_warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_page_differencing(spark: SparkSession, folder: str) -> DataFrame:
-    return page_diff.extract(table(spark, folder, "pages"))
+    return page_diff.extract(table(spark, folder, "pages"), turn_back=True)
 
 
 def op5_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,6 +67,25 @@ def test_pairs_and_defined_cases(spark):
     assert page_diff.extract(df.limit(0)).collect() == []
 
 
+def test_differencing_decides_outside_the_article():
+    page = "<div>Site name</div><article>{0}</article><div>Fig. {0}</div><div>All rights</div>"
+    assert text_of(page.format("one"), page.format("two")) == "one\nFig. one"
+    assert text_of(page.format("one")) == "one"
+
+
+def test_last_page_of_a_host_takes_the_one_before(spark):
+    """Many hosts of one to five pages, so that slices begin at every place of a host; and one of 300 pages."""
+    page = "<div>Top of {0}</div><div>text {1}</div>"
+    hosts = [(f"h{n}.example", n % 5 + 1) for n in range(120)] + [("long.example", 300)]
+    rows = [(n * 1000 + i, f"http://{h}/{i:03d}", page.format(h, i)) for n, (h, size) in enumerate(hosts) for i in range(size)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    sizes, got = dict(hosts), page_diff.extract(df, turn_back=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        host, i = r.url.split("/")[2], int(r.url[-3:])
+        assert r.text == (f"text {i}" if sizes[host] > 1 else f"Top of {host}\ntext {i}")
+
+
 def test_query_gives_the_marked_article(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     rows = QUERIES["op4_page_differencing"](spark, SMALL).collect()
