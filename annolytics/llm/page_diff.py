@@ -35,6 +35,8 @@ INLINE = frozenset(
 )
 PLACES = frozenset("nav footer aside form head menu select button dialog label".split())
 MAIN = frozenset(("article", "main"))
+#: Their class says how the whole page looks, not what it is.
+ROOTS = frozenset(("html", "body"))
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 TEMPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|cookies?|consent|notice|popup|modal|sidebar|menu|nav|navbar|"
@@ -42,21 +44,31 @@ TEMPLATE = re.compile(
     r"subscribe|widget|masthead|topbar|toolbar|pagination|pager|complementary|contentinfo)(?:$|[\s_-])", re.I,
 )
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner)(?:$|[\s_-])", re.I)
+#: The name as a whole, not one part of it as in ``page-with-sidebar``.
+WHOLE = re.compile(TEMPLATE.pattern.replace(r"[\s_-]", r"\s"), re.I)
 CONTENT = re.compile(r"(?:^|\s)(?:articlebody|article-body|article-content|post-content|entry-content|main-content)(?:$|\s)", re.I)
 
 
 def lines(html: str) -> list[tuple[str, str]]:
-    """Text blocks in page order, with the place of each: ``article``, ``template`` or ``open``."""
-    out: list[tuple[str, str]] = []
+    """Text blocks in page order, with the place of each: ``article``, ``template`` or ``open``.
+
+    What a class or id makes template is lifted where the element turns out to hold the article: always for a ``main``,
+    for others where only a part of the name says so, since whole names such as ``comments`` or ``related`` stand for
+    lists of further articles. Inside an article nothing is lifted.
+    """
+    out: list[tuple[str, tuple[int, ...], bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it is template, whether it is the article
-    template = article = 0
+    stack: list[tuple[str, int, bool]] = []  # element, number of its template mark or 0, whether it is the article
+    marks: list[int] = []  # open template marks
+    weak: dict[int, bool] = {}  # marks by class or id outside an article, and whether the whole name says so
+    lifted: set[int] = set()
+    article = number = 0
 
     def end_block() -> None:
         text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            out.append((text, "template" if template else "article" if article else "open"))
+            out.append((text, tuple(marks), article > 0))
 
     place, size = 0, len(html)
     while place < size and (found := TOKEN.match(html, place)):
@@ -76,7 +88,8 @@ def lines(html: str) -> list[tuple[str, str]]:
                 for element in stack[at:]:
                     if element[1] or element[2]:
                         end_block()
-                    template -= element[1]
+                    if element[1]:
+                        marks.remove(element[1])
                     article -= element[2]
                 del stack[at:]
             continue
@@ -89,16 +102,26 @@ def lines(html: str) -> list[tuple[str, str]]:
         named = " ".join(v.strip("\"'") for _, v in NAMES.findall(found[3])) if "=" in found[3] else ""
         is_article = name in MAIN or bool(named and CONTENT.search(named))
         drop = name in PLACES or name == "header" and not article
-        if named and not drop and not (is_article and name == "main"):
-            drop = bool(TEMPLATE.search(named)) or not article and not is_article and bool(HEADER.search(named))
+        by_name = False
+        if named and not drop and name not in MAIN and name not in ROOTS:
+            drop = by_name = bool(TEMPLATE.search(named)) or not article and not is_article and bool(HEADER.search(named))
         is_article = is_article and not drop
         if drop or is_article:
             end_block()
-        template += drop
+        if is_article:
+            lifted.update(m for m in marks if m in weak and (name == "main" or not weak[m]))
+        if drop:
+            number += 1
+            marks.append(number)
+            if by_name and not article:
+                weak[number] = bool(WHOLE.search(named))
         article += is_article
-        stack.append((name, drop, is_article))
+        stack.append((name, number if drop else 0, is_article))
     end_block()
-    return out
+    return [
+        (text, "template" if any(m not in lifted for m in within) else "article" if inside else "open")
+        for text, within, inside in out
+    ]
 
 
 def shared_places(a: Sequence[str], b: Sequence[str]) -> set[int]:

@@ -67,6 +67,20 @@ def test_pairs_and_defined_cases(spark):
     assert page_diff.extract(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<html class=has-menu><body class='no-sidebar'><nav>n</nav><article>a<p>b</article>", "a\nb"),
+    ("<body class='sidebar'><p>no article</p>", "no article"),
+    ("<div id='page-with-sidebar'><div class=sidebar>s</div><article class='post category-social'>a</article></div>", "a"),
+    ("<div class='page-header'>h<article>a</article></div>", "a"), ("<div class='banner'><main>m</main></div>", "m"),
+    ("<div class='with-menu'><div class='entry-content'>a</div></div>", "a"),
+    ("<div class='no-share'><nav>n<article>teaser</article></nav></div><article>a</article>", "a"),
+    ("<article>a</article><div class=related><article>other</article></div><div class=ad-box>x</div>", "a"),
+    ("<article>a<div class='post-comments'><article>reader</article></div></article>", "a"),
+])
+def test_class_parts_do_not_drop_what_holds_the_article(page, want):
+    assert text_of(page) == want
+
+
 def test_differencing_decides_outside_the_article():
     page = "<div>Site name</div><article>{0}</article><div>Fig. {0}</div><div>All rights</div>"
     assert text_of(page.format("one"), page.format("two")) == "one\nFig. one"
