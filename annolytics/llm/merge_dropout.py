@@ -2,15 +2,17 @@
 
 The pieces and their ranks come from a published model file; nothing is trained. A text is cut in front of its words
 (no piece of such a model crosses a word's start), and every word is merged by an agenda: the best-ranked candidate
-merge first, the leftmost of equals. A candidate taken from the agenda is skipped when a hash of (seed, variant, part of the
-word, place, length) falls under the dropout rate, so that the same seed always gives the same pieces, while other seeds
-and variants give other ones. Texts are dealt over ``variants`` by a hash of their id, which keeps words cacheable.
+merge first, the leftmost of equals. A candidate taken from the agenda is skipped when a hash of (seed, document, number
+of the word in its text, start, end) falls under the dropout rate: the same seed always gives the same pieces, while every
+occurrence of a word is cut anew. What is kept of a word is a tree: the agenda without a skip, and for each first skip met
+so far the agenda from there on. The draws of all words of a text are made at once; only a skip not met yet runs an agenda.
 
 Spaces are written as U+2581 as usual. A U+2581 that the text itself holds, and any character without a piece, goes
 through byte pieces, so decoding is lossless for every text.
 
-Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows give equal ids; a null id
-takes variant 0; extra columns are not carried unless named in ``keep``.
+Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows give equal ids; ``variant``
+is the hash of seed and id that the draws of a document depend on, 0 for a null id; extra columns are not carried unless
+named in ``keep``.
 """
 
 from __future__ import annotations
@@ -21,41 +23,65 @@ from collections.abc import Iterator, Sequence
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
+from xxhash import xxh64_intdigest
 
 from annolytics.llm.common import column_of, slices, spread_out, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words and parts of at most this many characters are cached, up to these numbers; then a cache starts anew.
+#: Words, and parts of longer ones, of at most this many characters have a tree. With more words, or more agendas after
+#: a skip, than these numbers the trees start anew at the next text.
 CACHED_CHARS, CACHED_WORDS, CACHED_PARTS = 24, 500_000, 400_000
 #: Longer parts use a heap.
 SHORT_PART = 48
 
 
-class Cache(dict):
-    """Ids by variant and text; starts anew at a number of entries."""
+ODD, ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Of the draws; a candidate enters as ``start * START + end * END``.
+START, END, DRAW, DRAW2 = 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE3D, 0x27D4EB2F
 
-    def __init__(self, most: int):
-        self.most, self.held = most, 0
 
-    def __missing__(self, variant: int) -> dict[str, list[int]]:
-        self[variant] = {}
-        return self[variant]
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
-    def put(self, variant: int, text: str, ids: list[int]) -> None:
-        if len(text) <= CACHED_CHARS:
-            if self.held >= self.most:
-                for kept in self.values():
-                    kept.clear()
-                self.held = 0
-            self.held += 1
-            self[variant][text] = ids
+
+class Pool:
+    """Array that grows."""
+
+    def __init__(self, kind: type):
+        self.data, self.size = np.empty(1024, kind), 0
+
+    def add(self, values: Sequence[int]) -> None:
+        end = self.size + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data, np.empty(max(end, len(self.data)), self.data.dtype)])
+        self.data[self.size : end] = values
+        self.size = end
+
+
+class Trees:
+    """Agendas of words: candidates to draw for, ids without a further skip, and the agenda that follows each skip."""
+
+    def __init__(self):
+        self.codes, self.ids, self.ends = Pool(np.uint32), Pool(np.int32), Pool(np.int64)
+        self.ends.add((0, 0))  # of the candidates and ids of each agenda, by turns
+        self.roots: dict[str, int] = {}  # by word; -1 for one met once, which has no agenda yet
+        self.after: dict[int, int] = {}  # by agenda and place of the skip; -1 likewise
+        self.known: list[tuple[str, frozenset[int]]] = []  # word and skipped candidates
+
+    def add(self, word: str, skipped: frozenset[int], codes: list[int], ids: list[int]) -> int:
+        self.codes.add(codes)
+        self.ids.add(ids)
+        self.ends.add((self.codes.size, self.ids.size))
+        self.known.append((word, skipped))
+        return len(self.known) - 1
 
 
 class MergeDropout:
@@ -77,12 +103,11 @@ class MergeDropout:
                 self.bytes_of[i] = bytes([value])
         self.limit, self.seed = int(rate * (1 << 32)), seed
         self.inside = {piece[i : i + 2] for piece in self.rank for i in range(len(piece) - 1)}
-        self.words = Cache(CACHED_WORDS)
-        self.parts = Cache(CACHED_PARTS)
+        self.trees = Trees()
 
     def skipped(self, key: int, start: int, end: int) -> bool:
-        draw = (key ^ (start * 0x9E3779B1 + end * 0x85EBCA6B)) * 0xC2B2AE3D & 0xFFFFFFFF
-        return (draw ^ draw >> 15) * 0x27D4EB2F & 0xFFFFFFFF < self.limit
+        draw = (key ^ (start * START + end * END)) * DRAW & 0xFFFFFFFF
+        return (draw ^ draw >> 15) * DRAW2 & 0xFFFFFFFF < self.limit
 
     def spans_of_short(self, word: str, key: int) -> list[int]:
         """Starts of the pieces. The agenda is the list of the neighbours' ranks; ``none`` marks what cannot merge."""
@@ -122,10 +147,27 @@ class MergeDropout:
             out.append(ends[out[-1]])
         return out
 
-    def merged(self, part: str, variant: int) -> list[int]:
-        """Ids of one part of a word."""
-        key = xxh32_intdigest(part, (self.seed * 1_000_003 + variant) & 0xFFFFFFFF) if self.limit else 0
-        starts = (self.spans_of_short if len(part) <= SHORT_PART else self.spans_of_long)(part, key)
+    def agenda(self, word: str, skipped: frozenset[int]) -> tuple[list[int], list[int]]:
+        """As ``spans_of_short``, with the skips given: the candidates taken after the last of them, and the starts."""
+        rank, none = self.rank.get, len(self.rank)
+        starts, taken = list(range(len(word) + 1)), []
+        agenda = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
+        while agenda and (best := min(agenda)) < none:
+            i = agenda.index(best)
+            code = starts[i] * START + starts[i + 2] * END & 0xFFFFFFFF
+            if code in skipped:
+                agenda[i] = none
+                taken.clear()
+                continue
+            taken.append(code)
+            del starts[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = rank(word[starts[i - 1] : starts[i + 1]], none)
+            if i < len(agenda):
+                agenda[i] = rank(word[starts[i] : starts[i + 2]], none)
+        return taken, starts
+
+    def ids_of(self, part: str, starts: list[int]) -> list[int]:
         ids = []
         for start, end in pairwise(starts):
             r = self.rank.get(part[start:end])
@@ -135,36 +177,110 @@ class MergeDropout:
                 ids.append(self.id_at[r])
         return ids
 
-    def of_word(self, word: str, variant: int) -> list[int]:
-        """Ids of one word, which falls into parts where two neighbours stand in no piece together."""
-        ids, start, known = [], 0, self.parts[variant]
-        for end in range(1, len(word) + 1):
-            if end == len(word) or word[end - 1 : end + 1] not in self.inside:
-                part = word[start:end]
-                found = known.get(part)
-                if found is None:
-                    found = self.merged(part, variant)
-                    self.parts.put(variant, part, found)
-                ids += found
-                start = end
-        return ids
+    def merged(self, part: str, key: int) -> list[int]:
+        """Ids of one part of a word, without its tree."""
+        return self.ids_of(part, (self.spans_of_short if len(part) <= SHORT_PART else self.spans_of_long)(part, key))
 
-    def encode(self, text: str, variant: int = 0) -> list[int]:
-        if not text:
-            return []
-        known = self.words[variant]
-        ids: list[int] = []
+    def tree_of(self, word: str, skipped: frozenset[int] = frozenset()) -> int:
+        codes, starts = self.agenda(word, skipped)
+        return self.trees.add(word, skipped, codes, self.ids_of(word, starts))
+
+    def parts_of(self, word: str) -> list[str]:
+        """A long word falls into parts where two neighbours stand in no piece together."""
+        cut = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inside), len(word)]
+        return [word[start:end] for start, end in pairwise(cut)]
+
+    def units(self, text: str) -> list[str]:
+        """The words of a text, long ones in parts; the empty word stands for a U+2581 of the text itself."""
+        out: list[str] = []
         for number, part in enumerate(text.split(SPACE)):
             if number:
-                ids += [self.byte_ids[b] for b in SPACE.encode()]
+                out.append("")
             part = part.replace(" ", SPACE)
             for word in WORD.findall(part if number else SPACE + part):
-                found = known.get(word)
-                if found is None:
-                    found = self.of_word(word, variant)
-                    self.words.put(variant, word, found)
-                ids += found
-        return ids
+                if len(word) <= CACHED_CHARS:
+                    out.append(word)
+                else:
+                    out += self.parts_of(word)
+        return out
+
+    def keys(self, count: int, variant: int) -> np.ndarray:
+        """Of the draws of each word of a document."""
+        base = xxh64_intdigest((self.seed * 1_000_003 + variant & (1 << 64) - 1).to_bytes(8, "little"))
+        keys = np.uint64(base) ^ np.arange(1, count + 1, dtype=np.uint64) * ODD
+        keys = (keys ^ (keys >> np.uint64(29))) * ODD2
+        keys = (keys ^ (keys >> np.uint64(32))) * ODD
+        return (keys >> np.uint64(32)).astype(np.uint32)
+
+    def encoded(self, text: str, variant: int = 0) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.int32)
+        if len(self.trees.roots) > CACHED_WORDS or len(self.trees.after) > CACHED_PARTS:
+            self.trees = Trees()
+        trees, units = self.trees, self.units(text)
+        keys = self.keys(len(units), variant)
+        roots, after, known = trees.roots, trees.after, trees.known
+        lone: dict[int, list[int]] = {}  # ids of words without an agenda to be used
+        found = list(map(roots.get, units))
+        for at, (word, root) in enumerate(zip(units, found, strict=True)):
+            if root is not None and root >= 0:
+                continue
+            root = roots.get(word)
+            if not word:
+                root = roots[word] = trees.add(word, frozenset(), [], [self.byte_ids[b] for b in SPACE.encode()])
+            elif len(word) <= CACHED_CHARS and (root is not None or not self.limit):
+                if root is None or root < 0:
+                    root = roots[word] = self.tree_of(word)
+            else:
+                lone[at] = self.merged(word, int(keys[at]))
+                root = -1
+                if len(word) <= CACHED_CHARS:
+                    roots[word] = -1
+            found[at] = root
+        node = np.array(found, np.int64)
+        at = np.flatnonzero(node >= 0) if self.limit else np.empty(0, np.int64)
+        while len(at):
+            ends = trees.ends.data
+            own = node[at]
+            first = ends[2 * own]
+            sizes = ends[2 * own + 2] - first
+            owner = np.repeat(np.arange(len(at)), sizes)
+            draw = (keys[at][owner] ^ trees.codes.data[ranges(first, sizes)]) * np.uint32(DRAW)
+            hit = np.flatnonzero((draw ^ draw >> np.uint32(15)) * np.uint32(DRAW2) <= np.uint32(self.limit - 1))
+            of = owner[hit]
+            one = np.ones(len(of), bool)
+            one[1:] = of[1:] != of[:-1]
+            hit, of = hit[one], of[one]
+            place = hit - (np.cumsum(sizes) - sizes)[of]
+            at, follow = at[of], []
+            skips = zip(at.tolist(), own[of].tolist(), place.tolist(), trees.codes.data[first[of] + place].tolist(), strict=True)
+            for i, n, k, code in skips:
+                step = n << 16 | k
+                child = after.get(step)
+                if child is None:
+                    after[step] = child = -1
+                    lone[i] = self.merged(known[n][0], int(keys[i]))
+                elif child < 0:
+                    word, skipped = known[n]
+                    after[step] = child = self.tree_of(word, skipped | {code})
+                follow.append(child)
+            node[at] = follow
+            at = at[node[at] >= 0]
+        kept, ends = node >= 0, trees.ends.data
+        sizes = np.zeros(len(node), np.int64)
+        first = ends[2 * node[kept] + 1]
+        sizes[kept] = ends[2 * node[kept] + 3] - first
+        rest = sorted(lone)
+        sizes[rest] = [len(lone[i]) for i in rest]
+        begins = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int32)
+        out[ranges(begins[kept], sizes[kept])] = trees.ids.data[ranges(first, sizes[kept])]
+        if rest:
+            out[ranges(begins[rest], sizes[rest])] = [x for i in rest for x in lone[i]]
+        return out
+
+    def encode(self, text: str, variant: int = 0) -> list[int]:
+        return self.encoded(text, variant).tolist()
 
     def decode(self, ids: Sequence[int]) -> str:
         return b"".join([self.bytes_of[i] for i in ids])[1:].decode() if len(ids) else ""
@@ -177,12 +293,12 @@ def _encoder(model: str, rate: float, seed: int) -> MergeDropout:
 
 def encode(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, model: str = MODEL, rate: float = 0.1,
-    seed: int = 0, variants: int = 2, keep: Sequence[str] = (),
+    seed: int = 0, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Ids of every whole text, with the number of ids and whether decoding them gave the text back."""
     wanted = df.select(
         F.col(id_column), F.col(text_column).alias("_text"), *[F.col(c) for c in keep],
-        F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col(id_column)), F.lit(variants)), F.lit(0)).alias("variant"),
+        F.when(F.col(id_column).isNull(), 0).otherwise(F.xxhash64(F.lit(seed), F.col(id_column))).alias("variant"),
     )
     out = wanted.drop("_text").withColumns(
         {"n_tokens": F.lit(0).cast("long"), "ids": F.array().cast("array<int>"), "lossless": F.lit(True)}

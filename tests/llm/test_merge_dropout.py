@@ -72,6 +72,26 @@ def test_cache_limit_does_not_change_ids(monkeypatch):
     assert MergeDropout(rate=0.2).encode(text) == want
 
 
+def test_every_occurrence_is_cut_anew():
+    """Within a document and between documents, as often as the draws of the plain agenda say."""
+    coder, word, n = MergeDropout(rate=0.2, seed=1), "▁internationalisation", 400
+    cuts = []
+    for document in range(3):
+        want = [coder.merged(word, int(k)) for k in coder.keys(n, document)]
+        assert coder.encode(" ".join([word[1:]] * n), document) == sum(want, [])
+        cuts += [tuple(x) for x in want]
+    assert len(set(cuts)) > 20 and cuts[:n] != cuts[n : 2 * n] != cuts[2 * n :]
+
+
+def test_trees_give_what_the_plain_agenda_gives(spark):
+    coder = MergeDropout(rate=0.3, seed=4)
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(40).collect()]
+    for document, text in enumerate([*texts, *(t for t in ODD if t), *texts]):
+        units = coder.units(text)
+        keys = coder.keys(len(units), document).tolist()
+        assert coder.encode(text, document) == sum((coder.merged(u, k) for u, k in zip(units, keys)), [])
+
+
 def test_frames(spark):
     rows = [(1, "a b"), (2, None), (3, ""), (None, "a b"), (1, "a b"), (4, "long text " * 5000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as ids", "8 as _text", "9 as variant")
