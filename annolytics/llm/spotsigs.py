@@ -2,7 +2,9 @@
 
 Each common word of a text is an anchor; its signature is the anchor with the next ``CHAIN`` content words, of which
 each ``STEP``-th is taken. The text's start counts as an anchor, so a text with words always has a signature, and a
-chain may end early at the text's end. A fingerprint is the ascending set of the signatures' 32-bit hashes, written
+chain may end early at the text's end. Where more than ``SPARSE`` content words follow each other without a common word,
+as in tables or in a language without anchors, the word with the smallest hash of each ``CHAIN`` + 1 neighbours is an
+anchor too (at ``STEP`` 1 every word there is then in a signature). A fingerprint is the ascending set of the signatures' 32-bit hashes, written
 as eight hexadecimal digits each; the likeness of two is the Jaccard coefficient of these sets.
 
 Defined cases: a null text is empty; a text without words has the empty fingerprint, whose likeness is 1 to another
@@ -25,6 +27,8 @@ from annolytics.llm.neighbours import with_next
 
 WORD = re.compile(r"[^\W_]+")
 STEP, CHAIN = 1, 3
+#: Longest stretch of content words that needs no anchors of its own.
+SPARSE = 8
 #: Common words of English, French, German and Spanish.
 ANCHORS = frozenset(
     "a an and are as at be but by for from had has have he in is it not of on or she that the they this to was were will "
@@ -51,6 +55,18 @@ class Signatures:
             known.clear()
         return np.array([known.get(w) or known.setdefault(w, xxh64_intdigest(w)) for w in words], np.uint64)
 
+    def sparse_anchors(self, content: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Places of the content words that are anchors, given the places in front of which a common word stands."""
+        width = self.chain + 1
+        edges = np.concatenate(([0], cuts, [len(content)]))
+        stretch = np.repeat(np.diff(edges), np.diff(edges))  # length of the stretch that a content word is in
+        if len(content) < width or not (stretch > SPARSE).any():
+            return np.empty(0, np.int64)
+        part = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        starts = np.flatnonzero((stretch[: 1 - width] > SPARSE) & (part[: 1 - width] == part[width - 1 :]))
+        ranks = (content ^ (content >> np.uint64(31))) * ODD
+        return np.unique(starts + np.lib.stride_tricks.sliding_window_view(ranks, width)[starts].argmin(axis=1))
+
     def of(self, text: str) -> np.ndarray:
         """Ascending distinct 32-bit hashes of the signatures."""
         words = WORD.findall(text.lower())
@@ -62,6 +78,9 @@ class Signatures:
         before = np.cumsum(~common)  # content words up to each place: where the chain of an anchor begins
         begins = np.concatenate(([0], before[common]))
         mixed = np.concatenate((np.array([7], np.uint64), h[common]))
+        own = self.sparse_anchors(h[~common], before[common])
+        if len(own):
+            begins, mixed = np.concatenate((begins, own + 1)), np.concatenate((mixed, h[~common][own]))
         for link in range(self.chain):
             mixed = (mixed ^ (mixed >> np.uint64(29))) * ODD + content[np.minimum(begins + link * self.step, len(content) - 1)]
         return np.unique(((mixed ^ (mixed >> np.uint64(32))) * ODD >> np.uint64(32)).astype(np.uint32))

@@ -67,6 +67,19 @@ def test_equal_texts_have_equal_fingerprints_and_near_ones_are_near():
     assert len(s.of("Xyz")) == 1 and len(s.of("...")) == 0
 
 
+def test_texts_without_anchors_are_seen_whole():
+    s = spotsigs.Signatures()
+    words = [f"w{i}x" for i in range(60)]
+    a = s.of(" ".join(words))
+    other = s.of(" ".join(words[:3] + [f"v{i}x" for i in range(57)]))
+    assert len(a) > 15 and spotsigs.jaccard(a, other) < 0.1
+    for i in range(60):  # an edit anywhere changes some signatures, and few
+        edited = s.of(" ".join(words[:i] + ["changed"] + words[i + 1 :]))
+        assert 0.5 < spotsigs.jaccard(a, edited) < 1
+    tail = " and " + " ".join(words)  # the same after a common word, and with one anchor only
+    assert spotsigs.jaccard(s.of("one" + tail), s.of("one" + tail.replace("w50x", "changed"))) < 1
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8])
 def test_near_pairs_lose_no_link(spark, threshold):
     rng = np.random.default_rng(1)
