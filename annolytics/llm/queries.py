@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolytics.llm import chat, merge_dropout, mixing, ngram_join, page_diff, partitions, pii, resample, spotsigs, warc
+from annolytics.llm import (
+    chat, divergence, filter_audit, merge_dropout, mixing, ngram_join, page_diff, partitions, pii, resample, ring, spotsigs, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,7 +62,23 @@ def op10_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
     return merge_dropout.encode(table(spark, folder, "documents"), seed=20)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spotsigs, op2_ngram_join, op3_warc_dictionary, op4_page_differencing, op5_importance_resampling, op6_candidate_boosting, op7_pfair_mixing, op8_learned_partitions, op9_perspective_rotation, op10_merge_dropout)}
+def op11_divergence_stripes(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"), least_docs=30, top=50)
+
+
+def op12_filter_diagrams(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_bounded_ring(spark: SparkSession, folder: str) -> DataFrame:
+    return ring.place(table(spark, folder, "documents"), shards=24)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_spotsigs, op2_ngram_join, op3_warc_dictionary, op4_page_differencing, op5_importance_resampling, op6_candidate_boosting,
+    op7_pfair_mixing, op8_learned_partitions, op9_perspective_rotation, op10_merge_dropout, op11_divergence_stripes,
+    op12_filter_diagrams, op13_bounded_ring,
+)}
 
 # The payloads as DuckDB sees them; base32 is written out, since SQL has no function for it.
 OP3_SQL = """
@@ -130,4 +148,120 @@ SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (own) AS
 FROM o GROUP BY conv_id, perspective, part
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_perspective_rotation": OP9_SQL, "op7_pfair_mixing": OP7_SQL, "op3_warc_dictionary": OP3_SQL}
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words, row_number() OVER () AS row_id FROM documents),
+t AS (SELECT row_id, lang, source, unnest(words) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row_id) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+fp AS (SELECT *, 1 + ((1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)) AS p FROM f JOIN v USING (lang)),
+l AS (SELECT lang, term, any_value(v) AS v, sum(n) AS n FROM fp GROUP BY ALL),
+lp AS (SELECT *, 1 + ((1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v)) AS p FROM l),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(any_value(x.value), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM fp x JOIN fp y USING (lang, term) GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source GROUP BY 1, 2, 3
+),
+terms AS (SELECT fp.lang, fp.source, fp.term AS item, fp.p - lp.p AS value FROM fp JOIN lp USING (lang, term) WHERE fp.n > 0 AND fp.p > lp.p)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
+  row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value::BIGINT, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms) WHERE rank <= 50
+"""
+
+# The filters are applied in each of the 120 orders, mask by mask; bit i of a mask is the i-th filter.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+m AS (
+  SELECT doc_id, part, (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * (coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false))::INT AS mask
+  FROM d
+),
+c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad
+  FROM m LEFT JOIN labels USING (doc_id) GROUP BY ALL
+),
+x AS (SELECT unnest(range(0, 5)) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS seq FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+),
+s AS (
+  SELECT seq, list_aggregate(list_transform(seq, lambda f: substr('ABCDE', f::INT + 1, 1)), 'string_agg', '') AS filter_order,
+    unnest(range(1, 6)) AS step FROM o
+),
+b AS (
+  SELECT filter_order, step, 1 << seq[step] AS bit, list_sum(list_transform(seq[1:step], lambda f: 1 << f)) - (1 << seq[step]) AS earlier FROM s
+),
+r AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (earlier | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & bit > 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & earlier > 0 AND mask & bit > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & earlier = 0 AND mask & bit > 0), 0) AS good_lost,
+    coalesce(sum(bad) FILTER (mask & earlier = 0 AND mask & bit > 0), 0) AS toxic_lost
+  FROM c, b GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+# Arc by arc around the ring: each shard in clockwise order takes what it has room for. The checksum goes byte by byte.
+OP13_SQL = """
+WITH RECURSIVE crc_bits AS (
+  SELECT b, 0 AS i, b::BIGINT AS c FROM range(0, 256) a(b)
+  UNION ALL SELECT b, i + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_bits WHERE i < 8
+),
+crc_table AS (SELECT list(c ORDER BY b) AS crcs FROM crc_bits WHERE i = 8),
+sums AS (
+  SELECT text, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc
+  FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents), crc_table
+),
+ring AS (
+  SELECT s, pos, row_number() OVER (ORDER BY pos, s) - 1 AS arc FROM (
+    SELECT s, ('0x' || substr(md5(s || ':' || v), 1, 15))::BIGINT AS pos FROM range(0, 24) a(s), range(0, 128) b(v))
+),
+d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, coalesce(text, '') AS text,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS pos FROM documents
+),
+k AS (SELECT d.*, coalesce(r.arc, 0) AS arc FROM d ASOF LEFT JOIN ring r ON r.pos >= d.pos),
+n AS (SELECT *, row_number() OVER (PARTITION BY arc ORDER BY pos, doc_id, size) AS number FROM k),
+near AS (
+  SELECT arc, list(s ORDER BY away) AS shards FROM (
+    SELECT a.arc, b.s, min((b.arc - a.arc + 3072) % 3072) AS away FROM (SELECT DISTINCT arc FROM n) a, ring b GROUP BY ALL) GROUP BY arc
+),
+q AS (SELECT arc, count(*) AS keys, any_value(shards) AS shards, row_number() OVER (ORDER BY arc) AS i FROM n JOIN near USING (arc) GROUP BY arc),
+r AS (
+  SELECT 0::BIGINT AS i, list_transform(range(0, 24), lambda s: total // 24 + (s < total % 24)::INT) AS room, range(0, 0) AS took
+  FROM (SELECT count(*) AS total FROM n)
+  UNION ALL
+  SELECT i + 1, list_transform(room, lambda x, s: x - list_sum(list_transform(range(1, 25), lambda j: CASE WHEN shards[j] = s - 1 THEN took[j] ELSE 0 END))), took
+  FROM (
+    SELECT i, room, shards, list_transform(range(1, 25), lambda j: greatest(0, least(open[j], keys - coalesce(list_sum(open[1:j - 1]), 0)))) AS took
+    FROM (SELECT r.i, room, keys, shards, list_transform(shards, lambda s: room[s + 1]) AS open FROM r JOIN q ON q.i = r.i + 1)
+  )
+),
+t AS (SELECT arc, r.i, unnest(shards) AS shard, unnest(took) AS took, unnest(range(0, 24)) AS j FROM r JOIN q USING (i)),
+spans AS (
+  SELECT arc, shard, took, sum(took) OVER (PARTITION BY arc ORDER BY j) - took AS first,
+    sum(took) OVER (PARTITION BY shard ORDER BY i) - took AS slot FROM t
+)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INT AS shard, (slot + number - 1 - first)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM n JOIN sums USING (text) JOIN spans USING (arc) WHERE number > first AND number <= first + took
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_perspective_rotation": OP9_SQL, "op7_pfair_mixing": OP7_SQL, "op3_warc_dictionary": OP3_SQL,
+    "op11_divergence_stripes": OP11_SQL, "op12_filter_diagrams": OP12_SQL, "op13_bounded_ring": OP13_SQL,
+}
