@@ -21,9 +21,11 @@ from __future__ import annotations
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from annolytics.llm.common import spread_out, text_or_empty
 from annolytics.session import materialize
 
 #: Entries (term and source) that a task holds before it spills its stripes.
-HELD = 500_000
+HELD = 1_500_000
 #: Kept terms that one part of a language takes in at a time when divergences are summed.
 PART_TERMS = 4096
 SCALE, PRIOR = 10**9, 5
@@ -72,31 +74,36 @@ class Stripes:
     def spill(self) -> Iterator[pa.RecordBatch]:
         """All stripes, a language at a time; the tables are empty afterwards."""
         for lang, docs in self.docs.items():
-            found: dict[bytes, tuple[list, list]] = {term: ([], []) for term in docs}
-            for source, counts in self.counts[lang].items():
-                for term, n in counts.items():
-                    names, numbers = found[term]
-                    names.append(source)
-                    numbers.append(n)
-            terms = list(docs)
-            for at in range(0, len(terms), 1 << 14):
-                some = terms[at : at + (1 << 14)]
-                yield _stripe_batch([lang] * len(some), some, [docs[t] for t in some], [found[t] for t in some])
+            tables = self.counts[lang]
+            terms = pa.array(list(docs), pa.binary())
+            of_entry = pa.array(list(chain.from_iterable(tables.values())), pa.binary())
+            places = pc.index_in(of_entry, value_set=terms).to_numpy()
+            counts = np.fromiter(chain.from_iterable(t.values() for t in tables.values()), np.int64, len(places))
+            sources = np.repeat(np.arange(len(tables), dtype=np.int32), [len(t) for t in tables.values()])
+            order = np.argsort(places, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(places, minlength=len(terms)))])
+            names = pa.array([*tables], pa.binary()).cast(pa.string())
+            yield from _stripes(
+                pa.repeat(pa.scalar(lang, pa.binary()), len(terms)), terms, np.fromiter(docs.values(), np.int64, len(docs)), ends,
+                pa.DictionaryArray.from_arrays(sources[order], names), counts[order],
+            )
         self.__init__()
 
 
-def _stripe_batch(langs: list, terms: list, docs: list, pairs: list) -> pa.RecordBatch:
-    offsets = np.zeros(len(pairs) + 1, np.int32)
-    np.cumsum([len(names) for names, _ in pairs], out=offsets[1:])
-    names = pa.array([n for names, _ in pairs for n in names], pa.binary()).cast(pa.string())
-    numbers = pa.array([n for _, numbers in pairs for n in numbers], pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(langs, pa.binary()).cast(pa.string()), pa.array(terms, pa.binary()).cast(pa.string()),
-            pa.array(docs, pa.int64()), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, numbers),
-        ],
-        names=["lang", "term", "docs", "sources", "counts"],
-    )
+def _stripes(langs: pa.Array, terms: pa.Array, docs: np.ndarray, ends: np.ndarray, sources: pa.DictionaryArray, counts: np.ndarray, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Stripes as record batches; stripe i holds the entries from ``ends[i]`` to ``ends[i + 1]``."""
+    for at in range(0, len(terms), rows):
+        part = ends[at : at + rows + 1]
+        offsets = pa.array((part - part[0]).astype(np.int32))
+        names = sources.slice(part[0], part[-1] - part[0]).cast(pa.string())
+        numbers = pa.array(counts[part[0] : part[-1]])
+        yield pa.RecordBatch.from_arrays(
+            [
+                langs.slice(at, rows).cast(pa.string()), terms.slice(at, rows).cast(pa.string()), pa.array(docs[at : at + rows]),
+                pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, numbers),
+            ],
+            names=["lang", "term", "docs", "sources", "counts"],
+        )
 
 
 def _bytes_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -116,41 +123,49 @@ def fold_documents(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Itera
     yield from tables.spill()
 
 
-def merge_stripes(batches: Iterator[pa.RecordBatch], least_docs: int) -> Iterator[pa.RecordBatch]:
-    """Stripes in order of language and term to one stripe per key; those below ``least_docs`` go, the empty term stays."""
-    key, docs, counts = None, 0, {}
-    done: list = []
+def _merged(rows: pa.RecordBatch, least_docs: int) -> list[pa.RecordBatch]:
+    """Stripes in order to one stripe per key; short ones go, but for the last, whose key may go on."""
+    lang, term = rows.column("lang"), rows.column("term")
+    n = rows.num_rows
+    new = pc.or_(pc.not_equal(term.slice(1), term.slice(0, n - 1)), pc.not_equal(lang.slice(1), lang.slice(0, n - 1)))
+    first = np.concatenate([[True], new.to_numpy(zero_copy_only=False)])
+    docs = np.add.reduceat(rows.column("docs").to_numpy(), np.flatnonzero(first))
+    kept = (docs >= least_docs) | (pc.binary_length(term).to_numpy(zero_copy_only=False)[first] == 0)
+    kept[-1] = True
+    rows = rows.filter(pa.array(kept[np.cumsum(first) - 1]))
+    first = first[kept[np.cumsum(first) - 1]]
+    lists = rows.column("sources")
+    sources = lists.flatten().dictionary_encode()
+    stripe = np.repeat(np.cumsum(first) - 1, pc.list_value_length(lists).to_numpy())
+    keys = stripe * len(sources.dictionary) + sources.indices.to_numpy()
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.add.reduceat(rows.column("counts").flatten().to_numpy()[order], starts)
+    stripe, source = np.divmod(keys[starts], len(sources.dictionary))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(stripe, minlength=first.sum()))])
+    heads = rows.filter(pa.array(first))
+    merged = pa.DictionaryArray.from_arrays(source.astype(np.int32), sources.dictionary)
+    return list(_stripes(heads.column("lang"), heads.column("term"), docs[kept], ends, merged, counts))
 
-    def batch_of(rows: list) -> pa.RecordBatch:
-        langs, terms, sums, tables = zip(*rows)
-        return _stripe_batch(list(langs), list(terms), list(sums), [(list(t), list(t.values())) for t in tables])
 
+def merge_stripes(batches: Iterator[pa.RecordBatch], least_docs: int) -> Iterator[pa.RecordBatch]:
+    """Stripes in order of language and term to one stripe per key; those below ``least_docs`` go, the empty term stays.
+
+    Each batch is merged with the one open stripe of those before it, so a key held by every task takes no more room.
+    """
+    last = None
     for batch in batches:
-        for start in range(0, batch.num_rows, 4096):
-            rows = batch.slice(start, 4096)
-            lists = rows.column("sources")
-            offsets = lists.offsets.to_numpy()
-            names = lists.values.cast(pa.binary()).slice(offsets[0], offsets[-1] - offsets[0]).to_pylist()
-            numbers = rows.column("counts").flatten().to_pylist()
-            ends = (offsets[1:] - offsets[0]).tolist()
-            at = 0
-            for lang, term, n, end in zip(_bytes_of(rows, "lang"), _bytes_of(rows, "term"), rows.column("docs").to_pylist(), ends):
-                if (lang, term) != key:
-                    if key and (docs >= least_docs or not key[1]):
-                        done.append((*key, docs, counts))
-                    key, docs, counts = (lang, term), 0, {}
-                docs += n
-                for i in range(at, end):
-                    name = names[i]
-                    counts[name] = counts.get(name, 0) + numbers[i]
-                at = end
-            if len(done) >= 4096:
-                yield batch_of(done)
-                done = []
-    if key and (docs >= least_docs or not key[1]):
-        done.append((*key, docs, counts))
-    if done:
-        yield batch_of(done)
+        if not batch.num_rows:
+            continue
+        rows = batch if last is None else pa.Table.from_batches([last, batch.cast(last.schema)]).combine_chunks().to_batches()[0]
+        *done, end = _merged(rows, least_docs)
+        yield from done
+        if end.num_rows > 1:
+            yield end.slice(0, end.num_rows - 1)
+        last = end.slice(end.num_rows - 1)
+    if last is not None and (last.column("docs")[0].as_py() >= least_docs or not last.column("term")[0].as_py()):
+        yield last
 
 
 def weigh(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -290,5 +305,4 @@ def audit(
     found = laid.mapInArrow(lambda batches: emit_divergences(batches, top), FOUND)
     found = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     place = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    terms = found.where("part = 'term'").withColumn("rank", place).where(F.col("rank") <= top)
-    return found.where("part = 'pair'").withColumn("rank", place).unionByName(terms)
+    return found.withColumn("rank", place).where((F.col("part") == "pair") | (F.col("rank") <= top))
