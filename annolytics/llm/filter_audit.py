@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolytics.llm.common import spread_out, text_or_empty
-from annolytics.operators.relational import join_on
+from annolytics.operators.relational import join_on, salted_lookup
+from annolytics.session import materialize
 
 Counts = tuple[int, int, int]  # documents, good ones, toxic ones
 Node = tuple  # (pass branch, fail branch), or Counts at a leaf
@@ -142,7 +143,7 @@ def text_filters(text: str, repeated: Column) -> dict[str, Column]:
 
 
 def masks(df: DataFrame, id_column: str, text_column: str, part_column: str) -> DataFrame:
-    """``_id, _part, _mask``. Texts are read once; only ids and digests are shuffled for the repeats."""
+    """``_id, _part, _mask``. Texts are read once; for the repeats ids and digests are shuffled, those of a frequent text in parts."""
     rows = spread_out(df.select(
         F.col(id_column).alias("_id"), text_or_empty(part_column).alias("_part"), text_or_empty(text_column).alias("_text")
     ))
@@ -150,13 +151,14 @@ def masks(df: DataFrame, id_column: str, text_column: str, part_column: str) ->
     rows = rows.withColumn("_list", words).withColumns({
         "_words": F.size("_list").cast("long"), "_distinct": F.size(F.array_distinct("_list")).cast("long"),
     })
-    own = rows.select(
+    own = materialize(rows.select(
         "_id", "_part", mask_of(text_filters("_text", F.lit(False))).alias("_mask"), F.unhex(F.sha2("_text", 256)).alias("_digest"),
-    )
-    smallest = own.groupBy("_digest").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
-    smallest = smallest.where("_n > 1 and _least is not null").drop("_n")
+    ), "masks")
+    same = own.groupBy("_digest").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    same = materialize(same.where("_n > 1 and _least is not null"), "repeats")
     later = F.col("_least").isNotNull() & (F.col("_id").isNull() | (F.col("_id") > F.col("_least")))
-    return own.join(smallest, "_digest", "left").select("_id", "_part", (F.col("_mask") + F.when(later, 16).otherwise(0)).alias("_mask"))
+    found = salted_lookup(own, same.drop("_n"), "_digest", same.select("_digest", "_n"))
+    return found.select("_id", "_part", (F.col("_mask") + F.when(later, 16).otherwise(0)).alias("_mask"))
 
 
 def audit(
