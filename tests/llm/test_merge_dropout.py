@@ -64,12 +64,25 @@ def test_both_agendas_agree(word, key):
     assert _coder().spans_of_short(word, key) == _coder().spans_of_long(word, key)
 
 
-def test_cache_limit_does_not_change_ids(monkeypatch):
-    text = " ".join(f"word{i % 50}" for i in range(500))
-    want = MergeDropout(rate=0.2).encode(text)
-    monkeypatch.setattr(merge_dropout, "CACHED_WORDS", 7)
-    monkeypatch.setattr(merge_dropout, "CACHED_PARTS", 3)
-    assert MergeDropout(rate=0.2).encode(text) == want
+def test_batch_limits_do_not_change_ids(monkeypatch):
+    texts = [" ".join(f"word{i % 50}  x" for i in range(300)), "", "a b▁ c " * 40, "unbroken" * 30, *ODD]
+    variants = list(range(len(texts)))
+    coder = MergeDropout(rate=0.2)
+    want = coder.encode_all(texts, variants)
+    assert want[2].all() and [want[0][a:b].tolist() for a, b in zip(want[1], want[1][1:])] == [coder.encode(t, v) for t, v in zip(texts, variants)]
+    for chars, units in ((1, 3), (17, 16_384), (64, 7), (1000, 100)):
+        monkeypatch.setattr(merge_dropout, "BATCH_CHARS", chars)
+        monkeypatch.setattr(merge_dropout, "BATCH_UNITS", units)
+        assert [x.tolist() for x in coder.encode_all(texts, variants)] == [x.tolist() for x in want]
+
+
+def test_a_wrong_decoding_is_seen():
+    coder = MergeDropout(rate=0)
+    ids, ends, whole = coder.encode_all(["one two", "three"], [0, 0])
+    assert whole.all()
+    coder.bytes = coder.bytes.copy()
+    coder.bytes[coder.begins[ids[-1]]] ^= 1
+    assert coder.encode_all(["one two", "three"], [0, 0])[2].tolist() == [True, False]
 
 
 def test_every_occurrence_is_cut_anew():
