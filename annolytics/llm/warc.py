@@ -206,7 +206,7 @@ def parsed(data: bytes) -> dict:
 
 
 def read_archives(manifest: DataFrame, folder: str, *, id_type: str = "bigint", payloads: bool = True) -> DataFrame:
-    """The records of the archives a manifest names, one task at a time per archive."""
+    """The records of the archives a manifest names; each archive is read by a task of its own."""
     target = manifest.sparkSession.createDataFrame([], RECORDS.format(id=id_type)).schema
     text = manifest.sparkSession.createDataFrame([], RECORDS.format(id="string")).schema
     names = text.names
@@ -229,7 +229,8 @@ def read_archives(manifest: DataFrame, folder: str, *, id_type: str = "bigint",
                 if rows:
                     yield _batch(rows, names)
 
-    spread = manifest.select("archive").repartition("archive")
+    # a given number of partitions is kept: names are too small for adaptive execution to leave them apart
+    spread = manifest.select("archive").repartition(max(1, manifest.count()))
     found = spread.mapInArrow(run, text)
     return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target])
 

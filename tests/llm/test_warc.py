@@ -89,3 +89,15 @@ def test_uris():
 def test_query_against_sql(spark):
     name = "op3_warc_dictionary"
     assert oracle.compare(QUERIES[name](spark, SMALL), oracle.connect(SMALL), ORACLE_SQL[name]) == []
+
+
+def test_archives_are_read_by_several_tasks(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", "words " * 200 + str(i)) for i in range(300)]
+    folder = f"file://{tmp_path}/w"
+    manifest = warc.write_archives(frame(spark, rows), folder, archive_bytes=40_000)
+    archives = manifest.count()
+    read = warc.read_archives(manifest, folder)
+    assert archives > 5 and read.count() == 300
+    assert read.rdd.getNumPartitions() == archives
+    tasks = read.rdd.glom().map(lambda part: len({r.archive for r in part})).collect()
+    assert max(tasks) <= 2 and sum(t > 0 for t in tasks) > archives // 2
