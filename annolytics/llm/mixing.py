@@ -31,6 +31,7 @@ from annolytics.session import materialize
 
 REST = "rest"
 PERIOD = 1000
+READINGS = 1000  # of a block that one copy of it serves
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -89,7 +90,8 @@ def schedule(
     """
     spark = df.sparkSession
     listed = F.coalesce(F.col("_source").isin([s for s in weights if s != REST]), F.lit(False))
-    rows = df.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), *keep).withColumns({
+    kept = F.struct(*keep) if keep else F.lit(0)
+    rows = df.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), kept.alias("_kept")).withColumns({
         "_stream": F.when(listed, F.col("_source")).otherwise(REST), "_none": F.col("_id").isNull(),
         "_mix": F.md5(F.col("_id").cast("string")),
     })
@@ -111,32 +113,66 @@ def schedule(
         F.max(F.expr(f"((_blocks - 1) div _w) * {total} + _at"))
     ).first()[0]
     last = -1 if last is None else last
-    end = F.lit(last // max(total, 1) + 1) * F.col("_w") - 1
-    read = (
-        numbered.join(F.broadcast(sizes), "_stream")
-        .withColumn("_k", F.explode(F.sequence(F.col("_block"), F.greatest(end, F.col("_block")), F.col("_blocks"))))
-        .withColumn("_turn", F.expr("_k % _w + 1"))
-        .join(F.broadcast(turns), ["_stream", "_turn"])
-        .withColumn("_slot", F.expr(f"(_k div _w) * {total} + _at")).where(F.col("_slot") <= last)
-    )
+    # Every slot is a row that knows its stream and, by its turn, its block and the reading of that block. Blocks that are
+    # read very often are copied, so that no copy meets more than ``READINGS`` slots.
+    sizes = sizes.withColumn("_copies", F.greatest(F.lit(1), F.expr(f"(({last} div {max(total, 1)} + 1) * _w) div (_blocks * {READINGS})")))
+    given = spark.range(last + 1).select(F.col("id").alias("_slot"), F.expr(f"id % {max(total, 1)}").alias("_at"), F.expr(f"id div {max(total, 1)}").alias("_round"))
+    given = given.join(F.broadcast(turns), "_at").join(F.broadcast(sizes), "_stream").withColumn("_k", F.expr("_round * _w + _turn - 1"))
+    given = given.select("_stream", "_slot", "_k", "_w", F.expr("_k % _blocks").alias("_block"), F.expr("_k div _blocks").alias("_pass"), F.expr("(_k div _blocks) % _copies").alias("_copy"))
+    copies = numbered.join(F.broadcast(sizes.select("_stream", "_copies")), "_stream")
+    copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies").cast("long") - 1)))
+    read = copies.join(given, ["_stream", "_block", "_copy"])
     return read.select(
         F.col("_id").alias(id_column), F.col("_source").alias(source_column), F.col("_stream").alias("stream"),
-        F.col("_block").alias("block"), F.expr("_k div _blocks").alias("pass"), F.col("_slot").alias("slot"),
+        F.col("_block").alias("block"), F.col("_pass").alias("pass"), F.col("_slot").alias("slot"),
         F.col("_within").alias("within"), F.expr(f"_k * {total} div _w").alias("release"),
-        F.expr(f"((_k + 1) * {total} + _w - 1) div _w").alias("deadline"), *keep,
+        F.expr(f"((_k + 1) * {total} + _w - 1) div _w").alias("deadline"), *[F.col(f"_kept.`{c}`").alias(c) for c in keep],
+    )
+
+
+def _plan_of(marked: DataFrame, weights: Mapping[str, float], **options) -> DataFrame:
+    """``_row, _row2, _slot, _within`` of the distinct rows ``_id, _source, _row, _row2``, a row for each reading."""
+    plan = schedule(marked, weights, "_id", "_source", keep=["_row", "_row2"], **options)
+    return plan.select("_row", "_row2", F.col("slot").alias("_slot"), F.col("within").alias("_within"))
+
+
+def _marked(df: DataFrame, id_column: str, source_column: str) -> DataFrame:
+    """The rows of ``df`` as one struct, so that no name can clash, and two hashes of the whole row that name it."""
+    return df.select(
+        F.struct(*df.columns).alias("_doc"), F.col(id_column).alias("_id"), F.col(source_column).alias("_source"),
+        F.xxhash64(*df.columns).alias("_row"), F.hash(*df.columns).alias("_row2"),
     )
 
 
 def mix(
     df: DataFrame, weights: Mapping[str, float], id_column: str = "doc_id", source_column: str = "source", **options
 ) -> DataFrame:
-    """The rows of ``df`` in the order of the mixture, those that are read several times once for each reading."""
-    # two hashes of the whole row name it: equal rows are one, which the plan holds once for each of them
-    marked = df.withColumns({"_row": F.xxhash64(*df.columns), "_row2": F.hash(*df.columns)})
-    plan = schedule(
-        marked.select(id_column, source_column, "_row", "_row2"), weights, id_column, source_column, keep=["_row", "_row2"], **options
-    ).select("_row", "_row2", F.col("slot").alias("_slot"), F.col("within").alias("_within"))
-    same = Window.partitionBy("_row", "_row2").orderBy("_row")
+    """The rows of ``df`` in the order of the mixture, those that are read several times once for each reading.
+
+    The order is that of the partitions and of the rows in them; a store that is read back in another order loses it, see
+    :func:`places`.
+    """
+    marked = _marked(df, id_column, source_column)
+    plan = _plan_of(marked.select("_id", "_source", "_row", "_row2"), weights, **options)
+    same = Window.partitionBy("_row", "_row2").orderBy("_row")  # equal rows are one, which the plan holds once for each
     once = marked.withColumn("_n", F.row_number().over(same)).where("_n = 1")
     mixed = once.join(plan, ["_row", "_row2"])
-    return mixed.repartitionByRange("_slot", "_within").sortWithinPartitions("_slot", "_within").select(*df.columns)
+    return mixed.repartitionByRange("_slot", "_within").sortWithinPartitions("_slot", "_within").select("_doc.*")
+
+
+def places(
+    df: DataFrame, weights: Mapping[str, float], id_column: str = "doc_id", source_column: str = "source", *,
+    slot: str = "slot", within: str = "within", **options,
+) -> DataFrame:
+    """The rows of a mixture that :func:`mix` made, in any order, with the ``slot`` and the place ``within`` it of each.
+
+    The schedule follows from the distinct rows, so it is worked out again; the n-th of equal rows is the n-th reading. A
+    row beyond its readings, in a table that is no mixture of distinct rows, has no place (null).
+    """
+    marked = _marked(df, id_column, source_column)
+    same = Window.partitionBy("_row", "_row2")
+    distinct = marked.select("_id", "_source", "_row", "_row2").dropDuplicates(["_row", "_row2"])
+    plan = _plan_of(distinct, weights, **options)
+    plan = plan.withColumn("_n", F.row_number().over(same.orderBy("_slot", "_within")))
+    counted = marked.withColumn("_n", F.row_number().over(same.orderBy("_row")))
+    return counted.join(plan, ["_row", "_row2", "_n"], "left").select("_doc.*", F.col("_slot").alias(slot), F.col("_within").alias(within))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,19 @@ def cuts(df: DataFrame, key: str, count: int) -> list:
     return sorted({*(row.c or []), row.m} - {None})
 
 
+def place_among(bounds: list):
+    """Twice the number of bounds below a key, and one more where the key is a bound itself; by bisection."""
+    ordered = np.array(bounds, dtype=object if isinstance(bounds[0], str) else None)
+
+    @F.pandas_udf("long")
+    def place(keys: pd.Series) -> pd.Series:
+        own = keys.to_numpy()
+        below = np.searchsorted(ordered, own, side="left")
+        return pd.Series(2 * below + (np.searchsorted(ordered, own, side="right") > below))
+
+    return place
+
+
 def with_next(
     df: DataFrame, key: str, tie: str, work: Callable[[Iterator[tuple[dict, dict | None]]], Iterator[dict]],
     out: StructType, *, wrap: bool = True, group: str | None = None,
@@ -49,9 +64,9 @@ def with_next(
         ends = df.groupBy(group).agg(F.min(key).alias("last"), F.max(key).alias("first"))
         moved = {r["last"]: r["first"] for r in ends.where(F.col("last").isin(found)).collect()}
         found = sorted({moved.get(b, b) for b in found})
-    bounds = F.array(*map(F.lit, found)).cast(f"array<{dict(df.dtypes)[key]}>")
-    own = F.size(F.filter(bounds, lambda b: b < F.col(key)))
-    first = F.array_contains(bounds, F.col(key))
+    code = place_among(found)(F.coalesce(F.col(key), F.lit(found[0]))) if found else F.lit(0).cast("long")
+    df = df.withColumn("_code", code)
+    own, first = F.expr("cast(_code div 2 as int)"), F.col("_code") % 2 == 1
     before = F.pmod(own + 1, F.lit(max(1, len(found))))
     lone = F.array(F.struct((-1 - F.pmod(F.xxhash64(tie), F.lit(count))).cast("int").alias("s"), F.lit(False).alias("x")))
     places = F.array(F.struct(own.alias("s"), F.lit(False).alias("x")))
@@ -60,10 +75,10 @@ def with_next(
     ).otherwise(F.array().cast("array<struct<s:int,x:boolean>>"))
     dealt = (
         df.withColumns({"_to": F.explode(F.when(F.col(key).isNull(), lone).otherwise(F.concat(places, extra)))})
-        .withColumns({"_slice": F.col("_to.s"), "_extra": F.col("_to.x")}).drop("_to")
+        .withColumns({"_slice": F.col("_to.s"), "_extra": F.col("_to.x")}).drop("_to", "_code")
     )
     # an extra row closes its slice; of several with that key the first in order is the next row
-    laid = dealt.repartition("_slice").sortWithinPartitions("_slice", "_extra", F.desc(key), tie)
+    laid = dealt.repartition(max(1, count // SLICES_PER_TASK), "_slice").sortWithinPartitions("_slice", "_extra", F.desc(key), tie)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict | None]]:
         held = None

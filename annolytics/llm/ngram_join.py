@@ -358,9 +358,10 @@ def one_of_each(
     _, named = classes(df, id_column, text_column, words=words, percent=percent)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class", "th")
     first = named.where("n > 0").groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("_d"), F.col("r.th").alias("_h"))
-    marked = df.withColumn("_th", F.xxhash64(text_or_empty(text_column)))
-    worded = text_or_empty(text_column).rlike(r"[^\x20\x09-\x0D]")
-    kept = marked.where(worded).join(
-        first.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_semi"
-    ).dropDuplicates([id_column, "_th"])
-    return kept.unionByName(marked.where(~worded)).drop("_th")
+    # the caller's columns travel as one, so that none of them can clash
+    text = text_or_empty(text_column)
+    marked = df.select(F.struct(*df.columns).alias("_row"), F.col(id_column).alias("_id"), F.xxhash64(text).alias("_th"), text.rlike(r"[^\x20\x09-\x0D]").alias("_worded"))
+    kept = marked.where("_worded").join(
+        first.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_semi"
+    ).dropDuplicates(["_id", "_th"])
+    return kept.unionByName(marked.where("not _worded")).select("_row.*")

@@ -1,15 +1,17 @@
 """Quality selection by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Words and runs of marks, and pairs of neighbours, are hashed to ``BUCKETS`` buckets. The raw model counts them over
-every document, the target model over the target documents. A document's weight is its mean log ratio of target to raw
-probability, ``SHRINK`` neutral n-grams added; a keyed Gumbel variate times ``temperature`` is added to the total, and
-the k largest are kept: a draw of k documents without replacement by weight, sharpened as the temperature falls.
+every document, the target model over the target documents. A document's log weight is the log ratio of its probabilities
+under target and raw model, brought to a text of ``LENGTH`` n-grams so that long and short texts compare: the mean log
+ratio of its n-grams, ``SHRINK`` neutral ones added, times ``LENGTH``. Its key is the log weight over ``temperature`` plus a
+keyed standard Gumbel variate, and the k largest keys are kept: a draw of k documents without replacement, by weights to
+the power of 1 over the temperature.
 
 The target documents are labelled rows of good quality; at most ``LABELS`` labelled rows are used, the first by a hash
 of their id (a documented bound, the same at any size of the corpus). k follows from the same rows: a threshold on the
-weight parts good from bad labelled rows best, and k is the number of documents above it. So the selection takes what
-looks like the target, however much of that there is, and the noise decides near the threshold alone. One half of the
-labelled rows gives the target texts, the other half the threshold.
+log weight parts good from bad labelled rows best, and k is the number of documents above it. So the selection takes what
+looks like the target, however much of that there is, and the draw decides about documents within a few units of the
+threshold. One half of the labelled rows gives the target texts, the other half the threshold.
 
 Defined cases: null and wordless texts have no weight (null) and are not kept where a threshold exists; repeated rows
 share weight and variate and are kept or left out together; equal keys stand by id (null last) and text hash; without
@@ -32,8 +34,10 @@ from annolytics.session import discard, materialize
 
 BUCKETS = 1 << 15
 LABELS = 20_000
-TEMPERATURE = 0.5
+TEMPERATURE = 1.0
 SMOOTHING = 1.0
+#: N-grams that the weight of a document speaks of.
+LENGTH = 100
 #: N-grams of ratio 1 that every document is thought to hold besides its own: little text is little evidence.
 SHRINK = 25
 #: How many times as bad as keeping a bad document the loss of a good one is.
@@ -96,19 +100,24 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log(own / prior)
 
 
-def with_weights(df: DataFrame, ratios: np.ndarray, text_column: str) -> DataFrame:
-    """``df`` with ``_n`` (n-grams), ``_weight`` (log ratio, a n-gram; null without n-grams) and ``_th`` (hash of the text)."""
+def with_weights(df: DataFrame, ratios: np.ndarray, text_column: str, row: str | None = None) -> DataFrame:
+    """``df`` with ``_n`` (n-grams), ``_weight`` (log weight; null without n-grams) and ``_th`` (hash of the text).
+
+    The text is a column of ``df``, or a field of its struct ``row``.
+    """
     sent = df.sparkSession.sparkContext.broadcast(ratios)
-    wanted = df.withColumn("_th", F.xxhash64(text_or_empty(text_column)))
+    text = F.col(row)[text_column] if row else F.col(text_column)
+    wanted = df.withColumn("_th", F.xxhash64(F.coalesce(text, F.lit(""))))
     out = wanted.withColumns({"_n": F.lit(0).cast("long"), "_weight": F.lit(None).cast("double")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, ratio = Features(len(sent.value)), sent.value
         for batch in slices(batches):
-            found = [features.of(t) for t in texts_of(batch, text_column)]
+            texts = [t or "" for t in batch.column(row).field(text_column).to_pylist()] if row else texts_of(batch, text_column)
+            found = [features.of(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(map(len, found), pa.int64()),
-                 pa.array([float(ratio[f].sum() / (len(f) + SHRINK)) if len(f) else None for f in found], pa.float64())], names=out.names,
+                 pa.array([float(ratio[f].sum() * LENGTH / (len(f) + SHRINK)) if len(f) else None for f in found], pa.float64())], names=out.names,
             )
 
     return spread_out(wanted).mapInArrow(run, out)
@@ -143,8 +152,8 @@ def gumbel(seed: int, *columns: str) -> Column:
 
 
 def perturbed(id_column: str, seed: int, temperature: float) -> Column:
-    """The noise of a whole document's weight, on the scale of its mean."""
-    return F.col("_weight") + F.lit(float(temperature)) * gumbel(seed, id_column, "_th") / (F.col("_n") + SHRINK)
+    """The key by which documents are drawn."""
+    return F.col("_weight") / F.lit(float(temperature)) + gumbel(seed, id_column, "_th")
 
 
 def fitted(
@@ -190,8 +199,10 @@ def select_good(
     """The rows of ``df`` that :func:`resample` keeps. The texts stay where they are: each is judged again in place."""
     ratios, scored, kept = fitted(df, labels, id_column, text_column, temperature=temperature, seed=seed, **options)
     discard(scored)
-    judged = with_weights(df, ratios, text_column).withColumn("_key", perturbed(id_column, seed, temperature))
-    return judged.where(kept).select(*df.columns)
+    # the caller's columns travel as one, so that none of them can clash
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(id_column).alias(id_column))
+    judged = with_weights(rows, ratios, text_column, "_row").withColumn("_key", perturbed(id_column, seed, temperature))
+    return judged.where(kept).select("_row.*")
 
 
 def _above(last: tuple | None, id_column: str) -> Column:

@@ -63,6 +63,40 @@ def test_mix_is_in_order(spark):
     assert [r.source for r in rows] == ["a", "b"] * 64
 
 
+def test_one_block_beside_a_large_source(spark, monkeypatch):
+    """The one block of a small source is read over and over; its copies share the slots between them."""
+    df = frame(spark, {"big": 4000, "one": 1})
+    want = sorted(tuple(r) for r in mixing.schedule(df, {"big": 0.9, "one": 0.1}, block=1, period=10).collect())
+    assert sum(r[1] == "one" for r in want) == 4000 // 9
+    monkeypatch.setattr(mixing, "READINGS", 7)
+    plan = mixing.schedule(df, {"big": 0.9, "one": 0.1}, block=1, period=10)
+    assert sorted(tuple(r) for r in plan.collect()) == want
+    assert "sequence(_block" not in plan._jdf.queryExecution().toString()
+
+
+def test_names_that_clash(spark):
+    names = ["_slot", "_within", "_row", "_row2", "_n", "_doc", "_id", "_block", "_kept", "slot"]
+    df = frame(spark, {"a": 9, "b": 3}).selectExpr("*", *[f"{i} as {n}" for i, n in enumerate(names)])
+    mixed = mixing.mix(df, {"a": 0.5, "b": 0.5}, block=1, period=2)
+    assert mixed.columns == df.columns and {tuple(r) for r in mixed.collect()} == {tuple(r) for r in df.collect()}
+    kept = mixing.schedule(df, {"a": 0.5, "b": 0.5}, block=1, keep=["_slot", "text"]).collect()
+    assert {(r["_slot"], r.text) for r in kept} == {(0, r.text) for r in df.collect()}
+
+
+def test_places_survive_many_files_in_any_order(spark, tmp_path):
+    weights = {"a": 0.6, "b": 0.3, "c": 0.1}
+    df = frame(spark, {"a": 300, "b": 200, "c": 5})
+    want = sorted((r.slot, r.within, r.doc_id) for r in mixing.schedule(df, weights, block=4, period=100).collect())
+    folder = str(tmp_path / "mixed")
+    mixing.mix(df, weights, block=4, period=100).repartition(64).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    assert stored.columns == df.columns
+    placed = mixing.places(stored, weights, block=4, period=100)
+    assert sorted((r.slot, r.within, r.doc_id) for r in placed.collect()) == want
+    more = mixing.places(stored.unionByName(stored.limit(1)), weights, block=4, period=100)
+    assert more.count() == len(want) + 1 and more.where("slot is null").count() == 1
+
+
 def test_no_python_in_the_plan(spark):
     plan = QUERIES["op7_pfair_mixing"](spark, SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -137,3 +137,11 @@ def test_components_of_chains_and_stars(spark):
 def test_query_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert result(QUERIES["op2_ngram_join"](spark, SMALL)) == by_hand(rows, 3, 90)
+
+
+def test_one_of_each_keeps_columns_that_clash(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 5, 6), (2, text, 5, 6), (3, "alone", 5, 6), (4, None, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _th int, _row int")
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2], rows[3]]

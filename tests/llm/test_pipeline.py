@@ -71,6 +71,11 @@ def test_tokens(stages):
     assert len(rows) == stages[4].count() and all(r.lossless and library.decode(list(r.ids)) == texts[r.doc_id].removeprefix(" ") for r in rows)
 
 
+def test_order_of_the_mixture_reaches_the_last_stage(stages):
+    planned = sorted((r.slot, r.within, r.doc_id) for r in mixing.schedule(stages[3], WEIGHTS).collect())
+    assert sorted((r.slot, r.within, r.doc_id) for r in stages[5].collect()) == planned
+
+
 def test_run_gives_the_last_stage(spark, stages):
     key = ["doc_id", "n_tokens"]
     assert Counter(map(tuple, corpus_pipeline.run(spark, SMALL).select(*key).collect())) == Counter(map(tuple, stages[-1].select(*key).collect()))

@@ -72,6 +72,52 @@ def test_held_out_accuracy(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) > 0.9
 
 
+def test_whole_query_against_a_plain_version(spark):
+    """Models, threshold, variates and the k largest keys, worked out row by row."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    sample = resample.labelled_sample(labels, "doc_id", "quality", resample.LABELS)
+    features, texts = resample.Features(), {r.doc_id: r.text or "" for r in docs.collect()}
+    found = {i: features.of(t) for i, t in texts.items()}
+    raw, target = np.zeros(resample.BUCKETS), np.zeros(resample.BUCKETS)
+    chosen = {i for n, (i, good) in enumerate(sample) if good and n % 2 == 0}
+    for i, f in found.items():
+        for bucket in f:
+            raw[bucket] += 1
+            target[bucket] += i in chosen
+    ratios = resample.log_ratios(raw, target)
+    weights = {i: ratios[f].sum() / (len(f) + resample.SHRINK) * resample.LENGTH for i, f in found.items() if len(f)}
+    judged = dict(sample[1::2])
+    rows = [(weights[i], good == 1) for i, good in judged.items() if i in weights]
+    cut = resample.threshold(np.array([w for w, _ in rows]), np.array([g for _, g in rows]))
+    k = sum(w >= cut for w in weights.values())
+    draws = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th")).withColumn("g", resample.gumbel(5, "doc_id", "_th"))
+    keys = {r.doc_id: weights[r.doc_id] / resample.TEMPERATURE + r.g for r in draws.collect() if r.doc_id in weights}
+    want = set(sorted(keys, key=lambda i: -keys[i])[:k])
+    rows = QUERIES["op5_importance_resampling"](spark, SMALL).collect()
+    assert {r.doc_id for r in rows if r.kept} == want and len(want) == k
+    assert {r.doc_id: r.sample_key for r in rows if r.sample_key is not None} == {i: pytest.approx(x) for i, x in keys.items()}
+
+
+def test_the_draw_is_by_weight():
+    """Of two equal groups whose log weights differ by d, the draw takes as many as e^(d/T) to 1 says, at the start."""
+    rng = np.random.default_rng(0)
+    d, share = 1.0, []
+    for _ in range(300):
+        keys = np.repeat([d, 0.0], 200) / resample.TEMPERATURE + rng.gumbel(size=400)
+        share.append((np.argsort(-keys)[:10] < 200).mean())
+    odds = np.exp(d / resample.TEMPERATURE)
+    assert np.mean(share) == pytest.approx(odds / (1 + odds), abs=0.03)
+
+
 def test_query(spark):
     rows = QUERIES["op5_importance_resampling"](spark, SMALL).collect()
     assert len(rows) == 200 and 100 < sum(r.kept for r in rows) < 200
+
+
+def test_names_that_clash(spark):
+    docs, labels = corpus(spark)
+    names = ["_th", "_n", "_weight", "_key", "_row", "_hash"]
+    df = docs.selectExpr("*", *[f"{i} as {n}" for i, n in enumerate(names)])
+    kept = resample.select_good(df, labels)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in range(60) if i % 3}
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in df.collect()}

@@ -100,3 +100,21 @@ def test_near_pairs_lose_no_link(spark, threshold):
 def test_query_against_the_plain_version(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(result(QUERIES["op1_spotsigs"](spark, SMALL))) == sorted(by_hand(rows))
+
+
+def test_twenty_thousand_bounds_are_searched_in_seconds(spark):
+    import time
+
+    import numpy as np
+    import pandas as pd
+    from annolytics.llm.neighbours import place_among
+
+    bounds = sorted(set(np.random.default_rng(1).integers(-(2**62), 2**62, 20_000).tolist()))
+    keys = spark.range(200_000).selectExpr("xxhash64(id) as key").unionByName(spark.createDataFrame([(b,) for b in bounds[::500]], "key long"))
+    started = time.time()
+    found = keys.withColumn("code", place_among(bounds)("key")).toPandas()
+    assert time.time() - started < 15
+    below = np.searchsorted(bounds, found.key)
+    assert (found.code // 2 == below).all() and (found.code % 2 == pd.Series(found.key).isin(bounds).astype(int)).all()
+    texts = spark.createDataFrame([("a",), ("b",), ("é",), ("🙂",), ("\uffff",)], "key string").withColumn("code", place_among(["b", "é", "🙂"])("key"))
+    assert [r.code for r in texts.collect()] == [0, 1, 3, 5, 4]
