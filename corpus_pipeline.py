@@ -35,8 +35,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, with seeded merge-dropout."""
-    return merge_dropout.encode(docs, seed=20, keep=["source"])
+    """Piece ids of every text, with seeded merge-dropout, and its place in the mixture.
+
+    ``slot`` and ``within`` hold the order of the mixture, which a table of several files does not keep by itself.
+    """
+    return merge_dropout.encode(mixing.places(docs, WEIGHTS), seed=20, keep=["source", "slot", "within"])
 
 
 STAGES = [
