@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from annolytics.session import broadcast_if_small
 
-SALTS = 32
 HOT_SHARE = 0.001  # a key above this share of all rows is salted, so at most 1,000 keys are
+LEAST_HOT = 1000  # rows of a key that are never worth parting
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -41,18 +41,22 @@ def salted_lookup(
 ) -> DataFrame:
     """Attach one ``dim`` row per key when few keys hold many of the facts.
 
-    Rows of a hot key are spread over ``SALTS`` sub-keys and its ``dim`` row is copied to each of them. Hot keys
-    are those above ``HOT_SHARE`` of all facts; their number is bounded by 1/HOT_SHARE, so the list is broadcast.
+    A key above ``HOT_SHARE`` of all facts gets a sub-key for each such share that it holds, so no sub-key has more than
+    about that share, and its ``dim`` row is copied to each of them; all hot keys together have at most 2/HOT_SHARE
+    sub-keys, so their list is broadcast. Null keys meet nothing: their facts are spread by a hash of the other columns.
     """
     counts = key_counts(facts, key) if counts is None else counts
+    counts = counts.where(F.col(key).isNotNull())
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = counts.where((F.col("_n") > total * HOT_SHARE) & (F.col("_n") > SALTS)).select(key)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    share = max(total * HOT_SHARE, LEAST_HOT)
+    hot = counts.where(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_salts"))
+    hot = F.broadcast(hot)
     others = [c for c in facts.columns if c != key]
-    spread = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int") if others else F.lit(0)
-    left = facts.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = dim.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    own = F.xxhash64(*others) if others else F.lit(0).cast("long")
+    spread = F.when(F.col(key).isNull(), own).otherwise(F.pmod(own, F.coalesce(F.col("_salts"), F.lit(1)).cast("long")))
+    left = facts.join(hot, key, "left").withColumn("_salt", spread).drop("_salts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1)).cast("long") - 1))
+    right = dim.where(F.col(key).isNotNull()).join(hot, key, "left").withColumn("_salt", copies).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
