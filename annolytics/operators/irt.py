@@ -3,6 +3,13 @@
 Items are compressed to weighted response patterns first. Each EM step (Bock and Aitkin 1981) is one Spark job: tasks
 turn their patterns into expected counts per rater and quadrature node, a grouped sum adds them up, and only that
 raters-by-nodes table comes back for the tiny M-step.
+
+Plain EM creeps near the end, so two steps are extrapolated (SQUAREM, Varadhan and Roland 2008); a jump that lowers the
+likelihood is taken back. Some raters have no finite best estimate: one who gives a single answer throughout, and one whose
+answers the trait separates without error, so that the likelihood rises with the slope for ever. They are found and named:
+the first by counting, the second by the likelihood-ratio interval: where EM has come to a slope beyond ``STEEP`` and neither
+``STEEPEST`` nor twice that lies outside the 95 % interval of the slope, the interval has no upper end. Their estimates are
+missing; the others are those given the separating raters at ``STEEPEST``.
 """
 
 from __future__ import annotations
@@ -20,6 +27,10 @@ from annolytics.operators.agreement import response_patterns
 from annolytics.session import materialize
 
 NODES = np.linspace(-6.0, 6.0, 61)
+STEEP, STEEPEST = 8.0, 25.0  # with nodes 0.2 apart, a slope beyond the latter gives nearly the same likelihood
+FINE_NODES = np.linspace(-6.0, 6.0, 481)  # for likelihoods at such slopes
+LIKELY = 1.920729410347062  # fixed value: half the 95 % point of chi-square with one degree of freedom
+ROUND = 30  # steps between two looks for separating raters
 
 
 @dataclass
@@ -34,20 +45,21 @@ class LatentFit:
     steps: int
     observations: np.ndarray
     converged: bool = True
+    bounded: np.ndarray | None = None  # per rater, whether a finite maximum exists
 
 
-def _prior(sd: float) -> np.ndarray:
-    density = np.exp(-0.5 * (NODES / sd) ** 2)
+def _prior(sd: float, nodes: np.ndarray = NODES) -> np.ndarray:
+    density = np.exp(-0.5 * (nodes / sd) ** 2)
     return density / density.sum()
 
 
-def _posteriors(x: np.ndarray, slope: np.ndarray, intercept: np.ndarray, sd: float):
+def _posteriors(x: np.ndarray, slope: np.ndarray, intercept: np.ndarray, sd: float, nodes: np.ndarray = NODES):
     """Posterior weights over nodes and the log-likelihood per pattern; missing ratings add no factor."""
-    eta = slope[:, None] * NODES[None, :] + intercept[:, None]
+    eta = slope[:, None] * nodes[None, :] + intercept[:, None]
     log_p, log_q = -np.logaddexp(0, -eta), -np.logaddexp(0, eta)
     seen = ~np.isnan(x)
     ones = np.where(seen, x, 0.0)
-    log_like = ones @ log_p + (seen - ones) @ log_q + np.log(_prior(sd))[None, :]
+    log_like = ones @ log_p + (seen - ones) @ log_q + np.log(_prior(sd, nodes))[None, :]
     peak = log_like.max(axis=1, keepdims=True)
     weights = np.exp(log_like - peak)
     total = weights.sum(axis=1, keepdims=True)
@@ -127,14 +139,93 @@ def _gradient(counts, slope, intercept, sd, rasch):
     return np.concatenate([(resid * NODES).sum(1), resid.sum(1)])
 
 
+def starting_point(observed: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    share = (positive + 0.5) / (observed + 1)
+    return np.ones(len(share)), np.log(share / (1 - share))
+
+
+def em_step(
+    patterns: DataFrame, slope: np.ndarray, intercept: np.ndarray, sd: float = 1.0, rasch: bool = False, fixed: np.ndarray | None = None
+):
+    """``slope, intercept, sd`` after one step, and the log-likelihood before it; ``fixed`` raters keep their values."""
+    hits, rated, mass, log_likelihood = _expected_counts(patterns, len(slope), [(slope, intercept, sd)])[0]
+    new_slope, new_intercept = _logistic_step(hits, rated, slope, intercept, rasch)
+    if fixed is not None:
+        new_slope, new_intercept = np.where(fixed, slope, new_slope), np.where(fixed, intercept, new_intercept)
+    over = np.maximum(np.abs(new_slope) / STEEPEST, 1.0)  # the cut -d/a stays where it is
+    new_sd = float(np.sqrt((mass * NODES**2).sum() / mass.sum())) if rasch else 1.0
+    return new_slope / over, new_intercept / over, new_sd, log_likelihood
+
+
+def _accelerated(patterns: DataFrame, x: np.ndarray, rasch: bool, fixed: np.ndarray, max_steps: int, tolerance: float):
+    """Steps of EM from ``x`` (slopes, intercepts, log of the spread): point, steps, whether it is a fixed point."""
+    j = len(x) // 2
+
+    def step(x: np.ndarray) -> tuple[np.ndarray, float]:
+        slope, intercept, sd, log_likelihood = em_step(patterns, x[:j], x[j : 2 * j], float(np.exp(x[-1])), rasch, fixed)
+        return np.concatenate([slope, intercept, [np.log(sd)]]), log_likelihood
+
+    first, steps = step(x)[0], 1
+    while steps < max_steps:
+        if np.abs(first - x).max() < tolerance:
+            return first, steps, True
+        second, first_level = step(first)
+        steps += 1
+        r = first - x
+        v = second - first - r
+        if np.abs(second - first).max() < tolerance or not (v @ v) > 0:
+            return second, steps, True
+        stride = min(-1.0, -np.sqrt((r @ r) / (v @ v)))
+        jump = x - 2 * stride * r + stride**2 * v
+        jump[:j] = np.clip(jump[:j], -STEEPEST, STEEPEST)
+        jump[-1] = np.clip(jump[-1], -3.0, 3.0)
+        after, jump_level = step(jump)
+        steps += 1
+        if np.isfinite(jump_level) and jump_level >= first_level:
+            x, first = jump, after
+        else:
+            x, first = second, step(second)[0]
+            steps += 1
+    return first, steps, False
+
+
+def _log_likelihoods(patterns: DataFrame, settings: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+    """The log-likelihood of each setting of slopes and intercepts, on fine nodes, in one pass."""
+    columns = [f"r{i}" for i in range(len(settings[0][0]))]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, n = batch[columns].to_numpy(dtype=float), batch["n"].to_numpy(dtype=float)
+            sums = [float(n @ _posteriors(x, slope, intercept, 1.0, FINE_NODES)[1]) for slope, intercept in settings]
+            yield pd.DataFrame({"s": range(len(settings)), "l": sums})
+
+    rows = patterns.mapInPandas(partial, "s int, l double").groupBy("s").agg(F.sum("l")).collect()
+    return [level for _, level in sorted(rows)]
+
+
+def _separating(patterns: DataFrame, slope: np.ndarray, intercept: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """The steep raters whose interval of the slope has no upper end, their cut and all other values being kept."""
+    steep = np.flatnonzero((np.abs(slope) > STEEP) & ~fixed)
+    found = np.zeros(len(slope), bool)
+    if steep.size:
+        def at(i: int, size: float):
+            factor = np.where(np.arange(len(slope)) == i, size / np.abs(slope), 1.0)
+            return slope * factor, intercept * factor
+
+        now, *levels = _log_likelihoods(patterns, [(slope, intercept)] + [at(i, size) for i in steep for size in (STEEPEST, 2 * STEEPEST)])
+        for i, near, far in zip(steep, levels[::2], levels[1::2]):
+            found[i] = min(near, far) > now - LIKELY
+    return found
+
+
 def fit(
     ratings: DataFrame, item: Sequence[str], rater: str, value: str, raters: Sequence[str],
-    rasch: bool = False, max_steps: int = 200, tolerance: float = 1e-4,
+    rasch: bool = False, max_steps: int = 400, tolerance: float = 1e-4,
 ) -> LatentFit:
     """Fit P(yes) = logistic(a * theta + d). Rasch fixes a = 1 and frees the latent variance.
 
     Standard errors come from the observed information, by central differences of the score; all perturbed settings
-    share one pass over the patterns.
+    share one pass over the patterns. Estimates of raters without a finite maximum are NaN.
     """
     raters = list(raters)
     j = len(raters)
@@ -145,33 +236,47 @@ def fit(
     ).first()
     observed = np.array([totals[f"o{i}"] or 0 for i in range(j)], dtype=float)
     positive = np.array([totals[f"p{i}"] or 0 for i in range(j)], dtype=float)
-    share = (positive + 0.5) / (observed + 1)
-    slope, intercept, sd = np.ones(j), np.log(share / (1 - share)), 1.0
-    steps, converged = 0, False
-    for steps in range(1, max_steps + 1):
-        hits, rated, mass, _ = _expected_counts(patterns, j, [(slope, intercept, sd)])[0]
-        new_slope, new_intercept = _logistic_step(hits, rated, slope, intercept, rasch)
-        new_sd = float(np.sqrt((mass * NODES**2).sum() / mass.sum())) if rasch else 1.0
-        change = max(np.abs(new_slope - slope).max(), np.abs(new_intercept - intercept).max(), abs(new_sd - sd))
-        slope, intercept, sd = new_slope, new_intercept, new_sd
-        if change < tolerance:
-            converged = True
-            break
-    point = np.concatenate([intercept, [sd]]) if rasch else np.concatenate([slope, intercept])
+    varied = np.flatnonzero((positive > 0) & (positive < observed))
+    slope, intercept = np.full(j, np.nan), np.full(j, np.nan)
+    slope_se, intercept_se, bounded = slope.copy(), slope.copy(), np.zeros(j, bool)
+    if not len(varied):
+        return LatentFit(raters, slope, intercept, slope_se, intercept_se, np.nan, 0.0, 0, observed, False, bounded)
+    m = len(varied)
+    fitted = patterns.select(*[F.col(f"r{i}").alias(f"r{at}") for at, i in enumerate(varied)], "n")
+    x = np.concatenate([*starting_point(observed[varied], positive[varied]), [0.0]])
+    finite, steps, converged = np.ones(m, bool), 0, False
+    while steps < max_steps and not converged and finite.any():
+        x, taken, converged = _accelerated(fitted, x, rasch, ~finite, min(ROUND, max_steps - steps), tolerance)
+        steps += taken
+        lost = np.zeros(m, bool) if rasch else _separating(fitted, x[:m], x[m : 2 * m], ~finite)
+        if lost.any():
+            factor = np.where(lost, STEEPEST / np.maximum(np.abs(x[:m]), 1e-9), 1.0)
+            x[:m], x[m : 2 * m] = x[:m] * factor, x[m : 2 * m] * factor
+            finite, converged = finite & ~lost, False
+    converged = converged or not finite.any()
+    a, d, sd = x[:m], x[m : 2 * m], float(np.exp(x[-1]))
+    free = np.flatnonzero(finite)
 
     def unpack(p):
-        return (np.ones(j), p[:j], float(p[j])) if rasch else (p[:j], p[j:], 1.0)
+        if rasch:
+            return np.ones(m), p[:m], float(p[m])
+        slopes, intercepts = a.copy(), d.copy()
+        slopes[free], intercepts[free] = p[: len(free)], p[len(free) :]
+        return slopes, intercepts, 1.0
 
+    point = np.concatenate([d, [sd]]) if rasch else np.concatenate([a[free], d[free]])
+    kept = np.arange(m + 1) if rasch else np.concatenate([free, m + free])
     h = 1e-3
     moved = [point + sign * h * np.eye(len(point))[i] for i in range(len(point)) for sign in (1, -1)]
-    counts = _expected_counts(patterns, j, [unpack(p) for p in [point, *moved]])
-    scores = [_gradient(c, *unpack(p), rasch) for c, p in zip(counts, [point, *moved], strict=True)]
+    counts = _expected_counts(fitted, m, [unpack(p) for p in [point, *moved]])
+    scores = [_gradient(c, *unpack(p), rasch)[kept] for c, p in zip(counts, [point, *moved], strict=True)]
     info = np.array([-(scores[1 + 2 * i] - scores[2 + 2 * i]) / (2 * h) for i in range(len(point))])
-    se = _standard_errors((info + info.T) / 2)
-    return LatentFit(
-        raters, slope, intercept, np.zeros(j) if rasch else se[:j], se[:j] if rasch else se[j:],
-        sd * sd, counts[0][3], steps, observed, converged,
-    )
+    se = _standard_errors((info + info.T) / 2) if len(point) else np.empty(0)
+    at = varied if rasch else varied[free]
+    slope[at], intercept[at] = (1.0, d) if rasch else (a[free], d[free])
+    slope_se[at], intercept_se[at] = (0.0, se[:m]) if rasch else (se[: len(free)], se[len(free) :])
+    bounded[at] = True
+    return LatentFit(raters, slope, intercept, slope_se, intercept_se, sd * sd, counts[0][3], steps, observed, converged, bounded)
 
 
 def _standard_errors(info: np.ndarray) -> np.ndarray:
@@ -193,11 +298,12 @@ def parameter_table(spark: SparkSession, model: LatentFit, as_cutpoint: bool = F
         a, d, half = model.slope[i], model.intercept[i], Z_975 * model.intercept_se[i]
         low, mid, high = d - half, d, d + half
         if as_cutpoint:
-            low, high = sorted((low / -a, high / -a))
-            mid = d / -a
+            low, high = sorted((low / -a, high / -a)) if a else (np.nan, np.nan)
+            mid = d / -a if a else np.nan
         known = [None if np.isnan(x) else float(x) for x in (a, model.slope_se[i], mid, low, high)]
-        rows.append((name, *known, int(model.observations[i]), model.converged, model.steps))
+        bounded = model.bounded is None or bool(model.bounded[i])
+        rows.append((name, *known, int(model.observations[i]), bounded, model.converged, model.steps))
     return spark.createDataFrame(
         rows, "rater string, slope double, slope_se double, location double, low double, high double, observations long, "
-        "converged boolean, steps int"
+        "bounded boolean, converged boolean, steps int"
     )
