@@ -69,6 +69,14 @@ CTES = {
         ("raw_ratings",),
         "SELECT * EXCLUDE (seq) FROM raw_ratings QUALIFY row_number() OVER (PARTITION BY doc_id, rater ORDER BY seq) = 1",
     ),
+    "noisy": (
+        ("ratings", "rules"),
+        """
+        SELECT doc_id, year, rater, confidence,
+               CASE WHEN ((doc_id % 1000003) * 7919 + k * 104729) % 1000003 % 8 = 0 THEN NOT about ELSE about END AS about
+        FROM ratings JOIN rules USING (rater)
+        """,
+    ),
     "human": (
         ("docs",),
         """
@@ -78,6 +86,13 @@ CTES = {
               UNION ALL SELECT doc_id, 'coder_b', 2, toxic FROM labels) l JOIN docs USING (doc_id)
         """,
     ),
+    "reasoned": (
+        ("ratings", "human"),
+        """
+        SELECT *, rater || ' says ' || coalesce(CAST(about AS VARCHAR), 'nothing') || ' of ' || doc_id AS reason
+        FROM (SELECT doc_id, rater, about FROM ratings UNION ALL SELECT doc_id, coder, is_political = 1 FROM human)
+        """,
+    ),
     "category_words": ((), f"SELECT * FROM (VALUES {_values([(i, c, w) for i, (c, w) in enumerate(standins.CATEGORY_WORDS)])}) AS v(i, category, word)"),
     "theme_rows": (
         ("docs", "category_words", "rules"),
@@ -136,6 +151,8 @@ def sql(needs: str, body: str) -> str:
         add(name)
     head = ",\n".join(f"{name} AS ({CTES[name][1].strip()})" for name in order)
     extra = body.strip()
+    if extra.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{extra[15:]}" if order else extra
     if extra.upper().startswith("WITH "):
         return f"WITH {head},\n{extra[5:]}" if order else extra
     return f"WITH {head}\n{extra}" if order else extra

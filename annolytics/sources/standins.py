@@ -89,6 +89,21 @@ class Tables:
         """One rating per document and rater."""
         return first_per_key(self.raw_ratings(), ["doc_id", "rater"], ["seq"]).drop("seq")
 
+    def reasoned(self) -> DataFrame:
+        """The ratings of raters and of coders as ``doc_id, rater, about, reason``, with a reason for each."""
+        raters = self.ratings().select("doc_id", "rater", "about")
+        coders = self.human().select("doc_id", F.col("coder").alias("rater"), (F.col("is_political") == 1).alias("about"))
+        said = F.coalesce(F.col("about").cast("string"), F.lit("nothing"))
+        reason = F.concat(F.col("rater"), F.lit(" says "), said, F.lit(" of "), F.col("doc_id"))
+        return raters.unionByName(coders).withColumn("reason", reason)
+
+    def noisy_ratings(self) -> DataFrame:
+        """The ratings with about one in eight turned around, so that no rater is separated by one trait."""
+        turned = ((F.col("doc_id") % 1000003) * 7919 + F.col("rater_no") * 104729) % 1000003 % 8 == 0
+        numbers = F.create_map(*[F.lit(x) for r, k, _ in RATER_CUTS for x in (r, k)])
+        rows = self.ratings().withColumn("rater_no", numbers[F.col("rater")])
+        return rows.withColumn("about", F.when(turned, ~F.col("about")).otherwise(F.col("about"))).drop("rater_no")
+
     def human(self) -> DataFrame:
         """Both coders' labels, long."""
         labels = self.raw("labels").join(self.docs().select("doc_id", "year"), "doc_id")
