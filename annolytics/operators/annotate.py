@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolytics.functions import text
-from annolytics.operators.relational import cross_with_dimension, unfinished
+from annolytics.operators.relational import cross_with_dimension
 from annolytics.operators.windows import number_rows
+from annolytics.session import materialize
 
 RATER_SCHEMA = (
     "api string, model string, chat_function string, params map<string,string>, processing string, prompt_batch_size int"
@@ -32,49 +33,99 @@ def prompts(items: DataFrame, template: str, slots: Mapping[str, Column]) -> Dat
     )
 
 
+def _kept(raters: Sequence[Mapping], exclude: Sequence[str]) -> list[dict]:
+    return [dict(r) for r in raters if r["model"] not in exclude]
+
+
 def work_list(prompted: DataFrame, raters: Sequence[Mapping], exclude: Sequence[str] = ()) -> DataFrame:
-    """Every distinct prompt for every rater, numbered into batches of the rater's own size.
+    """Every distinct prompt, as its digest, for every rater, numbered into batches of the rater's own size.
 
-    All raters get the same prompts in the same order, so the prompts are numbered once, as bare digests; the raters
-    come in by a generator and the texts by a join on the digest.
+    All raters get the same prompts in the same order, so the digests are numbered once and the raters come in by a
+    generator. The texts stay where they are; :func:`score` gives the same batches their texts.
     """
-    kept = [r for r in raters if r["model"] not in exclude]
-    distinct = prompted.groupBy("prompt_digest").agg(F.first("prompt").alias("prompt"))
-    numbered = number_rows(distinct.select("prompt_digest"), ["prompt_digest"], name="_rn").join(distinct, "prompt_digest")
-    crossed = cross_with_dimension(numbered, kept, RATER_SCHEMA)
+    numbered = number_rows(prompted.select("prompt_digest").distinct(), ["prompt_digest"], name="_rn")
+    crossed = cross_with_dimension(numbered, _kept(raters, exclude), RATER_SCHEMA)
     batch = (F.floor((F.col("_rn") - 1) / F.col("prompt_batch_size")) + 1).cast("long")
     return crossed.withColumn("batch", batch).drop("_rn")
 
 
-def run(work: DataFrame, scorer: Scorer, done: DataFrame | None = None) -> DataFrame:
-    """Score each (model, batch) group; a failing batch yields its rows with ``error`` set and no response.
+def numbered_prompts(prompted: DataFrame, done: DataFrame | None = None, slices: int | None = None) -> DataFrame:
+    """``prompt_digest, prompt, done, number``: distinct prompts in the order of their digests, stored in slices.
 
-    A group holds at most one batch of prompts, so hot raters spread over many tasks. With ``done`` the pairs already
-    stored are left out first.
+    The texts are shuffled once, into ranges of digests; stored results (``prompt_digest, model``) go the same way as rows
+    without a text, so ``done``, the models that have answered a prompt, costs no join. Numbers count through all slices.
     """
+    rows = prompted.select("prompt_digest", "prompt", F.lit(None).cast("string").alias("model"))
     if done is not None:
-        work = unfinished(work, done, ["prompt_digest", "model"])
+        rows = rows.unionByName(done.select("prompt_digest", F.lit(None).cast("string").alias("prompt"), "model"))
+    slices = slices or int(prompted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a range of digests holds all rows of a digest, so the grouping needs no shuffle of its own
+    distinct = rows.repartitionByRange(slices, "prompt_digest").groupBy("prompt_digest").agg(
+        F.max("prompt").alias("prompt"), F.collect_set("model").alias("done")
+    )
+    laid = distinct.where(F.col("prompt").isNotNull()).sortWithinPartitions("prompt_digest")
+    laid = materialize(
+        laid.withColumn("_slice", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), "prompts"
+    )
+    spans = laid.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_start"))
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    number = (F.col("_before") + F.col("_place") - F.col("_start") + 1).cast("long")
+    return laid.join(F.broadcast(spans), "_slice").select("prompt_digest", "prompt", "done", number.alias("number"))
+
+
+def score(
+    prompted: DataFrame, raters: Sequence[Mapping], scorer: Scorer, done: DataFrame | None = None,
+    exclude: Sequence[str] = (), slices: int | None = None,
+) -> DataFrame:
+    """Answers of every rater to every distinct prompt; pairs (digest, model) listed in ``done`` are left out.
+
+    A task streams over its slice of the prompts once and cuts it into the batches of all raters as it goes, holding one
+    open batch for each. A batch that crosses the edge of a slice goes to the scorer in two calls, none larger than the
+    rater's size. A failing call yields its rows with ``error`` set and no response; the others go on.
+    """
+    kept = [(r["model"], dict(r.get("params") or {}), int(r["prompt_batch_size"])) for r in _kept(raters, exclude)]
 
-    def score_batch(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("prompt_digest").reset_index(drop=True)
-        model = batch["model"].iloc[0]
-        params = dict(batch["params"].iloc[0] or {})
+    def answered(model: str, params: dict, digests: list, texts: list) -> pa.RecordBatch:
         try:
-            answers = list(scorer(batch["prompt"].tolist(), model, params))
-            if len(answers) != len(batch):
-                raise ValueError(f"scorer gave {len(answers)} answers for {len(batch)} prompts")
+            answers = list(scorer(texts, model, params))
+            if len(answers) != len(texts):
+                raise ValueError(f"scorer gave {len(answers)} answers for {len(texts)} prompts")
             error = None
         except Exception as problem:  # noqa: BLE001 - any scorer failure is this batch's result
-            answers, error = [{}] * len(batch), f"{type(problem).__name__}: {problem}"
-        out = pd.DataFrame({"prompt_digest": batch["prompt_digest"], "model": model})
-        for column in ("response", *TOKEN_COLUMNS):
-            values = [a.get(column) for a in answers]
-            out[column] = values if column == "response" else pd.to_numeric(pd.Series(values, dtype=object), errors="coerce")
-        out["error"] = error
-        return out
-
-    columns = work.select("prompt_digest", "prompt", "model", "params", "batch")
-    return columns.groupBy("model", "batch").applyInPandas(score_batch, RESPONSE_SCHEMA)
+            answers, error = [{}] * len(texts), f"{type(problem).__name__}: {problem}"
+        n = len(digests)
+        columns = [pa.array(digests, pa.string()), pa.array([model] * n), pa.array([a.get("response") for a in answers], pa.string())]
+        columns += [pa.array([_number(a.get(c)) for a in answers], pa.float64()) for c in TOKEN_COLUMNS]
+        names = ["prompt_digest", "model", "response", *TOKEN_COLUMNS, "error"]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([error] * n, pa.string())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending = [(0, [], []) for _ in kept]
+        for rows in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            for digest, prompt, finished, number in zip(*(c.to_pylist() for c in rows.columns)):
+                for at, (model, params, size) in enumerate(kept):
+                    if model in finished:
+                        continue
+                    batch, digests, texts = pending[at]
+                    if batch != (own := (number - 1) // size + 1):
+                        if digests:
+                            yield answered(model, params, digests, texts)
+                        pending[at] = batch, digests, texts = own, [], []
+                    digests.append(digest)
+                    texts.append(prompt)
+        for (model, params, _), (_, digests, texts) in zip(kept, pending):
+            if digests:
+                yield answered(model, params, digests, texts)
+
+    return numbered_prompts(prompted, done, slices).mapInArrow(run, RESPONSE_SCHEMA)
+
+
+def _number(value: object) -> float | None:
+    try:
+        return None if value is None else float(value)
+    except (TypeError, ValueError):
+        return None
 
 
 def with_token_columns(df: DataFrame) -> DataFrame:
@@ -125,15 +176,20 @@ def group_digest(df: DataFrame, group: str, order: Sequence[str], body: str, lin
     return numbered.groupBy(group, "part").agg(F.count(F.lit(1)).alias("lines"), joined.alias("digest"))
 
 
-def markdown_table(dim: DataFrame, columns: Sequence[str], order: str, max_rows: int = 1000) -> DataFrame:
-    """A small dimension as one Markdown table text; line breaks become blanks and bars are escaped."""
-    if dim.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"table has more than {max_rows} rows")
+def markdown_table(dim: DataFrame, columns: Sequence[str], order: str, rows_per_part: int = 1000) -> DataFrame:
+    """``part, table``: a dimension as Markdown; line breaks become blanks and bars are escaped.
+
+    The first part has the head. Parts hold a bounded number of rows and, joined by newlines in order, are the whole table.
+    """
 
     def cell(name: str) -> Column:
         return F.replace(F.regexp_replace(F.coalesce(F.col(name).cast("string"), F.lit("")), r"[\r\n]+", " "), F.lit("|"), F.lit("\\|"))
 
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
-    head = "| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |"
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), row.alias("line")))), lambda x: x["line"])
-    return dim.agg(F.concat_ws("\n", F.lit(head), F.array_join(rows, "\n")).alias("table"))
+    head = [(0, 1, "| " + " | ".join(columns) + " |\n| " + " | ".join("---" for _ in columns) + " |")]
+    heads = dim.sparkSession.createDataFrame(head, "_rn long, part long, line string")
+    lines = number_rows(dim.select(F.col(order).alias("_order"), row.alias("line")), ["_order", "line"], name="_rn")
+    part = (F.floor((F.col("_rn") - 1) / rows_per_part) + 1).cast("long")
+    lines = lines.select("_rn", part.alias("part"), "line").unionByName(heads)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_rn", "line"))), lambda x: x["line"])
+    return lines.groupBy("part").agg(F.array_join(ordered, "\n").alias("table"))

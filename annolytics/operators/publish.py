@@ -48,11 +48,21 @@ def content_hash(df: DataFrame):
 
 
 def snapshot_manifest(tables: Mapping[str, DataFrame], sensitive: Sequence[str] = ()) -> DataFrame:
-    """One row per table: rows, columns, content hash, sensitivity. Each table is read once."""
+    """One row per table: rows, columns, files, bytes, content hash, sensitivity. Each table is read once.
+
+    Counts and hashes are taken per file and then summed, so the size of each file counts once.
+    """
     out = None
     for name, df in tables.items():
-        row = df.agg(F.count(F.lit(1)).alias("rows"), content_hash(df).alias("content_hash")).select(
-            F.lit(name).alias("target"), "rows", F.lit(len(df.columns)).alias("columns"), "content_hash",
+        path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+        files = df.select("*", path.alias("_file"), size.alias("_size")).groupBy("_file").agg(
+            F.count(F.lit(1)).alias("rows"), F.max("_size").alias("bytes"), content_hash(df).alias("content_hash")
+        )
+        row = files.agg(
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+            F.md5(F.coalesce(F.sum(F.col("content_hash").cast("decimal(38,0)")), F.lit(0)).cast("string").cast("binary")).alias("content_hash"),
+        ).select(
+            F.lit(name).alias("target"), "rows", F.lit(len(df.columns)).alias("columns"), "files", "bytes", "content_hash",
             F.lit(name in sensitive).alias("sensitive"),
         )
         out = row if out is None else out.unionByName(row)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annolytics.functions import text
-from annolytics.operators import annotate, publish
+from annolytics.operators import annotate, publish, relational
 from annolytics.plans.preludes import clean, sql
 from annolytics.plans.registry import plan
 from annolytics.plans.text_plans import TEMPLATE, TEMPLATE_SQL
@@ -54,9 +54,12 @@ def _slots() -> dict:
     return {"source": F.col("source"), "lang": F.col("lang"), "year": F.col("year"), "body": F.col("text")}
 
 
+def prompted(t: Tables) -> DataFrame:
+    return annotate.prompts(t.docs(), TEMPLATE, _slots())
+
+
 def work(t: Tables, exclude: Sequence[str] = ()) -> DataFrame:
-    prompted = annotate.prompts(t.docs(), TEMPLATE, _slots())
-    return annotate.work_list(prompted, tables.raters_from_config(RATER_CONFIG), exclude)
+    return annotate.work_list(prompted(t), tables.raters_from_config(RATER_CONFIG), exclude)
 
 
 _PROMPTS_SQL = f"prompts AS (SELECT DISTINCT md5({TEMPLATE_SQL}) AS prompt_digest, {TEMPLATE_SQL} AS prompt FROM docs)"
@@ -93,7 +96,8 @@ def _(t: Tables) -> DataFrame:
            CASE WHEN k < 9 THEN 3e0 END AS output_tokens, CASE WHEN k = 9 THEN 'RuntimeError: out of order' END AS error
     FROM counted CROSS JOIN rules"""))
 def _(t: Tables) -> DataFrame:
-    scored = annotate.parse_flag(annotate.with_token_columns(annotate.run(work(t), rule_scorer)))
+    scored = annotate.parse_flag(annotate.with_token_columns(
+        annotate.score(prompted(t), tables.raters_from_config(RATER_CONFIG), rule_scorer)))
     return scored.select("prompt_digest", "model", "about_politics", "confidence_score", "input_tokens", "output_tokens", "error")
 
 
@@ -106,9 +110,10 @@ def _(t: Tables) -> DataFrame:
 @plan("j11_resumed_job", "J11 B7 Z2", sql("docs rules", f"""
     WITH {_SCORED_SQL} SELECT prompt_digest, rater AS model, CASE WHEN k < 9 THEN 1e2 * hits / len > cut END AS about_politics FROM counted CROSS JOIN rules"""))
 def _(t: Tables) -> DataFrame:
-    jobs = work(t)
-    done = materialize(annotate.run(jobs.where(F.col("model") == "rater_1"), rule_scorer), "done")  # scored once
-    rest = annotate.run(jobs, rule_scorer, done.select("prompt_digest", "model"))
+    raters = tables.raters_from_config(RATER_CONFIG)
+    others = [r["model"] for r in raters if r["model"] != "rater_1"]
+    done = materialize(annotate.score(prompted(t), raters, rule_scorer, exclude=others), "done")  # scored once
+    rest = annotate.score(prompted(t), raters, rule_scorer, done)
     return annotate.parse_flag(annotate.combine([done, rest])).select("prompt_digest", "model", "about_politics")
 
 
@@ -150,23 +155,62 @@ def _(t: Tables) -> DataFrame:
     ).drop("_t")
 
 
-SMALL_SET = ("nation", "supplier", "part", "customer", "orders", "lineitem", "events", "documents", "labels")
+ALL_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+    "labels", "conversations",
+)
+
+
+def _columns_sql(name: str) -> str:
+    return f"(SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE {name}))"
 
 
 @plan("s11_snapshot_manifest", "S11", " UNION ALL ".join(
-    f"SELECT '{name}' AS target, count(*) AS rows, {name == 'documents'} AS sensitive FROM {name}" for name in SMALL_SET))
+    f"SELECT '{name}' AS target, count(*) AS rows, {_columns_sql(name)} AS columns, true AS has_bytes, 32 AS hash_digits, {name == 'documents'} AS sensitive FROM {name}"
+    for name in ALL_TABLES))
 def _(t: Tables) -> DataFrame:
-    manifest = publish.snapshot_manifest({name: t.raw(name) for name in SMALL_SET}, sensitive=["documents"])
-    return manifest.select("target", "rows", "sensitive")
+    manifest = publish.snapshot_manifest({name: t.raw(name) for name in ALL_TABLES}, sensitive=["documents"])
+    return manifest.select(
+        "target", "rows", "columns", (F.col("bytes") > 0).alias("has_bytes"), F.length("content_hash").alias("hash_digits"), "sensitive"
+    )
 
 
 @plan("s10_published_manifest", "S10", """
-    SELECT 'labels' AS target, (SELECT count(*) FROM labels) AS rows, 'Two coders per document' AS description UNION ALL
-    SELECT 'nation', (SELECT count(*) FROM nation), NULL""")
+    SELECT 'labels' AS target, (SELECT count(*) FROM labels) AS rows, 32 AS hash_digits, 'Two coders per document' AS description UNION ALL
+    SELECT 'nation', (SELECT count(*) FROM nation), 32, NULL""")
 def _(t: Tables) -> DataFrame:
     manifest = publish.snapshot_manifest({name: t.raw(name) for name in ("labels", "nation")})
     notes = t.spark.createDataFrame([("labels", "Two coders per document"), ("other", "-")], "target string, description string")
-    return publish.published_manifest(manifest, notes).select("target", "rows", "description")
+    hashed = F.length("content_hash").alias("hash_digits")
+    return publish.published_manifest(manifest, notes).select("target", "rows", hashed, "description")
+
+
+@plan("s3_s8_list_files", "S3 S8 S2", """
+    SELECT source, count(*) AS documents FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) % 2 = 0)
+    GROUP BY source""")
+def _(t: Tables) -> DataFrame:
+    """The list of sources with an even number of documents goes out as one file and comes back as a list of known items."""
+    counts = t.docs().groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0 and source is not null")
+    path = sinks.write_csv(counts.select(F.col("source").alias("Known Source")), new_path(t.spark, "list"), single_file=True)
+    listed = tables.reference_list(t.spark, path, "known_source").withColumnRenamed("known_source", "source")
+    return relational.keep_keys(t.docs(), listed, ["source"]).groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@plan("s1_chart_scan", "S1 S2 P11", """
+    SELECT CAST(l_shipdate AS DATE) AS date, 's' || l_partkey AS song, 'a' || l_suppkey AS artist, CAST(l_linenumber AS INTEGER) AS rank,
+           CASE WHEN l_linenumber % 3 > 0 THEN CAST(l_linenumber AS INTEGER) END AS weeks_in_charts,
+           CASE WHEN l_linenumber % 2 = 0 THEN 'http://' || l_orderkey END AS image_url FROM lineitem""")
+def _(t: Tables) -> DataFrame:
+    """Chart weeks written with dashes and hash marks for what is missing, as charts come, and scanned again."""
+    rows = t.raw("lineitem")
+    line = F.col("l_linenumber")
+    weeks = rows.select(
+        F.col("l_shipdate").cast("date").alias("Date"), F.concat(F.lit("s"), "l_partkey").alias("Song"), F.concat(F.lit("a"), "l_suppkey").alias("Artist"),
+        line.alias("Rank"), line.alias("Last Week"), line.alias("Peak Position"), F.when(line % 3 > 0, line.cast("string")).otherwise("-").alias("Weeks in Charts"),
+        F.when(line % 2 == 0, F.concat(F.lit("http://"), "l_orderkey")).otherwise("#").alias("Image URL"),
+    )
+    chart = tables.read_chart(t.spark, sinks.write_csv(weeks, new_path(t.spark, "chart")))
+    return chart.select("date", "song", "artist", "rank", "weeks_in_charts", "image_url")
 
 
 @plan("u1_u2_pseudonymised_codes", "U1 U2 W10 J10", sql("human", """
@@ -216,16 +260,11 @@ def _(t: Tables) -> DataFrame:
 @plan("z2_incremental_annotation", "Z2 B1", sql("docs rules", f"""
     WITH {_SCORED_SQL} SELECT prompt_digest, rater AS model, CASE WHEN k < 9 THEN 1e2 * hits / len > cut END AS about_politics FROM counted CROSS JOIN rules"""))
 def _(t: Tables) -> DataFrame:
-    from annolytics.operators.relational import cross_with_dimension
-
     docs = _stream(t, "documents").withColumn("year", (1958 + F.col("doc_id") % 68).cast("int"))
-    prompted = annotate.prompts(docs, TEMPLATE, _slots()).select("prompt_digest", "prompt")
-    raters = tables.raters_from_config(RATER_CONFIG)
-    batch = F.pmod(F.xxhash64("prompt_digest"), F.lit(64))
-    rows = cross_with_dimension(prompted, raters, annotate.RATER_SCHEMA).withColumn("batch", batch)
     results = new_path(t.spark, "annotations")
-    incremental.stream_annotation(rows, results, rule_scorer)
-    stored = t.spark.read.schema(annotate.RESPONSE_SCHEMA).parquet(f"{results}/parts")
+    source = annotate.prompts(docs, TEMPLATE, _slots()).select("prompt_digest", "prompt")
+    incremental.stream_annotation(source, results, tables.raters_from_config(RATER_CONFIG), rule_scorer)
+    stored = incremental.read_annotations(t.spark, results)
     return annotate.parse_flag(stored).select("prompt_digest", "model", "about_politics")
 
 

@@ -12,6 +12,7 @@ from annolytics.plans.preludes import clean, join_key, match, sql, words
 from annolytics.plans.registry import plan
 from annolytics.plans.rollup_plans import FLAG_PATTERNS
 from annolytics.session import spread
+from annolytics.session import materialize
 from annolytics.sources.standins import CODERS, RATERS, Tables
 
 
@@ -74,11 +75,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @plan("t7_markdown_table", "T7", r"""
-    SELECT '| r_name | r_regionkey |' || chr(10) || '| --- | --- |' || chr(10) ||
-           string_agg('| ' || replace(r_name, '|', '\|') || ' | ' || r_regionkey || ' |', chr(10) ORDER BY r_name) AS "table"
-    FROM region""")
+    SELECT part, CASE WHEN part = 1 THEN '| n_name | n_regionkey |' || chr(10) || '| --- | --- |' || chr(10) ELSE '' END ||
+           string_agg('| ' || replace(n_name, '|', '\|') || ' | ' || n_regionkey || ' |', chr(10) ORDER BY n_name) AS "table"
+    FROM (SELECT *, (row_number() OVER (ORDER BY n_name) - 1) // 10 + 1 AS part FROM nation) GROUP BY part""")
 def _(t: Tables) -> DataFrame:
-    return annotate.markdown_table(t.raw("region"), ["r_name", "r_regionkey"], "r_name")
+    return annotate.markdown_table(t.raw("nation"), ["n_name", "n_regionkey"], "n_name", rows_per_part=10)
 
 
 TEMPLATE = 'Text by "{{source}}" in {{lang}} from {{year}}:\n\n{{body}}\n\nAnswer as JSON: \\{"about": "boolean"\\}'
@@ -193,9 +194,10 @@ def _(t: Tables) -> DataFrame:
     FROM lineitem GROUP BY l_linenumber""")
 def _(t: Tables) -> DataFrame:
     items = t.raw("lineitem")
-    whole = items.agg(*[F.bool_and(F.col(c) == F.floor(c)).alias(c) for c in ("l_quantity", "l_tax")]).first()
-    patterns = {c: "%.0f" if whole[c] else "%.3f" for c in ("l_quantity", "l_tax")}
-    sums = items.groupBy("l_linenumber").agg(F.sum("l_quantity").alias("q"), F.max("l_tax").alias("x"))
+    whole = [F.bool_and(F.col(c) == F.floor(c)).alias(c) for c in ("l_quantity", "l_tax")]
+    sums = materialize(items.groupBy("l_linenumber").agg(F.sum("l_quantity").alias("q"), F.max("l_tax").alias("x"), *whole), "sums")
+    all_whole = sums.agg(*[F.bool_and(c).alias(c) for c in ("l_quantity", "l_tax")]).first()
+    patterns = {c: "%.0f" if all_whole[c] else "%.3f" for c in ("l_quantity", "l_tax")}
     return sums.select(
         "l_linenumber", F.format_string(patterns["l_quantity"], "q").alias("quantity"),
         F.format_string(patterns["l_tax"], "x").alias("tax"),
@@ -248,8 +250,6 @@ def _(t: Tables) -> DataFrame:
         F.when(F.col("event_id") % 2 == 1, "true").otherwise("false").alias("flag"),
         F.concat(F.lit('"'), "event_type", F.lit('"')).alias("word"),
     )
-    for column in ("number", "flag", "word"):
-        raw = reshape.simplify_variants(raw, column)
-    return raw
+    return reshape.simplify_variants(raw, "number", "flag", "word")
 
 
