@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolytics.functions import stats
-from annolytics.operators.relational import lookup
+from annolytics.operators.relational import join_on, lookup
+from annolytics.operators.windows import number_rows, quantiles
 
 
 def entity_rollup(chart: DataFrame, keys: Sequence[str], rank: str, date: str) -> DataFrame:
@@ -131,8 +132,18 @@ def overplot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def category_order(df: DataFrame, category: str, value: str) -> DataFrame:
-    """Median and count per category."""
-    return df.groupBy(category).agg(F.median(value).alias("median"), F.count(F.lit(1)).alias("n"))
+    """Median, count and place in the order of medians (from 1, ties by name) of every category."""
+    counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
+    found = join_on(counts, quantiles(df, [category], value, {"median": 0.5}), [category], "left")
+    return number_rows(found, ["median", category], name="place")
+
+
+def usage_averages(responses: DataFrame, rater: str) -> DataFrame:
+    """Mean of every token column per rater, and the mean over raters of those means in the row of the null rater."""
+    tokens = [c for c in responses.columns if "tokens" in c]
+    each = responses.groupBy(rater).agg(F.count(F.lit(1)).alias("responses"), *[F.avg(c).alias(c) for c in tokens])
+    over = each.agg(F.sum("responses").alias("responses"), *[F.avg(c).alias(c) for c in tokens])
+    return each.unionByName(over.withColumn(rater, F.lit(None).cast(each.schema[rater].dataType)))
 
 
 def usage_totals(responses: DataFrame, by: Sequence[str]) -> DataFrame:

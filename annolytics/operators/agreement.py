@@ -1,22 +1,21 @@
 """Agreement between raters, all from long (item, rater, value) tables without a self-join.
 
 Ratings are first turned into label counts per item (one shuffle on the item). Every coefficient is then a closed form
-over sums of those counts, so a second aggregate down to one row per group finishes it. Pair statistics run on
-distinct response patterns with a weight, not on items.
+over sums of those counts, so a second aggregate down to one row per group finishes it. Pair statistics are cross
+products of the raters' values that tasks sum as matrices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolytics.functions import stats
-from annolytics.operators.reshape import wide
-
-MAX_RATERS = 200
 
 
 def _sum_of(columns: Sequence[Column]) -> Column:
@@ -165,50 +164,120 @@ def fleiss_available(
 
 
 def krippendorff(ratings: DataFrame, item: Sequence[str], value: str, labels: Sequence, by: Sequence[str] = ()) -> DataFrame:
-    """Nominal alpha over items with two or more ratings, per group."""
+    """Nominal alpha over items with two or more ratings and its 95 % interval, per group, in a single pass.
+
+    With m ratings of an item, n_q of them label q, s = sum of n_q (n_q - 1) / (m - 1), r ratings an item on average and
+    pi_q the share of label q, the linearised alpha of an item (Gwet 2014) departs from alpha by
+    (s - k m - g sum of pi_q n_q) / (r (1 - pe)), where k and g follow from the whole; so the variance is a form in sums of
+    products of s, m and n_q.
+    """
     counts, names = label_counts(ratings, [*by, *item], value, labels)
     n_q = [F.col(c) for c in names]
-    paired = counts.withColumn("_m", _sum_of(n_q)).where(F.col("_m") >= 2)
+    q = range(len(names))
+    paired = counts.withColumn("_m", _sum_of(n_q).cast("double")).where(F.col("_m") >= 2)
     m = F.col("_m")
+    paired = paired.withColumn("_s", _sum_of([c * (c - 1) for c in n_q]) / (m - 1))
+    s = F.col("_s")
     sums = paired.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("items"), F.sum(m).alias("n"),
-        F.sum((m * m - _sum_of([c * c for c in n_q])) / (m - 1)).alias("d"),
-        *[F.sum(c).alias(c_) for c, c_ in zip(n_q, names, strict=True)],
+        F.count(F.lit(1)).alias("items"), F.sum(m).alias("n"), F.sum(s).alias("s"), F.sum(s * s).alias("s2"), F.sum(m * m).alias("m2"),
+        F.sum(s * m).alias("sm"), *[F.sum(c.cast("double")).alias(f"t{i}") for i, c in enumerate(n_q)],
+        *[F.sum(s * c).alias(f"st{i}") for i, c in enumerate(n_q)], *[F.sum(m * c).alias(f"mt{i}") for i, c in enumerate(n_q)],
+        *[F.sum((n_q[i] * n_q[j]).cast("double")).alias(f"tt{i}_{j}") for i in q for j in q if i <= j],
+    )
+    n, items = F.col("n"), F.col("items").cast("double")
+    observed = 1 - F.col("s") / n
+    expected = F.try_divide(n * n - _sum_of([F.col(f"t{i}") * F.col(f"t{i}") for i in q]), n * (n - 1))
+    pi = [F.col(f"t{i}") / n for i in q]
+    base = sums.where(n > 0).withColumns({
+        "_alpha": 1 - F.try_divide(observed, expected), "_pe": _sum_of([p * p for p in pi]), "_pa": F.col("s") / n,
+    })
+    alpha, pe, pa = F.col("_alpha"), F.col("_pe"), F.col("_pa")
+    g = 2 * (1 - F.try_divide(pa - pe, 1 - pe))
+    k = pa - g * pe
+    c2 = _sum_of([pi[i] * pi[j] * F.col(f"tt{min(i, j)}_{max(i, j)}") for i in q for j in q])
+    sc, mc = _sum_of([pi[i] * F.col(f"st{i}") for i in q]), _sum_of([pi[i] * F.col(f"mt{i}") for i in q])
+    squares = F.col("s2") + k * k * F.col("m2") + g * g * c2 - 2 * k * F.col("sm") - 2 * g * sc + 2 * k * g * mc
+    scale = n / items * (1 - pe)
+    variance = F.try_divide(squares, scale * scale * items * (items - 1))
+    se = F.sqrt(F.when(variance.isNotNull(), F.greatest(variance, F.lit(0.0))))
+    half = F.when(items > 1, stats.t_975(items - 1)) * se
+    return base.select(
+        *by, "items", alpha.alias("alpha"), F.when(alpha.isNotNull(), se).alias("se"), (alpha - half).alias("low"),
+        F.when((alpha + half).isNotNull(), F.least(alpha + half, F.lit(1.0))).alias("high"),
     )
-    n = F.col("n")
-    observed = F.col("d") / n
-    expected = F.try_divide(n * n - _sum_of([c * c for c in n_q]), n * (n - 1))
-    return sums.where(n > 0).select(*by, "items", (1 - F.try_divide(observed, expected)).alias("alpha"))
 
 
 def response_patterns(ratings: DataFrame, item: Sequence[str], rater: str, value: str, raters: Sequence[str]) -> DataFrame:
     """Distinct rows of the item-by-rater table with their number: columns ``r0``.. in rater order, and ``n``."""
-    if len(raters) > MAX_RATERS:
-        raise ValueError(f"{len(raters)} raters; pattern tables take at most {MAX_RATERS}")
     cells = [F.max(F.when(F.col(rater) == r, F.col(value).cast("double"))).alias(f"r{i}") for i, r in enumerate(raters)]
     rows = ratings.groupBy(*item).agg(*cells)
     return rows.groupBy(*[f"r{i}" for i in range(len(raters))]).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _rater_pairs(patterns: DataFrame, raters: Sequence[str]) -> DataFrame:
-    """Per pattern the value pairs of all rater pairs (a fixed, short list), as (rater_a, rater_b, x, y, n)."""
-    pairs = F.array(*[
-        F.struct(F.lit(raters[i]).alias("rater_a"), F.lit(raters[j]).alias("rater_b"),
-                 F.col(f"r{i}").alias("x"), F.col(f"r{j}").alias("y"))
-        for i, j in combinations(range(len(raters)), 2)
-    ])
-    return patterns.select("n", F.inline(pairs))
+def with_reasons(items: DataFrame, ratings: DataFrame, item: Sequence[str], rater: str, reason: str, raters: Sequence[str]) -> DataFrame:
+    """A few items with the reasons of the given raters side by side, null where a rater gave none."""
+    told = ratings.where(F.col(rater).isin(list(raters))).join(items.select(*item), list(item), "left_semi")
+    cells = [F.max(F.when(F.col(rater) == r, F.col(reason))).alias(f"{reason}_{r}") for r in raters]
+    return items.join(told.groupBy(*item).agg(*cells), list(item), "left")
 
 
-def correlations(ratings: DataFrame, item: Sequence[str], rater: str, value: str, raters: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlation of every rater pair, from weighted patterns."""
-    both = _rater_pairs(response_patterns(ratings, item, rater, value, raters), raters)
-    both = both.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    x, y, w = F.col("x"), F.col("y"), F.col("n").cast("double")
-    sums = both.groupBy("rater_a", "rater_b").agg(
-        F.sum(w).alias("w"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
-        F.sum(w * x * y).alias("sxy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"),
+def lone_voters(ratings: DataFrame, item: str, rater: str, value: str, reason: str, baseline: str) -> DataFrame:
+    """Items with a single positive vote, all raters having voted: the voter's reason beside that of the baseline rater.
+
+    Both rows are found in one grouping; items whose voter is the baseline rater itself, or that it did not rate, are left out.
+    """
+    yes, base = F.col(value), F.col(rater) == baseline
+    found = ratings.groupBy(item).agg(
+        F.sum(F.col(value).cast("int")).alias("_votes"), F.count(value).alias("_given"), F.count(F.lit(1)).alias("_all"),
+        F.max(F.when(yes, F.col(rater))).alias("voter"), F.max(F.when(yes, F.col(reason))).alias("voter_reason"),
+        F.max(F.when(base, F.col(reason))).alias("baseline_reason"),
     )
+    lone = (F.col("_votes") == 1) & (F.col("_given") == F.col("_all")) & (F.col("voter") != baseline) & F.col("baseline_reason").isNotNull()
+    return found.where(lone).select(item, "voter", "voter_reason", "baseline_reason")
+
+
+PAIR_SUMS = ("w", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _pair_sums(ratings: DataFrame, row: Sequence[str], rater: str, value: str, raters: Sequence[str], absent: float | None = None) -> DataFrame:
+    """``rater_a, rater_b`` (in the order given) and sums over the rows that both rated, from long ratings.
+
+    The values of a row are gathered, one for each rater at most; a task multiplies its rows as matrices and sends the
+    sums of all pairs once, however many raters there are. ``absent`` stands for missing values; without it they drop out.
+    """
+    raters = list(raters)
+    place = F.map_from_arrays(F.array(*map(F.lit, raters)), F.array(*map(F.lit, range(len(raters)))))[F.col(rater)]
+    numbered = ratings.where(F.col(rater).isin(raters)).select(*row, place.cast("int").alias("_at"), F.col(value).cast("double").alias("_v"))
+    once = numbered.where(F.col("_v").isNotNull()).groupBy(*row, "_at").agg(F.max("_v").alias("_v"))
+    rows = once.groupBy(*row).agg(F.collect_list("_at").alias("_at"), F.collect_list("_v").alias("_v")).select("_at", "_v")
+    j = len(raters)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(PAIR_SUMS), j, j))
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            lengths = pc.list_value_length(batch.column("_at")).to_numpy()
+            at = np.repeat(np.arange(batch.num_rows), lengths), batch.column("_at").flatten().to_numpy()
+            x, seen = np.full((batch.num_rows, j), absent or 0.0), np.zeros((batch.num_rows, j))
+            x[at], seen[at] = batch.column("_v").flatten().to_numpy(), 1.0
+            if absent is not None:
+                seen[:] = 1.0
+            y = x * x
+            total += np.stack([seen.T @ seen, x.T @ seen, seen.T @ x, y.T @ seen, seen.T @ y, x.T @ x])
+        if j > 1 and total[0].any():
+            a, b = np.triu_indices(j, 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int32()), pa.array(b, pa.int32()), *[pa.array(t[a, b]) for t in total]], names=["_a", "_b", *PAIR_SUMS]
+            )
+
+    schema = "_a int, _b int, " + ", ".join(f"{c} double" for c in PAIR_SUMS)
+    sums = rows.mapInArrow(multiply, schema).groupBy("_a", "_b").agg(*[F.sum(c).alias(c) for c in PAIR_SUMS]).where("w > 0")
+    names = F.array(*map(F.lit, raters)) if raters else F.array().cast("array<string>")
+    return sums.select(names[F.col("_a")].alias("rater_a"), names[F.col("_b")].alias("rater_b"), *PAIR_SUMS)
+
+
+def correlations(ratings: DataFrame, item: Sequence[str], rater: str, value: str, raters: Sequence[str]) -> DataFrame:
+    """Pairwise-complete Pearson correlation of every rater pair."""
+    sums = _pair_sums(ratings, item, rater, value, raters)
     w, sx, sy = F.col("w"), F.col("sx"), F.col("sy")
     top = w * F.col("sxy") - sx * sy
     bottom = F.sqrt((w * F.col("sxx") - sx * sx) * (w * F.col("syy") - sy * sy))
@@ -216,11 +285,10 @@ def correlations(ratings: DataFrame, item: Sequence[str], rater: str, value: str
 
 
 def profile_distances(profiles: DataFrame, label: str, rater: str, value: str, raters: Sequence[str]) -> DataFrame:
-    """Euclidean distance between rater profiles over labels."""
-    names = [f"r{i}" for i in range(len(raters))]
-    table = wide(profiles, [label], rater, [value], raters).toDF(label, *names).withColumn("n", F.lit(1))
-    gap = F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))
-    return _rater_pairs(table, raters).groupBy("rater_a", "rater_b").agg(F.sqrt(F.sum(gap * gap)).alias("distance"))
+    """Euclidean distance between rater profiles over labels; a label without value counts as 0."""
+    sums = _pair_sums(profiles, [label], rater, value, raters, absent=0.0)
+    squared = F.col("sxx") + F.col("syy") - 2 * F.col("sxy")
+    return sums.select("rater_a", "rater_b", F.sqrt(F.greatest(squared, F.lit(0.0))).alias("distance"))
 
 
 def with_and_without(

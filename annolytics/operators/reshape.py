@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annolytics.functions.text import snake_names
 from annolytics.operators.relational import lookup
+from annolytics.session import materialize
 
 
 def wide(df: DataFrame, item: Sequence[str], rater: str, values: Sequence[str], raters: Sequence) -> DataFrame:
@@ -40,7 +41,7 @@ def lump_rare(df: DataFrame, label: str, n: int, other: str = "Other") -> DataFr
     A label keeps its name exactly when its count is no lower than the n-th largest, so a top-n of the counts is
     enough and no window runs over the label table.
     """
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "label-counts")
     top = [r["_n"] for r in counts.orderBy(F.desc("_n")).limit(n).collect()]
     least = top[-1] if top else 0
     kept = counts.where(F.col("_n") >= least).select(label, F.lit(True).alias("_kept"))
@@ -73,29 +74,35 @@ def presence(
     return exploded.withColumn("present", F.array_contains("_set", F.col(label)).cast("int")).drop("_set")
 
 
-def simplify_variants(df: DataFrame, column: str) -> DataFrame:
-    """Turn a column of JSON scalars into one typed column: boolean, double or string.
+def simplify_variants(df: DataFrame, *columns: str) -> DataFrame:
+    """Turn columns of JSON scalars into typed columns: boolean, double or string.
 
-    The type is settled by one aggregate over the whole column; JSON null becomes null. Values that are no scalar
-    leave the column as it is.
+    The types are settled by one aggregate over all the columns; JSON null becomes null. A column with values that are no
+    scalar stays as it is.
     """
-    text = F.col(column)
-    is_null = text.isNull() | (text == "null")
-    kinds = df.agg(
-        F.coalesce(F.bool_or(~is_null & text.rlike(r"^\s*[\[{]")), F.lit(False)).alias("nested"),
-        F.coalesce(F.bool_and(is_null | text.isin("true", "false")), F.lit(True)).alias("logical"),
-        F.coalesce(F.bool_and(is_null | text.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")), F.lit(True)).alias("number"),
-    ).first()
-    if kinds["nested"]:
-        return df
-    value: Column = F.when(~is_null, text)
-    if kinds["logical"]:
-        value = value.try_cast("boolean")
-    elif kinds["number"]:
-        value = value.try_cast("double")
-    else:
-        value = F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"), value)
-    return df.withColumn(column, value)
+    tests = []
+    for i, column in enumerate(columns):
+        text = F.col(column)
+        is_null = text.isNull() | (text == "null")
+        tests += [
+            F.coalesce(F.bool_or(~is_null & text.rlike(r"^\s*[\[{]")), F.lit(False)).alias(f"nested{i}"),
+            F.coalesce(F.bool_and(is_null | text.isin("true", "false")), F.lit(True)).alias(f"logical{i}"),
+            F.coalesce(F.bool_and(is_null | text.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")), F.lit(True)).alias(f"number{i}"),
+        ]
+    kinds = df.agg(*tests).first()
+    out = {}
+    for i, column in enumerate(columns):
+        if kinds[f"nested{i}"]:
+            continue
+        text = F.col(column)
+        value: Column = F.when(~(text.isNull() | (text == "null")), text)
+        if kinds[f"logical{i}"]:
+            out[column] = value.try_cast("boolean")
+        elif kinds[f"number{i}"]:
+            out[column] = value.try_cast("double")
+        else:
+            out[column] = F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"), value)
+    return df.withColumns(out) if out else df
 
 
 def rename_snake(df: DataFrame) -> DataFrame:

@@ -10,21 +10,25 @@ from pyspark.sql import functions as F
 
 from annolytics.functions import stats
 from annolytics.operators.relational import join_on
+from annolytics.operators.windows import quantiles
+from annolytics.session import materialize
 
 
-def bandwidth(x: str, n: str) -> Column:
-    """Rule-of-thumb width 0.9 * min(sd, IQR/1.34) * n^-0.2 (Silverman 1986) from counted values.
+def bandwidths(counts: DataFrame, x: str, n: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rule-of-thumb width ``h`` 0.9 * min(sd, IQR/1.34) * n^-0.2 (Silverman 1986) and ``total`` per group of counted values.
 
     As usual, sd alone is used when the IQR is 0, then |x|, then 1.
     """
     total = F.sum(n).cast("double")
     mean_x = F.sum(F.col(n) * F.col(x)) / total
     var = F.try_divide(F.sum(F.col(n) * F.col(x) * F.col(x)) - total * mean_x * mean_x, total - 1)
-    sd = F.sqrt(F.greatest(var, F.lit(0.0)))
-    iqr = (F.percentile(x, 0.75, F.col(n)) - F.percentile(x, 0.25, F.col(n))) / 1.34
-    low = F.least(sd, iqr)
-    spread = F.when(low > 0, low).when(sd > 0, sd).otherwise(F.coalesce(F.nullif(F.abs(F.min(x)), F.lit(0.0)), F.lit(1.0)))
-    return 0.9 * spread * F.pow(total, F.lit(-0.2))
+    sums = counts.groupBy(*by).agg(F.sqrt(F.greatest(var, F.lit(0.0))).alias("_sd"), F.min(x).alias("_least"), total.alias("total"))
+    cuts = quantiles(counts, by, x, {"_q1": 0.25, "_q3": 0.75}, n)
+    sums = join_on(sums, cuts, by) if by else sums.withColumns({c: cuts.select(c).scalar() for c in ("_q1", "_q3")})
+    sd = F.col("_sd")
+    low = F.least(sd, (F.col("_q3") - F.col("_q1")) / 1.34)
+    spread = F.when(low > 0, low).when(sd > 0, sd).otherwise(F.coalesce(F.nullif(F.abs("_least"), F.lit(0.0)), F.lit(1.0)))
+    return sums.select(*by, (0.9 * spread * F.pow("total", F.lit(-0.2))).alias("h"), "total")
 
 
 def kernel_density(
@@ -38,7 +42,8 @@ def kernel_density(
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    widths = counts.groupBy(*by).agg(bandwidth("_x", "_n").alias("h"), F.sum("_n").cast("double").alias("total"))
+    counts = materialize(counts, "value-counts")
+    widths = bandwidths(counts, "_x", "_n", by)
     if width_by is not None:
         shared = widths.groupBy(*width_by).agg(F.avg("h").alias("h"))
         widths = join_on(widths.drop("h"), shared, width_by) if width_by else widths.withColumn(
@@ -73,7 +78,7 @@ def binned_trend(df: DataFrame, by: Sequence[str], x: str, y: str, width: float)
 
 def popularity(df: DataFrame, by: Sequence[str], weeks: str) -> DataFrame:
     """Mean, median and mean log10 of a count per group."""
-    return df.groupBy(*by).agg(
-        F.count(weeks).alias("n"), F.avg(weeks).alias("mean"), F.median(weeks).alias("median"),
-        F.avg(F.when(F.col(weeks) > 0, F.log10(weeks))).alias("mean_log10"),
+    means = df.groupBy(*by).agg(
+        F.count(weeks).alias("n"), F.avg(weeks).alias("mean"), F.avg(F.when(F.col(weeks) > 0, F.log10(weeks))).alias("mean_log10"),
     )
+    return join_on(means, quantiles(df, by, weeks, {"median": 0.5}), by, "left")

@@ -51,6 +51,39 @@ def running_total(df: DataFrame, order: Sequence[str], value: Column, name: str)
     return laid.join(F.broadcast(sums), "_slice").withColumn(name, total).select(*df.columns, name)
 
 
+def quantiles(
+    df: DataFrame, groups: Sequence[str], value: str, shares: Mapping[str, float], weight: str | None = None
+) -> DataFrame:
+    """Exact quantiles of ``value`` per group, between neighbours by straight line; one column for each of ``shares``.
+
+    Distinct values are counted and numbered in sorted order over all tasks, and each order statistic is then the value
+    whose numbers enclose its place. No group is sorted, or held, in one task. ``weight`` counts a row several times.
+    """
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    names = [f"_g{i}" for i in range(len(groups))]
+    known = df.where(F.col(value).isNotNull()).select(
+        *[F.col(g).alias(a) for g, a in zip(groups, names)], F.col(value).cast("double").alias("_x"), *([weight] if weight else [])
+    )
+    counts = known.groupBy(*names, "_x").agg(n.cast("long").alias("_c"))
+    through = running_total(counts, [*names, "_x"], F.col("_c"), "_through")
+    totals = through.groupBy(*names).agg(F.sum("_c").alias("_all"), F.min(F.col("_through") - F.col("_c")).alias("_before"))
+    placed = join_on(through, totals, names) if names else through.withColumns(
+        {c: totals.select(c).scalar() for c in ("_all", "_before")}
+    )
+    end = F.col("_through") - F.col("_before")
+    cells = []
+    for i, share in enumerate(shares.values()):
+        place = (F.col("_all") - 1) * F.lit(share)
+        for side, at in (("low", F.floor(place)), ("high", F.ceil(place))):
+            cells.append(F.max(F.when((end - F.col("_c") <= at) & (at < end), F.col("_x"))).alias(f"_{side}{i}"))
+    found = placed.groupBy(*names).agg(F.max("_all").alias("_all"), *cells)
+    out = []
+    for i, (name, share) in enumerate(shares.items()):
+        place = (F.col("_all") - 1) * F.lit(share)
+        out.append((F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * (place - F.floor(place))).alias(name))
+    return found.select(*[F.col(a).alias(g) for g, a in zip(groups, names)], *out)
+
+
 def batch_ids(
     df: DataFrame, order: Sequence[str], size: int | str, partition: Sequence[str] = (), name: str = "batch"
 ) -> DataFrame:
@@ -80,8 +113,8 @@ def equal_width_bins(x: Column, low: Column, high: Column, bins: int) -> Column:
 
 
 def cut_counts(df: DataFrame, x: str, bins: int) -> DataFrame:
-    """Counts per equal-width bin. Values are counted first, so the range is taken from the small table."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("n"))
+    """Counts per equal-width bin. Values are counted first and stored, so the range is taken from the small table."""
+    counts = materialize(df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("n")), "values")
     bounds = counts.agg(F.min(x).alias("low"), F.max(x).alias("high")).first()
     if bounds["low"] is None:
         return counts.select(F.lit(None).cast("int").alias("bin"), "n").limit(0)

@@ -13,6 +13,7 @@ from annolytics.operators import aggregate, agreement, dedupe, relational, resha
 from annolytics.plans.preludes import join_key, md5_order, sql
 from annolytics.plans.registry import plan
 from annolytics.plans.table_plans import PROFILE_SQL, profiles
+from annolytics.session import materialize
 from annolytics.sources.standins import CATEGORIES, CODERS, RATERS, Tables
 
 _Z = repr(Z_975) + "e0"
@@ -138,17 +139,44 @@ def _(t: Tables) -> DataFrame:
 
 
 def alpha_sql(counts: str, by: str = "") -> str:
+    """Alpha by its definition, and its variance from the linearised alpha of every item."""
     group = f"{by}, " if by else ""
+    over = f"PARTITION BY {by}" if by else ""
+    nu, z = "(items - 1)", _Z
+    tq = (
+        f"(CASE {nu} WHEN 1 THEN 12.706204736432095e0 WHEN 2 THEN 4.302652729911275e0 WHEN 3 THEN 3.182446305284263e0 "
+        f"WHEN 4 THEN 2.7764451051977987e0 "
+        f"ELSE {z} + (pow({z}, 3) + {z}) / 4 / {nu} + (5 * pow({z}, 5) + 16 * pow({z}, 3) + 3 * {z}) / 96 / pow({nu}, 2) "
+        f"+ (3 * pow({z}, 7) + 19 * pow({z}, 5) + 17 * pow({z}, 3) - 15 * {z}) / 384 / pow({nu}, 3) END)"
+    )
     return f"""
-    u AS (SELECT *, y + n AS m FROM ({counts}) WHERE y + n >= 2),
-    s AS (SELECT {group}count(*) AS items, sum(m) AS t, sum((m * m - y * y - n * n) / (m - 1)) AS d, sum(y) AS ty, sum(n) AS tn
-          FROM u {'GROUP BY ' + by if by else ''})
-    SELECT {group}items, round(1 - (d / t) / ((t * t - ty * ty - tn * tn) / (t * (t - 1))), 9) AS alpha FROM s"""
+    u AS (SELECT *, y + n AS m, (y * (y - 1) + n * (n - 1)) / (y + n - 1) AS s FROM ({counts}) WHERE y + n >= 2),
+    w AS (SELECT *, count(*) OVER ({over}) AS items, sum(m) OVER ({over}) AS t, sum(s) OVER ({over}) AS ts, sum(y) OVER ({over}) AS ty, sum(n) OVER ({over}) AS tn FROM u),
+    e AS (SELECT *, t / items AS r, ts / t AS pa, pow(ty / t, 2) + pow(tn / t, 2) AS pe,
+                 1 - (1 - ts / t) / nullif((t * t - ty * ty - tn * tn) / (t * (t - 1)), 0) AS alpha FROM w),
+    x AS (SELECT *, (s / r - pa * (m - r) / r - pe) / nullif(1 - pe, 0)
+                    - 2 * (1 - (pa - pe) / nullif(1 - pe, 0)) * ((ty * y + tn * n) / t / r - pe * (m - r) / r - pe) / nullif(1 - pe, 0)
+                    - (pa - pe) / nullif(1 - pe, 0) AS off FROM e),
+    v AS (SELECT {group}max(items) AS items, max(alpha) AS alpha, sqrt(sum(off * off) / (max(items) * nullif(max(items) - 1e0, 0))) AS se
+          FROM x {'GROUP BY ' + by if by else 'HAVING count(*) > 0'})
+    SELECT {group}items, round(alpha + 1e-11, 9) AS alpha, round(se + 1e-11, 7) AS se, round(alpha - {tq} * se + 1e-11, 7) AS low,
+           CASE WHEN alpha IS NOT NULL AND se IS NOT NULL THEN round(least(alpha + {tq} * se, 1e0) + 1e-11, 7) END AS high FROM v"""
+
+
+def _alpha_out(df: DataFrame) -> DataFrame:
+    """Moved off the half-way points, which binary fractions hit, before they are rounded."""
+    moved = df.withColumns({c: F.col(c) + 1e-11 for c in ("alpha", "se", "low", "high")})
+    return _rounded(_rounded(moved, 9, "alpha"), 7, "se", "low", "high")
 
 
 @plan("g6_krippendorff_alpha", "G6", sql("ratings", "WITH " + alpha_sql(f"SELECT {_COUNTS} FROM ratings GROUP BY doc_id").strip()))
 def _(t: Tables) -> DataFrame:
-    return _rounded(agreement.krippendorff(t.ratings(), ["doc_id"], "about", [True, False]), 9, "alpha")
+    return _alpha_out(agreement.krippendorff(t.ratings(), ["doc_id"], "about", [True, False]))
+
+
+@plan("g6_alpha_per_year", "G6", sql("ratings", "WITH " + alpha_sql(f"SELECT year, {_COUNTS} FROM ratings GROUP BY year, doc_id", "year").strip()))
+def _(t: Tables) -> DataFrame:
+    return _alpha_out(agreement.krippendorff(t.ratings(), ["doc_id"], "about", [True, False], ["year"]))
 
 
 @plan("g7_kappa_per_theme", "G7 N8", sql("theme_pairs theme_rows category_words", "WITH " + fleiss_sql("""
@@ -230,6 +258,48 @@ def _(t: Tables) -> DataFrame:
     return shown.select("kind", "doc_id", text.truncate(text.table_cell(F.col("text")), 300).alias("cell"))
 
 
+@plan("g12_disagreement_reasons", "G12 N2", sql("human ratings reasoned docs", rf"""
+    WITH h AS (SELECT doc_id, min(is_political) AS low, max(is_political) AS high FROM human GROUP BY doc_id),
+    v AS (SELECT doc_id, count(*) FILTER (WHERE about) AS votes FROM ratings GROUP BY doc_id),
+    x AS (SELECT doc_id, votes, CASE WHEN low = 1 AND votes = 0 THEN 'humans only' WHEN high = 0 AND votes > 4.5 THEN 'machines only' END AS kind
+          FROM h JOIN v USING (doc_id)),
+    picked AS (SELECT * FROM x WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY kind ORDER BY {md5_order('doc_id', 14850)}, doc_id) <= 5),
+    cells AS (SELECT p.*, trim(regexp_replace(regexp_replace(replace(text, '|', '/'), '[\r\n]+', ' / ', 'g'), '\s+', ' ', 'g')) AS c FROM picked p JOIN docs USING (doc_id))
+    SELECT kind, doc_id, votes, CASE WHEN length(c) > 150 THEN left(c, 147) || '...' ELSE c END AS cell,
+           max(reason) FILTER (WHERE rater = 'coder_a') AS reason_coder_a, max(reason) FILTER (WHERE rater = 'coder_b') AS reason_coder_b,
+           max(reason) FILTER (WHERE rater = 'rater_1') AS reason_rater_1
+    FROM cells LEFT JOIN reasoned USING (doc_id) GROUP BY kind, doc_id, votes, c"""))
+def _(t: Tables) -> DataFrame:
+    agreed = agreement.consensus(t.human().withColumn("flag", F.col("is_political") == 1), "doc_id", "flag", 2)
+    votes = t.ratings().groupBy("doc_id").agg(F.count_if("about").alias("votes"))
+    kind = F.when((F.col("consensus") == "yes") & (F.col("votes") == 0), "humans only").when(
+        (F.col("consensus") == "no") & (F.col("votes") > len(RATERS) / 2), "machines only"
+    )
+    found = agreed.join(votes, "doc_id").withColumn("kind", kind).where(F.col("kind").isNotNull())
+    picked = materialize(sample.per_group(found.select("kind", "doc_id", "votes"), ["kind"], "doc_id", 5, 14850), "picked")
+    shown = t.docs().select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most five rows of two kinds
+    cells = shown.select("kind", "doc_id", "votes", text.truncate(text.table_cell(F.col("text")), 150).alias("cell"))
+    return agreement.with_reasons(cells, t.reasoned(), ["doc_id"], "rater", "reason", [*CODERS, "rater_1"])
+
+
+@plan("g13_single_voter_reasons", "G13 W4 N2", sql("ratings reasoned", """
+    WITH one AS (SELECT doc_id, rater AS voter FROM (SELECT *, sum(CAST(about AS INTEGER)) OVER w AS votes, count(about) OVER w AS given,
+                        count(*) OVER w AS n FROM ratings WINDOW w AS (PARTITION BY doc_id)) WHERE votes = 1 AND given = n AND about)
+    SELECT o.doc_id, voter, v.reason AS voter_reason, b.reason AS baseline_reason FROM one o JOIN reasoned v ON v.doc_id = o.doc_id AND v.rater = voter
+    JOIN reasoned b ON b.doc_id = o.doc_id AND b.rater = 'rater_5' WHERE voter <> 'rater_5'"""))
+def _(t: Tables) -> DataFrame:
+    machines = t.reasoned().where(F.col("rater").isin(RATERS))
+    return agreement.lone_voters(machines, "doc_id", "rater", "about", "reason", "rater_5")
+
+
+@plan("g18_reasons_of_an_item", "G18 N3", sql("reasoned", """
+    SELECT doc_id, rater, about, reason FROM reasoned WHERE doc_id = (SELECT min(doc_id) FROM reasoned WHERE rater = 'coder_b' AND about)"""))
+def _(t: Tables) -> DataFrame:
+    rows = t.reasoned()
+    picked = rows.where((F.col("rater") == "coder_b") & F.col("about")).agg(F.min("doc_id").alias("doc_id"))
+    return rows.join(F.broadcast(picked), "doc_id").select("doc_id", "rater", "about", "reason")  # one row
+
+
 @plan("g14_confidence_by_votes", "G14", sql("human ratings", """
     SELECT is_political, votes, count(*) AS n, round(avg(h.confidence), 9) AS confidence FROM human h
     JOIN (SELECT doc_id, count(*) FILTER (WHERE about) AS votes FROM ratings GROUP BY doc_id) USING (doc_id) GROUP BY is_political, votes"""))

@@ -230,6 +230,15 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@plan("a21_token_averages", "A21", sql("usage", """
+    WITH m AS (SELECT model, count(*) AS responses, avg(input_tokens) AS i, avg(output_tokens) AS o, avg(cached_input_tokens) AS c FROM usage GROUP BY model)
+    SELECT model, responses, round(i, 6) AS input_tokens, round(o, 6) AS output_tokens, round(c, 6) AS cached_input_tokens FROM m
+    UNION ALL SELECT NULL, CAST(sum(responses) AS BIGINT), round(avg(i), 6), round(avg(o), 6), round(avg(c), 6) FROM m"""))
+def _(t: Tables) -> DataFrame:
+    found = aggregate.usage_averages(t.usage().drop("cost"), "model")
+    return found.select("model", "responses", *[F.round(c, 6).alias(c) for c in ("input_tokens", "output_tokens", "cached_input_tokens")])
+
+
 @plan("a22_confidence_histogram", "A22", sql("human", """
     SELECT coder, is_political, CAST(floor(confidence / 1e-1 + 5e-1) AS BIGINT) AS bin, count(*) AS n
     FROM human GROUP BY ALL"""))
@@ -249,7 +258,8 @@ def _(t: Tables) -> DataFrame:
 
 
 @plan("a24_category_order", "A24", sql("theme_rows", """
-    SELECT theme, quantile_cont(CAST(year AS DOUBLE), 0.5) AS median, count(*) AS n FROM theme_rows GROUP BY theme"""))
+    SELECT *, row_number() OVER (ORDER BY median, theme) AS place
+    FROM (SELECT theme, quantile_cont(CAST(year AS DOUBLE), 0.5) AS median, count(*) AS n FROM theme_rows GROUP BY theme)"""))
 def _(t: Tables) -> DataFrame:
     rows = reshape.explode_labels(t.themes(), "themes", "theme", keep_empty=False)
     return aggregate.category_order(rows, "theme", "year")

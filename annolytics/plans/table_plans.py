@@ -9,6 +9,7 @@ from annolytics.functions import text
 from annolytics.operators import aggregate, dedupe, relational, reshape, sample, windows
 from annolytics.plans.preludes import join_key, md5_order, sql
 from annolytics.plans.registry import plan
+from annolytics.session import materialize
 from annolytics.sources.standins import CATEGORIES, RATERS, Tables
 
 
@@ -255,7 +256,7 @@ def _(t: Tables) -> DataFrame:
     SELECT CASE WHEN r <= 5 THEN theme ELSE 'Other' END AS theme, count(*) AS n
     FROM theme_rows JOIN ranked USING (theme) GROUP BY 1"""))
 def _(t: Tables) -> DataFrame:
-    rows = reshape.explode_labels(t.themes(), "themes", "theme", keep_empty=False)
+    rows = materialize(reshape.explode_labels(t.themes(), "themes", "theme", keep_empty=False).select("theme"), "themes")
     return reshape.lump_rare(rows, "theme", 5).groupBy("theme").agg(F.count(F.lit(1)).alias("n"))
 
 

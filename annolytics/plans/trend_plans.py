@@ -133,9 +133,8 @@ def _(t: Tables) -> DataFrame:
     WITH {_HITS.strip()} SELECT term, category, count(*) AS n, count(DISTINCT doc_id) AS docs
     FROM runs JOIN (SELECT DISTINCT category, term FROM lexicon WHERE term LIKE '% %') USING (term) GROUP BY term, category"""))
 def _(t: Tables) -> DataFrame:
-    runs = lexicon.grams(t.docs(), "doc_id", "text", 2)
     phrases = t.lexicon().where(F.col("term").contains(" ")).distinct()
-    hits = lexicon.attach_by_term(runs, phrases, "term")
+    hits = relational.lookup(lexicon.phrase_hits(t.docs(), "doc_id", "text", phrases, 2), phrases, "term", "inner")
     return hits.groupBy("term", "category").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
@@ -145,8 +144,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     terms = t.lexicon().distinct()
     bad = lexicon.unreachable_seeds(terms, 2).withColumn("unreachable", F.lit(True))
-    runs = lexicon.attach_by_term(lexicon.grams(t.docs(), "doc_id", "text", 2), terms.select("term").distinct(), "term")
-    counts = runs.groupBy("term").agg(F.sum("n").alias("n"))
+    counts = lexicon.phrase_hits(t.docs(), "doc_id", "text", terms, 2).groupBy("term").agg(F.sum("n").alias("n"))
     joined = terms.join(bad, ["category", "term"], "left").join(counts, "term", "left")
     return joined.select(
         "category", "term", F.coalesce("unreachable", F.lit(False)).alias("unreachable"), F.coalesce("n", F.lit(0)).alias("n")
