@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from annolytics.operators import agreement
 from pyspark.sql import functions as F
@@ -69,6 +70,43 @@ def test_fleiss_and_alpha_with_missing_ratings(spark):
     assert agreement.krippendorff(frame(spark, rows), ["item"], "value", LABELS).first().alpha == pytest.approx(brute_alpha(rows, LABELS))
 
 
+def brute_alpha_se(rows, labels):
+    """Item by item, as the linearised coefficient is defined."""
+    n = np.array([c for c in matrix(rows, labels) if sum(c) >= 2], dtype=float)
+    m = n.sum(1)
+    r = m.mean()
+    pi = (n / r).mean(0)
+    pe = (pi**2).sum()
+    each = (n * (n - 1)).sum(1) / (r * (m - 1))
+    whole = each.mean()
+    prime = (whole - pe) / (1 - pe)
+    star = (each - whole * (m - r) / r - pe) / (1 - pe)
+    star = star - 2 * (1 - prime) * ((n @ pi) / r - pe * (m - r) / r - pe) / (1 - pe)
+    return math.sqrt(((star - prime) ** 2).sum() / (len(n) * (len(n) - 1)))
+
+
+def test_interval_of_alpha(spark):
+    rows = panel(11)
+    got = agreement.krippendorff(frame(spark, rows), ["item"], "value", LABELS).first()
+    assert got.se == pytest.approx(brute_alpha_se(rows, LABELS), abs=1e-10)
+    assert got.low < got.alpha < got.high <= 1 and got.high - got.alpha == pytest.approx(got.alpha - got.low)
+
+
+def test_correlations_of_five_hundred_raters(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 500)) + rng.normal(size=(40, 1))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    names = [f"r{j}" for j in range(500)]
+    table = pd.DataFrame([(i, names[j], float(x[i, j])) for i in range(40) for j in range(500) if not np.isnan(x[i, j])], columns=["item", "rater", "value"])
+    got = agreement.correlations(spark.createDataFrame(table), ["item"], "rater", "value", names).toPandas()
+    assert len(got) == 500 * 499 / 2
+    for a, b, n, r in got.sample(40, random_state=1).itertuples(index=False):
+        u, v = x[:, names.index(a)], x[:, names.index(b)]
+        both = ~np.isnan(u) & ~np.isnan(v)
+        assert n == both.sum() and r == pytest.approx(np.corrcoef(u[both], v[both])[0, 1])
+        assert names.index(a) < names.index(b)
+
+
 def test_coefficients_ignore_rater_names(spark):
     rows = panel(5)
     renamed = [(i, {"r0": "r3", "r3": "r0"}.get(r, r), v) for i, r, v in rows]

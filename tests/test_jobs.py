@@ -1,5 +1,6 @@
 """Configuration, annotation jobs, sinks, releases and incremental runs."""
 
+import hashlib
 import json
 import sys
 
@@ -38,7 +39,7 @@ def test_work_list_batches_distinct_prompts(spark):
 
 
 def test_failed_batch_is_isolated(spark):
-    out = annotate.run(annotate.work_list(prompted(spark), RATERS), scorer)
+    out = annotate.score(prompted(spark), RATERS, scorer, slices=1)
     rows = out.collect()
     assert len(rows) == 20
     bad = [r for r in rows if r.error]
@@ -48,10 +49,9 @@ def test_failed_batch_is_isolated(spark):
 
 
 def test_resumed_job_equals_one_shot(spark):
-    work = annotate.work_list(prompted(spark), RATERS[:1])
-    whole = annotate.run(work, scorer)
+    whole = annotate.score(prompted(spark), RATERS[:1], scorer)
     half = spark.createDataFrame(whole.collect()[:4], annotate.RESPONSE_SCHEMA)
-    rest = annotate.run(work, scorer, half)
+    rest = annotate.score(prompted(spark), RATERS[:1], scorer, half)
     assert rest.count() == 6
     key = lambda df: sorted((r.prompt_digest, r.model, r.response) for r in df.collect())
     assert key(half.unionByName(rest)) == key(whole)
@@ -79,7 +79,9 @@ def test_group_digest_parts_are_whole(spark):
 
 def test_markdown_escapes(spark):
     dim = spark.createDataFrame([("b", "x|y"), ("a", "l1\nl2")], "category string, description string")
-    table = annotate.markdown_table(dim, ["category", "description"], "category").first().table
+    rows = annotate.markdown_table(dim, ["category", "description"], "category", rows_per_part=1).orderBy("part").collect()
+    assert [r.part for r in rows] == [1, 2]
+    table = "\n".join(r.table for r in rows)
     assert table.split("\n")[2:] == ["| a | l1 l2 |", "| b | x\\|y |"]
 
 
@@ -155,7 +157,7 @@ def test_streamed_rollup_equals_batch(spark, tmp_path):
 
 
 def test_streamed_annotation_scores_each_pair_once(spark, tmp_path):
-    work = annotate.work_list(prompted(spark), RATERS[:1])
+    work = prompted(spark).select("prompt_digest", "prompt")
     source, results = str(tmp_path / "in"), str(tmp_path / "out")
     calls = spark.sparkContext.accumulator(0)
 
@@ -165,11 +167,52 @@ def test_streamed_annotation_scores_each_pair_once(spark, tmp_path):
 
     for _ in range(2):
         work.write.mode("append").parquet(source)
-        incremental.stream_annotation(spark.readStream.schema(work.schema).parquet(source), results, counted)
-    stored = spark.read.parquet(f"{results}/parts")
+        incremental.stream_annotation(spark.readStream.schema(work.schema).parquet(source), results, RATERS[:1], counted)
+    stored = incremental.read_annotations(spark, results)
     assert stored.count() == 10 and stored.select("prompt_digest").distinct().count() == 10 and calls.value == 10
 
 
+def test_micro_batch_reads_touched_prefixes_only(spark, tmp_path):
+    """The rows read for a batch of one prompt stay at those of its prefix, however long the history."""
+    results, read, own = str(tmp_path / "out"), [], hashlib.md5(b"0").hexdigest()[:2]
+    for step in range(3):
+        history = spark.range(step * 300, step * 300 + 300).select(F.md5(F.col("id").cast("string").cast("binary")).alias("prompt_digest"))
+        rows = history.select("prompt_digest", *[F.lit(v).cast(k).alias(c) for c, k, v in (
+            ("model", "string", "good"), ("response", "string", "{}"), ("input_tokens", "double", 1), ("output_tokens", "double", 1),
+            ("cached_input_tokens", "double", None), ("cost", "double", None), ("error", "string", None))])
+        rows = rows.withColumn("prefix", F.left("prompt_digest", F.lit(2))).withColumn("batch", F.lit(step))
+        rows.repartition("prefix").write.mode("append").partitionBy("prefix", "batch").parquet(f"{results}/parts")
+        done = incremental.earlier_answers(spark, results, [own, "zz"], 99)
+        read.append(done.count())
+        assert {r[0][:2] for r in done.collect()} == {own}
+    assert spark.read.parquet(f"{results}/parts").count() == 900 and read[-1] < 15
+    assert incremental.earlier_answers(spark, results, ["zz"], 99) is None
+    assert incremental.earlier_answers(spark, results, [own], 2).count() == read[1]  # a replayed batch does not see itself
+
+
+def test_text_is_shuffled_once_for_all_raters(spark):
+    nine = [dict(RATERS[0], model=f"m{i}", prompt_batch_size=i + 1) for i in range(9)]
+    sizes = spark.sparkContext.accumulator(0)
+
+    def watched(prompts, model, params):
+        assert len(prompts) <= int(model[1:]) + 1
+        sizes.add(1)
+        return scorer(prompts, "good", params)
+
+    plans = []
+    import annolytics.operators.annotate as module
+    kept = module.materialize
+    try:
+        module.materialize = lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, label))[1]
+        out = annotate.score(prompted(spark, 40), nine, watched)
+    finally:
+        module.materialize = kept
+    assert plans[0].count("Exchange ") == 1 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "").replace("Exchange SinglePartition", "").replace("Exchange hashpartitioning(_slice", "")
+    rows = out.collect()
+    assert len(rows) == 360 and len({(r.prompt_digest, r.model) for r in rows}) == 360 and not any(r.error for r in rows)
+    assert sizes.value < 360  # batches, not single prompts
+
+
 def test_session_helpers(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     few = spark.range(9).withColumn("t", F.repeat(F.lit("x"), 100))

@@ -1,8 +1,10 @@
 """Recovery tests of the iterative models, densities, lexicon and linkage."""
 
 import math
+import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from annolytics.operators import irt, lexicon, linkage, topics, trend
 from pyspark.sql import functions as F
@@ -78,6 +80,36 @@ def test_nearest_to_seeds_equals_brute_force(spark):
         assert [r.id for r in sorted((r for r in got if r.k == str(s)), key=lambda r: r["rank"])] == best
 
 
+def test_twenty_thousand_seeds(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 4))
+    df = spark.createDataFrame(pd.DataFrame({"id": range(20_000), "v": list(x)}), "id int, v array<double>").repartition(4)
+    got = lexicon.nearest_to_seeds(df, "id", "v", df.withColumn("k", F.col("id").cast("string")), "k", 2).where("pmod(seed_id, 400) = 0").collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(got) == 50 * 2
+    for r in got:
+        cosine = np.round(unit @ unit[r.seed_id], 9)
+        cosine[r.seed_id] = -2
+        assert r.id == np.lexsort((np.arange(20_000), -cosine))[r["rank"] - 1] and r.k == str(r.seed_id)
+
+
+def test_trie_walks_words_in_order():
+    root = lexicon.build_trie(["a", "a b", "a b c", "b c", "x y"])
+    assert lexicon.trie_hits("a b c a b x".split(), root) == {"a": 2, "a b": 2, "a b c": 1, "b c": 1}
+    assert lexicon.trie_hits([], root) == {} and lexicon.trie_hits(["x"], root) == {}
+
+
+def test_phrase_hits_shuffle_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "In the end, the END of it"), (2, "nothing"), (3, None), (4, "the the end")], "id int, t string")
+    terms = spark.createDataFrame([("the end",), ("the",), ("end of it",), (None,), ("don't",), ("",)], "term string")
+    hits = lexicon.phrase_hits(docs, "id", "t", terms, 2)
+    want = {(1, 7, "the end", 2), (1, 7, "the", 2), (4, 3, "the", 2), (4, 3, "the end", 1)}
+    assert {tuple(r) for r in hits.collect()} == want
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString().replace("Exchange hashpartitioning(id", "")
+    monkeypatch.setattr(lexicon, "BROADCAST_ROWS", 2)
+    assert {tuple(r) for r in lexicon.phrase_hits(docs, "id", "t", terms, 2).collect()} == want
+
+
 def keyed(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
@@ -90,6 +122,62 @@ def test_linkage_statuses_and_copies(spark):
     assert got[900] == (8, pytest.approx(1 / 11)) and got[901] == (None, None) and got[902] == (None, None)
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def best_by_brute_force(keys, entries, distance):
+    out = {}
+    for key in {k for k in keys if k}:
+        scored = [(edits(key, c) / max(len(key), len(c)), i) for c, i in entries if c and abs(len(c) - len(key)) <= distance * max(len(c), len(key)) + 1e-9]
+        if near := [x for x in scored if x[0] <= distance]:
+            out[key] = min(near)
+    return out
+
+
+def mistyped(draw, text, n):
+    for _ in range(n):
+        i = draw.randrange(len(text) + 1)
+        text = draw.choice([text[:i] + draw.choice("abcdef ") + text[i:], text[:i] + text[i + 1 :], text[:i] + "z" + text[i + 1 :]]) or "a"
+    return text
+
+
+@pytest.mark.parametrize("distance, first, tile", [(0.35, (0.1,), 2000), (0.35, (), 5), (0.2, (0.05, 0.1), 3), (0.6, (0.3,), 50), (0.0, (), 10)])
+def test_linkage_finds_every_best_entry(spark, distance, first, tile):
+    draw = random.Random(int(distance * 100) + tile)
+    word = lambda: "".join(draw.choices("abcdef", k=draw.randrange(1, 5)))
+    titles = [" ".join(word() for _ in range(draw.randrange(1, 7))) for _ in range(120)] + ["x" * 70, "ab" * 45, "the " * 25 + "end"]
+    entries = [(t, i) for i, t in enumerate(titles + titles[:9])] + [("", 999), (None, 1000)]
+    keys = [mistyped(draw, draw.choice(titles), draw.randrange(9)) for _ in range(150)] + ["", "x" * 60, "ab" * 40, "a", "the " * 22 + "and", None, "q" * 5000]
+    records = keyed(spark, [(i, k) for i, k in enumerate(keys)], "id int, key string")
+    catalogue = keyed(spark, entries, "key string, cand_id int")
+    best = linkage.best_matches(records, catalogue, distance, first, tile)
+    got = {r.key: (r.match_score, r.cand_id) for r in best.collect()}
+    want = best_by_brute_force([k for k in keys if k], [(c, i) for c, i in entries if c], distance)
+    assert got == {k: (pytest.approx(s), i) for k, (s, i) in want.items()} and len(want) > (20 if distance else 0)
+
+
+def test_linkage_with_both_ends_mistyped(spark):
+    """Sorted neighbours see neither end; the segment index does."""
+    draw = random.Random(8)
+    titles = sorted({" ".join("".join(draw.choices("abcdefghijklmnop", k=5)) for _ in range(5)) for _ in range(400)})
+    keys = ["zz" + t[2:-2] + "qq" for t in titles]
+    records, catalogue = keyed(spark, [(k,) for k in keys], "key string"), keyed(spark, [(t, i) for i, t in enumerate(titles)], "key string, cand_id int")
+    got = {r.key: r.cand_id for r in linkage.best_matches(records, catalogue).collect()}
+    assert got == {k: i for i, k in enumerate(keys)}
+
+
+def test_linkage_of_empty_tables(spark):
+    none, some = keyed(spark, [], "key string, cand_id long"), keyed(spark, [("abc", 1)], "key string, cand_id long")
+    assert linkage.best_matches(none, some).count() == linkage.best_matches(some, none).count() == 0
+    assert linkage.link(some.select("key"), none).collect()[0].cand_id is None
+
+
 def test_linkage_pages_reach_every_entry(spark):
     records = keyed(spark, [(1, "mmm")], "id int, key string")
     catalogue = keyed(spark, [(i, f"{chr(97 + i)}{chr(97 + i)}{chr(97 + i)}") for i in range(26)], "cand_id int, key string")
@@ -107,16 +195,59 @@ def test_best_hit_bounds_are_inclusive(spark):
     assert got == {"abcdefghij": (1, 0.3), "aaaaaaaaaa": (3, 0.1)}
 
 
+def test_topic_search_prefers_the_true_number(spark):
+    rng = np.random.default_rng(3)
+    words = [[f"{c}{i}word" for i in range(12)] for c in "abcd"]
+    bag = spark.createDataFrame(
+        [(d, w, int(n)) for d in range(300) for w, n in zip(words[d % 4], rng.integers(0, 6, 12)) if n], "id int, term string, n int"
+    )
+    found = {r.topics: r for r in topics.search_topics(bag, "id", [2, 4], tolerance=1e-5).collect()}
+    assert set(found) == {2, 4} and found[4].log_likelihood > found[2].log_likelihood + 0.5
+    assert found[4].log_likelihood < -math.log(10) and found[4].coherence is not None and found[4].converged
+
+
+def test_topics_of_an_empty_corpus(spark):
+    bag = spark.createDataFrame([], "id int, term string, n int")
+    corpus = topics.corpus(bag, "id")
+    model = topics.fit(corpus, 3)
+    assert topics.topic_terms(model).count() == topics.document_shares(model, corpus, "id").count() == 0
+
+
+def test_raters_without_a_finite_maximum_are_named(spark):
+    rng = np.random.default_rng(5)
+    theta = rng.normal(size=4000)
+    rows = []
+    for i, x in enumerate(theta):
+        votes = [bool(rng.random() < 1 / (1 + np.exp(-(s * x + d)))) for s, d in ((1.0, 0.2), (1.6, -0.5), (0.8, 0.0), (1.2, 0.4))]
+        rows += [(i, f"r{j}", v) for j, v in enumerate([*votes, True])]
+    df = spark.createDataFrame(rows, "item int, rater string, value boolean")
+    model = irt.fit(df, ["item"], "rater", "value", [f"r{j}" for j in range(5)])
+    assert model.converged and list(model.bounded) == [True] * 4 + [False] and np.isnan(model.slope[4])
+    assert model.slope[:4] == pytest.approx([1.0, 1.6, 0.8, 1.2], abs=0.35) and (model.slope_se[:4] < 0.4).all()
+    cuts = spark.createDataFrame([(i, f"c{j}", bool(x > c)) for i, x in enumerate(theta) for j, c in enumerate((-1.0, 0.0, 1.0))], df.schema)
+    nested = irt.fit(cuts, ["item"], "rater", "value", ["c0", "c1", "c2"])
+    assert not nested.bounded.any() and np.isnan(nested.slope).all()
+    table = irt.parameter_table(spark, nested).collect()
+    assert all(r.slope is None and r.location is None and not r.bounded and r.observations == 4000 for r in table)
+
+
 def test_topics_separate_two_vocabularies(spark):
     animal, metal = ["cats", "dogs", "horses", "birds"], ["iron", "copper", "zinc", "silver"]
     rng = np.random.default_rng(0)
     docs = [(i, " ".join(rng.choice(animal if i % 2 else metal, 30))) for i in range(60)]
     df = spark.createDataFrame(docs, "id int, text string")
     bag = topics.bag_of_words(df, "id", "text", topics.stop_words())
-    features, model = topics.vectors(bag, "id")
-    lda = topics.fit(features, 2, 30, optimizer="em")
+    corpus = topics.corpus(bag, "id")
+    lda = topics.fit(corpus, [2, 3], tolerance=1e-6)
+    assert lda.converged and len(lda.bounds) < 400
+    for i in range(2):  # no pass lowers the bound
+        bounds = [b[i] for b in lda.bounds]
+        assert all(b >= a - 1e-6 * abs(a) for a, b in zip(bounds, bounds[1:])) and bounds[-1] > bounds[0]
     counts = bag.groupBy("term").agg(F.sum("n").alias("n"))
-    wide = topics.labels_wide(topics.labels(topics.term_scores(topics.topic_terms(lda, model.vocabulary), counts), 4), n=4)
+    assert topics.topic_terms(lda, 3).groupBy("topic").agg(F.sum("phi")).orderBy("topic").collect() == [(i, pytest.approx(1)) for i in (1, 2, 3)]
+    shares = {r.id: r.shares for r in topics.document_shares(lda, corpus, "id").collect()}
+    assert len(shares) == 60 and all(max(s) > 0.9 and (s[0] > s[1]) == (shares[i % 2][0] > 0.5) for i, s in shares.items())
+    wide = topics.labels_wide(topics.labels(topics.term_scores(topics.topic_terms(lda), counts), 4), n=4)
     groups = {frozenset(r[1:]) for r in wide.collect()}
     assert groups == {frozenset(["cat", "dog", "hors", "bird"]), frozenset(["iron", "copper", "zinc", "silver"])}
     picked = topics.overlap_topic(wide, ["IRON", "zinc"]).first().topic

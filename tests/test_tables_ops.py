@@ -1,7 +1,9 @@
 """De-duplication, numbering, bins, reshaping, joins, samples."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from annolytics.operators import aggregate, dedupe, relational, reshape, sample, windows
 from pyspark.sql import functions as F
@@ -100,6 +102,25 @@ def test_salted_lookup_equals_join(spark):
     assert sorted(got, key=key) == sorted(expected, key=key)
 
 
+def test_salted_lookup_parts_hot_keys_by_their_share_and_spreads_null_keys(spark):
+    key = F.when(F.col("id") % 2 == 0, F.lit(None).cast("string")).when(F.col("id") % 8 != 1, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40))
+    facts = spark.range(40_000).select(key.alias("k"), "id")
+    dim = spark.createDataFrame([("hot", 1), ("k1", 2), (None, 3)], "k string, v int")
+    joined = relational.salted_lookup(facts, dim, "k")
+    assert joined.count() == 40_000
+    assert {r[0]: r[1] for r in joined.groupBy("v").count().collect()} == {1: 15_000, 2: 1_000, None: 24_000}
+    pieces = F.count_distinct("_p")
+    spread = joined.withColumn("_p", F.spark_partition_id()).groupBy(F.coalesce("k", F.lit("-")).alias("k")).agg(pieces.alias("n"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert {r.k: r.n for r in spread.where("k in ('-', 'hot')").collect()} == {"-": 4, "hot": 4}  # all four partitions
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+
+
 def test_cross_with_dimension_and_resume(spark):
     items = spark.range(3)
     crossed = relational.cross_with_dimension(items, [{"m": "a", "p": {"k": "v"}}, {"m": "b", "p": {}}], "m string, p map<string,string>")
@@ -157,3 +178,37 @@ def test_null_sums_are_zero(spark):
     df = spark.createDataFrame([("a", None, None)], "model string, flag boolean, tokens double")
     assert aggregate.usage_totals(df, ["model"]).first().tokens == 0.0
     assert aggregate.rates(df, ["model"], "flag").first().positives == 0
+
+
+def test_exact_quantiles_of_hot_and_small_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot", float(x)) for x in rng.integers(0, 3000, 9000)] + [("few", 2.0), ("few", 9.0), ("one", 5.0), ("none", None), (None, 1.5), (None, 2.5)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    shares = {"low": 0.25, "median": 0.5, "high": 0.9}
+    got = {r.g: r for r in windows.quantiles(df, ["g"], "x", shares).collect()}
+    for g in {r[0] for r in rows} - {"none"}:
+        own = [x for h, x in rows if h == g]
+        assert [got[g][c] for c in shares] == pytest.approx([np.quantile(own, s) for s in shares.values()])
+    assert "none" not in got
+    whole = windows.quantiles(df, [], "x", {"median": 0.5}).collect()
+    assert [r.median for r in whole] == [pytest.approx(np.median([x for _, x in rows if x is not None]))]
+    weighted = spark.createDataFrame([("a", 1.0, 3), ("a", 8.0, 1)], "g string, x double, n long")
+    assert windows.quantiles(weighted, ["g"], "x", {"q": 0.75}, "n").first().q == pytest.approx(np.quantile([1, 1, 1, 8], 0.75))
+
+
+@pytest.mark.parametrize("n", [1, 1500])
+def test_samples_beyond_the_rank_limit(spark, n):
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 100 == 0, "small").when(F.col("id") % 100 < 40, "mid").otherwise("hot").alias("g"))
+    got = sample.per_group(rows, ["g"], "id", n, 7)
+    order = sorted(((r.g, hashlib.md5(f"{r.id}7".encode()).hexdigest(), r.id) for r in rows.collect()))
+    want = {(g, i) for g in ("small", "mid", "hot") for _, _, i in [r for r in order if r[0] == g][:n]}
+    assert {(r.g, r.id) for r in got.collect()} == want
+
+
+def test_no_stratum_is_ranked_whole(spark):
+    """At 5,000 a group, about 5,000 rows of the large group reach the ranking, not all of them."""
+    rows = spark.range(200_000).select("id", F.when(F.col("id") < 500, "tiny").otherwise("hot").alias("g"))
+    cut = sample.cut_groups(rows, ["g"], "id", 5000, 3)
+    counts = {r.g: r["count"] for r in cut.groupBy("g").count().collect()}
+    assert counts["tiny"] == 500 and 5000 <= counts["hot"] < 7000
+    assert sample.per_group(rows, ["g"], "id", 5000, 3).count() == 5500
