@@ -39,7 +39,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``slot`` and ``within`` hold the order of the mixture, which a table of several files does not keep by itself.
     """
-    return merge_dropout.encode(mixing.places(docs, WEIGHTS), seed=20, keep=["source", "slot", "within"])
+    placed = materialize(mixing.places(docs, WEIGHTS), "placed")
+    return merge_dropout.encode(placed, seed=20, keep=["source", "slot", "within"])
 
 
 STAGES = [
