@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annolytics.functions import stats
 from annolytics.operators.relational import join_on, lookup
 from annolytics.operators.windows import number_rows, quantiles
+from annolytics.session import materialize
 
 
 def entity_rollup(chart: DataFrame, keys: Sequence[str], rank: str, date: str) -> DataFrame:
@@ -141,7 +142,7 @@ def category_order(df: DataFrame, category: str, value: str) -> DataFrame:
 def usage_averages(responses: DataFrame, rater: str) -> DataFrame:
     """Mean of every token column per rater, and the mean over raters of those means in the row of the null rater."""
     tokens = [c for c in responses.columns if "tokens" in c]
-    each = responses.groupBy(rater).agg(F.count(F.lit(1)).alias("responses"), *[F.avg(c).alias(c) for c in tokens])
+    each = materialize(responses.groupBy(rater).agg(F.count(F.lit(1)).alias("responses"), *[F.avg(c).alias(c) for c in tokens]), "averages")
     over = each.agg(F.sum("responses").alias("responses"), *[F.avg(c).alias(c) for c in tokens])
     return each.unionByName(over.withColumn(rater, F.lit(None).cast(each.schema[rater].dataType)))
 

@@ -38,8 +38,8 @@ LEXICON = [
 MEASURES = ["politics", "government", "violence", "military", "law", "terrorism"]
 
 USAGE_PRICES = [
-    ("click", 0.5, 3.0, 0.05, 0.5, None), ("view", 0.075, 0.30, 0.037, 0.5, False),
-    ("purchase", 0.11, 0.34, None, 0.5, False), ("error", 1.0, 3.0, 0.5, 0.5, True),
+    ("click", 0.4, 2.0, 0.04, 0.6, None), ("view", 0.125, 0.5, 0.0625, 0.5, False),
+    ("purchase", 0.25, 0.75, None, 0.8, False), ("error", 1.5, 4.5, 0.75, 0.5, True),
 ]
 
 

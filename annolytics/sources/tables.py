@@ -20,6 +20,7 @@ PRICE_SCHEMA = (
     "model string, input_per_m double, output_per_m double, cached_input_per_m double, batch_discount_factor double, "
     "cache_discounts_with_batch boolean"
 )
+RATER_FIELDS = ("api", "model", "chat_function", "params", "processing", "prompt_batch_size")
 MODES = ("sequential", "parallel", "batch")
 # The chat functions whose service takes batch jobs.
 BATCH_FUNCTIONS = ("chat_anthropic", "chat_openai", "chat_claude", "chat_groq_developer")
@@ -63,37 +64,50 @@ def coded_rows(df: DataFrame, coders: Sequence[str], coder: str = "coder_name")
     return df.where(F.col(coder).isin(list(coders)))
 
 
+DEFAULTS = {"chat_function": None, "processing": "sequential", "prompt_batch_size": 5, "enabled": True}
+
+
+def _settings(levels: Sequence[Mapping]) -> dict:
+    """Settings of several levels, the last level that has one winning; parameters are merged one by one."""
+    merged: dict = {"params": {}}
+    for level in levels:
+        given = {k: v for k, v in level.items() if v is not None}
+        params = merged["params"] | {k: str(v) for k, v in (given.get("params") or {}).items()}
+        merged |= given | {"params": params}
+    return merged
+
+
+def _fault(rater: Mapping) -> str | None:
+    size = rater["prompt_batch_size"]
+    checks = {
+        f"unknown processing {rater['processing']!r}": rater["processing"] not in MODES,
+        f"{rater['chat_function']} has no batch service": rater["processing"] == "batch" and rater["chat_function"] not in BATCH_FUNCTIONS,
+        f"batches of {size!r} prompts": isinstance(size, (bool, str)) or not isinstance(size, (int, float)) or size < 1,
+    }
+    return next((text for text, wrong in checks.items() if wrong), None)
+
+
 def raters_from_config(config: Mapping | str) -> list[dict]:
     """One record per enabled rater of a configuration, given as a mapping or JSON text.
 
-    A rater's own setting overrides its service's, which overrides the default (sequential, 5 prompts a batch). A bare
-    string entry names a rater that inherits everything.
+    Settings come in three levels: defaults, the service, the rater. A bare string entry names a rater that has none of its
+    own; raters without a name are left out.
     """
     services = json.loads(config) if isinstance(config, str) else config
     if not services:
-        raise ValueError("expected a mapping of services")
-    out = []
-    for api, cfg in services.items():
-        for entry in cfg.get("models") or []:
-            own = {"name": entry} if isinstance(entry, str) else entry
-            name = own.get("name") or own.get("model")
-            if not own.get("enabled", True) or not name:
+        raise ValueError("the configuration names no service")
+    found = []
+    for api, service in services.items():
+        shared = {k: v for k, v in service.items() if k not in ("models", "enabled")}
+        for entry in service.get("models") or ():
+            own = dict(entry) if isinstance(entry, Mapping) else {"name": entry}
+            rater = _settings([DEFAULTS, shared, own]) | {"api": api, "model": own.get("name") or own.get("model")}
+            if not (rater["model"] and rater["enabled"]):
                 continue
-            function = cfg.get("chat_function")
-            mode = own.get("processing") or cfg.get("processing") or "sequential"
-            size = next((s for s in (own.get("prompt_batch_size"), cfg.get("prompt_batch_size")) if s is not None), 5)
-            if mode not in MODES:
-                raise ValueError(f"{api}/{name}: processing must be one of {', '.join(MODES)}")
-            if mode == "batch" and function not in BATCH_FUNCTIONS:
-                raise ValueError(f"{api}/{name}: processing 'batch' is not supported by {function}")
-            if isinstance(size, bool) or not isinstance(size, (int, float)) or not size >= 1:
-                raise ValueError(f"{api}/{name}: prompt_batch_size must be a positive number")
-            params = {k: str(v) for k, v in {**(cfg.get("params") or {}), **(own.get("params") or {})}.items()}
-            out.append({
-                "api": api, "model": name, "chat_function": function, "params": params, "processing": mode,
-                "prompt_batch_size": int(size),
-            })
-    return out
+            if fault := _fault(rater):
+                raise ValueError(f"{api}/{rater['model']}: {fault}")
+            found.append({field: rater[field] for field in RATER_FIELDS} | {"prompt_batch_size": int(rater["prompt_batch_size"])})
+    return found
 
 
 def rater_dimension(spark: SparkSession, config: Mapping | str) -> DataFrame:

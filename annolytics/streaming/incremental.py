@@ -45,7 +45,7 @@ def compact_rollup(spark: SparkSession, state: str, target: str, keys: Sequence[
     read_rollup(spark, state, keys).write.mode("overwrite").parquet(f"{target}/parts/batch=-1")
 
 
-PREFIX_DIGITS = 3  # 4,096 folders of results; more digits for a longer history
+PREFIX_DIGITS = 2  # 256 folders of results; more digits for a longer history
 
 
 def earlier_answers(spark: SparkSession, results: str, prefixes: Sequence[str], batch_id: int) -> DataFrame | None:
