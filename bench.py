@@ -21,6 +21,8 @@ HEADLINE = (
     "k1_bag_of_words", "k3_k5_topic_labels", "i2_two_parameter_model", "z1_incremental_rollup",
 )
 
+LONG = 60.0  # seconds beyond which a query is timed once
+
 
 def main() -> None:
     spark = get_session(
@@ -33,6 +35,9 @@ def main() -> None:
     cold, warm = {}, {}
     for times in (cold, warm):  # the first pass pays for code generation and cold files
         for name in HEADLINE:
+            if cold.get(name, 0.0) > LONG:  # what the first pass pays extra is little beside that
+                warm[name] = cold[name]
+                continue
             start = time.perf_counter()
             PLANS[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - start, 3)
