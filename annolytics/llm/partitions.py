@@ -12,8 +12,8 @@
 The number of parts follows the number of vectors up to ``PARTS``, which the sample bounds.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; repeated ids are separate candidates with equal ids, and a query passes over its own id; queries with fewer
-candidates than asked for get all that their parts hold, and all there are in tables small enough for one part; an
+part; rows of a repeated id are separate candidates and separate queries, and a query passes over its own row only, so an
+id asked for on several rows has ranks for each of them; queries with fewer candidates than asked for get all that their parts hold, and all there are in tables small enough for one part; an
 empty table gives no rows; extra columns are not read.
 """
 
@@ -188,10 +188,11 @@ def search(
             z = sent.value.scores(units(x / np.abs(x).max(axis=1, keepdims=True))) if router else np.zeros((len(x), 1))
             order = np.argsort(-z, axis=1, kind="stable")[:, :tries]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(order.tolist(), pa.list_(pa.int32()))], names=["id", "v", "q", "parts"]
+                [*batch.columns, pa.array(order.tolist(), pa.list_(pa.int32()))], names=["id", "v", "q", "row", "parts"]
             )
 
-    placed = materialize(rows.mapInArrow(route, f"id {kind}, v array<double>, q boolean, parts array<int>"), "placed")
+    marked = rows.withColumn("row", F.monotonically_increasing_id())
+    placed = materialize(marked.mapInArrow(route, f"id {kind}, v array<double>, q boolean, row long, parts array<int>"), "placed")
     own = F.col("parts")[0]
     sizes = placed.groupBy(own.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a part
     asked = placed.where("q").select(F.explode("parts").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -201,24 +202,24 @@ def search(
     turn = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), n).cast("int")
     none = F.array().cast("array<int>")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
-    vectors = placed.select("id", "v", own.alias("part"), F.lit(False).alias("asks")).withColumns({
+    vectors = placed.select("id", "row", "v", own.alias("part"), F.lit(False).alias("asks")).withColumns({
         "cell": turn(table(cells, F.col("part"))), "pile": F.explode(upto(table(piles, F.col("part")))),
     })
-    probing = placed.where("q").select("id", "v", F.explode("parts").alias("part"), F.lit(True).alias("asks")).withColumns({
+    probing = placed.where("q").select("id", "row", "v", F.explode("parts").alias("part"), F.lit(True).alias("asks")).withColumns({
         "pile": turn(table(piles, F.col("part"))), "cell": F.explode(upto(table(cells, F.col("part")))),
     })
 
     def compare(table):
         asks = table.column("asks").to_numpy()
-        ids = table.column("id").to_numpy()
+        ids, rows = table.column("id").to_numpy(), table.column("row").to_numpy()
         v = np.array(table.column("v").to_pylist(), float).reshape(len(ids), -1)
         scaled = v / np.abs(v).max(axis=1, keepdims=True)
         unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-        out = ([], [], [])
+        out = ([], [], [], [])
         theirs, mine = unit[~asks], unit[asks]
         if len(theirs) and len(mine):
             rough = mine @ theirs.T
-            rough[ids[asks][:, None] == ids[~asks][None, :]] = -np.inf
+            rough[rows[asks][:, None] == rows[~asks][None, :]] = -np.inf
             keep = min(k, len(theirs))
             floor = np.partition(rough, len(theirs) - keep, axis=1)[:, len(theirs) - keep]
             for i, query in enumerate(ids[asks].tolist()):
@@ -228,12 +229,13 @@ def search(
                 out[0].extend([query] * len(best))
                 out[1].extend(ids[~asks][near][best].tolist())
                 out[2].extend(score[best].tolist())
-        return pa.table({"query_id": pa.array(out[0], table.schema.field("id").type), "vec_id": pa.array(out[1], table.schema.field("id").type), "score": pa.array(out[2], pa.float64())})
+                out[3].extend([rows[asks][i]] * len(best))
+        return pa.table({"query_id": pa.array(out[0], table.schema.field("id").type), "vec_id": pa.array(out[1], table.schema.field("id").type), "score": pa.array(out[2], pa.float64()), "row": pa.array(out[3], pa.int64())})
 
     found = vectors.unionByName(probing).groupBy("part", "cell", "pile").applyInArrow(
-        lambda t: compare(t), f"query_id {kind}, vec_id {kind}, score double"
+        lambda t: compare(t), f"query_id {kind}, vec_id {kind}, score double, row long"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

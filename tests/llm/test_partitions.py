@@ -70,3 +70,10 @@ def test_recall_with_many_parts(spark, monkeypatch):
 def test_query_is_exact_on_small_tables(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     assert same(result(QUERIES["op8_learned_partitions"](spark, SMALL)), brute(rows, lambda q: q % 50 == 0))
+
+
+def test_rows_of_a_repeated_id_are_queries_and_candidates_of_their_own(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = partitions.search(df, F.col("vec_id") % 50 == 0, k=5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == [(50, 1, 50, 1.0)] * 2 + [(50, 2, 3, 0.0)] * 2
