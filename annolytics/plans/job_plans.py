@@ -240,8 +240,8 @@ def _(t: Tables) -> DataFrame:
 
 
 def _stream(t: Tables, name: str) -> DataFrame:
-    schema = t.raw(name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+    """A table as a stream; the braces make its path a pattern, which may be one file or a folder of parts."""
+    return t.spark.readStream.schema(t.raw(name).schema).parquet(f"{t.folder}/{{{name}}}.parquet")
 
 
 @plan("z1_incremental_rollup", "Z1 A1", sql("chart", """

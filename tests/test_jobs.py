@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import shutil
 import sys
 
 import pytest
@@ -221,3 +222,20 @@ def test_session_helpers(spark):
     small, big = spark.range(5), spark.range(50)
     assert "hint" in broadcast_if_small(small, 10)._jdf.queryExecution().logical().toString().lower()
     assert "hint" not in broadcast_if_small(big, 10)._jdf.queryExecution().logical().toString().lower()
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_streamed_plans_read_files_and_folders(spark, tmp_path, parts):
+    """A table is one file, or a folder of part files as Spark writes it."""
+    from annolytics.plans.all import PLANS
+
+    for name in ("documents", "lineitem"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        target = tmp_path / f"{name}.parquet"
+        if parts:
+            rows.repartition(parts).write.parquet(str(target))
+        else:
+            shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", target)
+    for plan in ("z1_incremental_rollup", "z2_incremental_annotation"):
+        got = PLANS[plan](spark, str(tmp_path)).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, PLANS[plan](spark, "/root/testdata/sf0.001").collect())) and got
