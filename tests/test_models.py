@@ -162,6 +162,29 @@ def test_linkage_finds_every_best_entry(spark, distance, first, tile):
     assert got == {k: (pytest.approx(s), i) for k, (s, i) in want.items()} and len(want) > (20 if distance else 0)
 
 
+@pytest.mark.parametrize("sizes", [(1, 3), (7, 2), (40, 1000)])
+def test_linkage_compares_blocks_of_like_length_once(spark, sizes):
+    """Beyond short distances no segments are indexed; blocks of any size give the same as all pairs, long texts included."""
+    draw = random.Random(sizes[0])
+    titles = ["".join(draw.choices("abcde \u00e9\U0001F600", k=draw.choice((1, 9, 10, 63, 64, 65, 70, 128, 129, 300)))) for _ in range(60)]
+    keys = [mistyped(draw, draw.choice(titles), draw.randrange(25)) for _ in range(60)]
+    records, catalogue = keyed(spark, [(k,) for k in keys], "key string"), keyed(spark, [(t, i) for i, t in enumerate(titles)], "key string, cand_id int")
+    best = linkage.best_matches(records, catalogue, 0.35, sizes=sizes)
+    got = {r.key: (r.match_score, r.cand_id) for r in best.collect()}
+    assert got == {k: (pytest.approx(s), i) for k, (s, i) in best_by_brute_force(keys, [(t, i) for i, t in enumerate(titles)], 0.35).items()} and len(got) > 30
+
+
+def test_linkage_work_per_pair_is_bounded(spark):
+    """Texts of two letters share nearly every short segment: each pair is still compared once and a record gives one row."""
+    draw = random.Random(4)
+    text = lambda: "".join(draw.choices("ab", k=60))
+    records, catalogue = keyed(spark, [(text(),) for _ in range(300)], "key string"), keyed(spark, [(text(), i) for i in range(300)], "key string, cand_id long")
+    bands = linkage._length_bands(records), linkage._length_bands(catalogue)
+    rows = linkage.compared(records, catalogue, 0.35, bands, (100, 100))
+    deals = linkage._dealt(records, linkage._blocks(bands[0], 100), linkage._blocks(bands[1], 100), 0.35, "_r", "_e")
+    assert deals.count() == 300 * 3 and rows.count() == records.distinct().count()
+
+
 def test_linkage_with_both_ends_mistyped(spark):
     """Sorted neighbours see neither end; the segment index does."""
     draw = random.Random(8)
