@@ -170,9 +170,14 @@ def places(
     row beyond its readings, in a table that is no mixture of distinct rows, has no place (null).
     """
     marked = _marked(df, id_column, source_column)
-    same = Window.partitionBy("_row", "_row2")
     distinct = marked.select("_id", "_source", "_row", "_row2").dropDuplicates(["_row", "_row2"])
     plan = _plan_of(distinct, weights, **options)
-    plan = plan.withColumn("_n", F.row_number().over(same.orderBy("_slot", "_within")))
-    counted = marked.withColumn("_n", F.row_number().over(same.orderBy("_row")))
-    return counted.join(plan, ["_row", "_row2", "_n"], "left").select("_doc.*", F.col("_slot").alias(slot), F.col("_within").alias(within))
+    # rows and places go to the tasks together, by the name of the row, and meet there: a join would move the texts twice
+    kind = marked.schema["_doc"].dataType
+    both = marked.select("_row", "_row2", F.lit(True).alias("_is_row"), "_doc", F.lit(None).cast("long").alias("_slot"), F.lit(None).cast("long").alias("_within"))
+    both = both.unionByName(plan.select("_row", "_row2", F.lit(False).alias("_is_row"), F.lit(None).cast(kind).alias("_doc"), "_slot", F.col("_within").cast("long")))
+    nth = F.row_number().over(Window.partitionBy("_row", "_row2", "_is_row").orderBy("_slot", "_within"))
+    both = both.repartition("_row", "_row2").withColumn("_n", nth)
+    met = Window.partitionBy("_row", "_row2", "_n")  # one row, one place, or both
+    placed = both.withColumns({"_slot": F.max("_slot").over(met), "_within": F.max("_within").over(met)}).where("_is_row")
+    return placed.select("_doc.*", F.col("_slot").alias(slot), F.col("_within").alias(within))

@@ -95,6 +95,9 @@ def test_places_survive_many_files_in_any_order(spark, tmp_path):
     assert sorted((r.slot, r.within, r.doc_id) for r in placed.collect()) == want
     more = mixing.places(stored.unionByName(stored.limit(1)), weights, block=4, period=100)
     assert more.count() == len(want) + 1 and more.where("slot is null").count() == 1
+    again = mixing.places(stored, weights, block=4, period=100)
+    moves = [line for line in again._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(_row" in line]
+    assert len(moves) == 1  # texts are shuffled once
 
 
 def test_no_python_in_the_plan(spark):
