@@ -312,3 +312,20 @@ def test_words_keep_inner_dashes_and_lose_typographic_marks(spark):
     docs = spark.createDataFrame([(1, "La-la-la \u2018played\u2019 -- well\u2014known 42nd rock-'n'-roll- -x ok!")], "id int, body string")
     bag = {r.term: r.n for r in topics.bag_of_words(docs, "id", "body").collect()}
     assert bag == {"la-la-la": 1, "play": 1, "wellknown": 1, "rock-n-rol": 1}
+
+
+def test_bag_of_words_meets_rows_of_one_document(spark):
+    """Rows of one id, null ids and null texts; words never leave the task that read them, so no exchange has a word."""
+    rows = [(1, "Running cats, the cat"), (1, "cat runs"), (2, None), (None, "cats cats"), (3, "")]
+    docs = spark.createDataFrame(rows, "id long, body string")
+    bag = topics.bag_of_words(docs, "id", "body", ["the"])
+    assert {(r.id, r.term): r.n for r in bag.collect()} == {(1, "run"): 2, (1, "cat"): 3, (None, "cat"): 2}
+    plan = bag._jdf.queryExecution().executedPlan().toString()
+    assert "term#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_grams_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b"), (2, "a")], "id long, body string")
+    grams = lexicon.grams(docs, "id", "body")
+    assert sorted(tuple(r) for r in grams.collect()) == [(1, 1, "b", 1), (1, 3, "a", 2), (1, 3, "b", 1), (2, 1, "a", 1)]
+    assert "term" not in "".join(x for x in grams._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
