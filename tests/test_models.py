@@ -329,3 +329,21 @@ def test_grams_are_not_shuffled(spark):
     grams = lexicon.grams(docs, "id", "body")
     assert sorted(tuple(r) for r in grams.collect()) == [(1, 1, "b", 1), (1, 3, "a", 2), (1, 3, "b", 1), (2, 1, "a", 1)]
     assert "term" not in "".join(x for x in grams._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+
+
+def test_passes_leave_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    bag = spark.createDataFrame([(d, f"w{(d * j) % 7}", j) for d in range(20) for j in (1, 2, 3)], "id int, term string, n int").groupBy("id", "term").agg(F.sum("n").alias("n"))
+    corpus, before = topics.corpus(bag, "id"), spark.conf.get(name)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> set[str]:
+        found = disk.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    added = []
+    for passes in (1, 4):
+        start = files()
+        topics.fit(corpus, 2, passes, tolerance=0.0)
+        added.append(len(files() - start))
+    assert added[1] <= added[0] and spark.conf.get(name) == before
