@@ -362,7 +362,11 @@ def _(t: Tables) -> DataFrame:
     keyed = keyed.select("doc_id", "source", text.join_key(F.col("title")).alias("title_key"))
     known = known_items(t)
     same_title = keyed.join(known.select("title_key").distinct(), "title_key", "left_semi")
-    other = same_title.join(known, ["source", "title_key"], "left_anti")
+    # as NOT IN decides: what an unknown source or title could be equal to is left out
+    other = same_title.where(F.col("source").isNotNull()).join(known, ["source", "title_key"], "left_anti")
+    other = other.join(known.where(F.col("title_key").isNull()), "source", "left_anti")
+    nameless = F.broadcast(known.where(F.col("source").isNull()).select(F.col("title_key").alias("_k")))  # one row at most
+    other = other.join(nameless, F.col("_k").isNull() | (F.col("_k") == F.col("title_key")), "left_anti")
     votes = t.ratings().groupBy("doc_id").agg(F.count_if("about").alias("votes"))
     return other.join(votes, "doc_id").select("doc_id", "source", "votes")
 

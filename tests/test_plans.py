@@ -5,6 +5,7 @@ import oracle
 import pytest
 from annolytics.plans.all import PLANS
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 SURVEY_IDS = (
     [f"S{i}" for i in range(1, 12)] + [f"P{i}" for i in range(1, 15)] + [f"T{i}" for i in range(1, 14)]
@@ -39,3 +40,24 @@ def test_every_inventory_id_is_covered():
 def test_driver_contract(spark):
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def with_documents(folder, docs) -> str:
+    """The smallest tables, but for their documents."""
+    for name in oracle.TABLES:
+        if name != "documents":
+            (folder / f"{name}.parquet").symlink_to(f"{SMALL}/{name}.parquet")
+    docs.toPandas().to_parquet(folder / "documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("titled", [True, False])
+def test_variant_items_of_unknown_sources_and_titles_equal_sql(spark, tmp_path, titled):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    source = F.when(F.col("doc_id") % 5 == 2, None).otherwise(F.col("source"))
+    text = F.when(F.col("doc_id").isin(5, 16) | ((F.col("doc_id") == 2) & F.lit(not titled)), None).otherwise(F.col("text"))
+    folder = with_documents(tmp_path, docs.withColumns({"source": source, "text": text}))
+    plan = PLANS["g17_variant_items"]
+    assert oracle.compare(plan(spark, folder), oracle.connect(folder), plan.sql) == []
+
+
