@@ -61,3 +61,17 @@ def test_variant_items_of_unknown_sources_and_titles_equal_sql(spark, tmp_path,
     assert oracle.compare(plan(spark, folder), oracle.connect(folder), plan.sql) == []
 
 
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Some empty and some null texts, of labelled documents too."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    text = F.when(F.col("doc_id") % 7 == 3, "").when(F.col("doc_id") % 11 == 5, None).otherwise(F.col("text"))
+    return with_documents(tmp_path_factory.mktemp("odd"), docs.withColumn("text", text))
+
+
+ON_RATINGS = [n for n, p in PLANS.items() if p.sql and "raw_ratings AS" in p.sql]
+
+
+@pytest.mark.parametrize("name", ON_RATINGS)
+def test_plan_on_ratings_of_empty_texts_equals_sql(spark, odd, name):
+    assert oracle.compare(PLANS[name](spark, odd), oracle.connect(odd), PLANS[name].sql) == []
