@@ -12,8 +12,11 @@ The distinct n-grams of a text are its tokens, named by 64-bit hashes; equal set
    frequent token joins one of ``GROUPS`` groups, of which pairs are the keys. A group holding g prefix tokens must lose
    g - 1 of them before no pair is left, so the prefix is extended until its tokens, less one for each group begun,
    exceed ``misses(n)``. Whichever of two linked texts has the shorter prefix shares a key with the other.
-3. Classes of like size that share a key form families (components over a star for each key). Families are
-   cut in blocks of about ``BLOCK`` classes of like size; each pair of blocks that could link is one group that intersects its sets by matrix
+   Prefixes of rare tokens are ``SURE`` - 1 tokens longer than that, so two of them share as many keys as ``SURE``.
+3. The hub of a key is the least of its classes by hash, and the home of a class the hub of most of its keys. The classes
+   of a home and of like size are cut in blocks of about ``BLOCK``; blocks of one home meet. A class meets a block of
+   another home only if they share as many keys as linked texts must, so texts with a few tokens in common by chance do
+   not meet, however long the chains they form. Each pair of blocks is one group that intersects its sets by matrix
    products, and returns for each class its number of links and the class it is linked to. No pair becomes a row.
 4. Components over these links; the smallest id names each.
 
@@ -43,6 +46,7 @@ from annolytics.session import discard, materialize
 FREQUENT_SHARE, FREQUENT_LEAST = 1 / 1000, 64
 GROUPS = np.uint64(8)
 BLOCK = 256
+SURE = 8
 #: The counted part of the hash space is the share of tokens that may miss and this much more, which leaves room for
 #: the chance in hashing; sets up to a size are counted whole.
 COUNTED_MORE, SHORT = 0.1, 64
@@ -103,17 +107,22 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nd
     A set so small that its groups could use its tokens up has all its tokens as keys. One that could link with such a
     set has them too, beside its prefix keys, by which it meets larger sets.
     """
+    return sure_keys(tokens, frequent, percent)[0]
+
+
+def sure_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of one set, and a number: two linked sets share as many keys as the smaller of their numbers says."""
     need = misses(len(tokens), percent) + 1
     if len(tokens) <= scarce_set(percent):
-        return tokens
+        return tokens, min(SURE, len(tokens) - need + 1)
     single = tokens[: len(tokens) if len(tokens) <= small_set(percent) else 0]
     if len(frequent):
         often = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
     else:
         often = np.zeros(len(tokens), bool)
-    rare = tokens[~often][:need]
-    if len(rare) == need:
-        return single if len(single) else rare
+    rare = tokens[~often][: need + SURE - 1]
+    if len(rare) >= need:
+        return single if len(single) else rare, len(rare) - need + 1
     rest = tokens[often]
     group = rest % GROUPS
     begun = np.zeros(len(rest), bool)
@@ -126,7 +135,7 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nd
         own = rest[group == g]
         i, j = np.triu_indices(len(own), 1)
         pairs.append(mixed(own[i] * ODD + own[j]))
-    return np.concatenate([single if len(single) else rare, *pairs])
+    return np.concatenate([single if len(single) else rare, *pairs]), 1
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -234,13 +243,14 @@ def _open_sets(texts: DataFrame, still: DataFrame, frequent: np.ndarray, words:
         shingles, often = Shingles(words), sent.value
         for batch in slices(batches):
             sets = [shingles.of(t) for t in column_of(batch, "text")]
-            keys = [prefix_keys(s, often, percent).view(np.int64) for s in sets]
+            keys, sure = zip(*[sure_keys(s, often, percent) for s in sets])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([class_of(s) for s in sets], pa.binary()), lists(keys), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["class", "keys", "tokens"],
+                [pa.array([class_of(s) for s in sets], pa.binary()), lists([k.view(np.int64) for k in keys]),
+                 pa.array(sure, pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["class", "keys", "sure", "tokens"],
             )
 
-    return kept.select("text").mapInArrow(run, "class binary, keys array<long>, tokens binary")
+    return kept.select("text").mapInArrow(run, "class binary, keys array<long>, sure int, tokens binary")
 
 
 def band_of(size: Column, percent: int) -> Column:
@@ -248,45 +258,82 @@ def band_of(size: Column, percent: int) -> Column:
     return F.floor(F.log(size) / -math.log(percent / 100) + 1e-9).cast("int")
 
 
-def _tiles(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within families: ``class, to, links`` for each class and pair of blocks it is in.
+PLACE = "struct<home:long,band:int,block:int>"
+PAIRS = f"array<struct<a:{PLACE},b:{PLACE}>>"
+
+
+def _homes(held: DataFrame) -> DataFrame:
+    """``class, home, band, block`` and more of each class in ``held`` (class, band, sure, key, hub).
 
-    A block holds classes of one family and band; it meets the blocks of its own band and of the two beside it.
+    ``blocks`` counts the blocks of its home and band, ``above`` and ``below`` those of the bands beside; ``weak`` is the
+    least number of keys that some class of its home and band surely shares.
     """
-    sizes = family.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    by_band = Window.partitionBy("root").orderBy("band")
+    most = F.max_by("hub", F.struct("n", "hub")).alias("home")
+    counted = held.groupBy("class", "band", "sure", "hub").agg(F.count(F.lit(1)).alias("n"))
+    homes = materialize(counted.groupBy("class", "band", "sure").agg(most), "homes")
+    sizes = homes.groupBy("home", "band").agg(
+        F.count(F.lit(1)).alias("members"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("sure").alias("weak")
+    )
+    by_band = Window.partitionBy("home").orderBy("band")
     beside = lambda f, step: F.when(f("band").over(by_band) == F.col("band") + step, f("blocks").over(by_band)).otherwise(0)
     sizes = sizes.withColumns({"above": beside(F.lead, 1), "below": beside(F.lag, -1)})
-    counted = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    tile = lambda g, i, h, j: F.struct(g.alias("g"), i.alias("i"), h.alias("h"), j.alias("j"))
-    band, own = F.col("band"), F.col("block")
-    member = (
-        family.join(sizes, ["root", "band"])
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(sets.select(F.col("class").alias("node"), "tokens"), "node")
-        .withColumn("tile", F.explode(F.concat(
-            F.transform(counted("blocks"), lambda q: tile(band, F.least(own, q), band, F.greatest(own, q))),
-            F.transform(counted("above"), lambda q: tile(band, own, band + 1, q)),
-            F.transform(counted("below"), lambda q: tile(band - 1, q, band, own)),
-        )))
-        .select("root", "tile", (band * 65536 + own).alias("block"), "node", "copies", "tokens")
+    blocks = materialize(
+        homes.join(sizes, ["home", "band"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "blocks"
     )
+    discard(homes)
+    return blocks
+
+
+def _meetings(held: DataFrame) -> DataFrame:
+    """``class, first, tile``: the pairs of blocks each class is in, and whether it stands in the first of the two.
+
+    A block meets the blocks of its own home and band and of the two bands beside. A class meets a block of another home
+    if they share keys enough; only keys that some class has without being at home with their hub can be shared like that.
+    """
+    homes = _homes(held)
+    counted = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda band, block: F.struct(F.col("home").alias("home"), band.alias("band"), block.alias("block"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    band, own = F.col("band"), place(F.col("band"), F.col("block")).alias("own")
+    same = F.when(F.col("members") > 1, F.transform(counted("blocks"), lambda q: pair(own, place(band, q))))
+    inside = homes.select("class", own, F.explode(F.concat(
+        F.coalesce(same, F.array().cast(PAIRS)),
+        F.transform(counted("above"), lambda q: pair(own, place(band + 1, q))),
+        F.transform(counted("below"), lambda q: pair(own, place(band - 1, q))),
+    )).alias("tile"))
+
+    strange = held.join(homes.select("class", "home"), "class").where("hub != home").select("key").distinct()
+    placed = held.select("class", "key").join(strange, "key", "left_semi").join(homes.select("class", "sure", "weak", own), "class")
+    placed = materialize(placed, "placed")
+    reached = placed.groupBy("key").agg(F.collect_set(F.struct("own", "weak")).alias("reached")).where("size(reached) > 1")
+    other = lambda q: (q["own"]["home"] != F.col("own.home")) & (F.abs(q["own"]["band"] - F.col("own.band")) <= 1)
+    met = placed.join(reached, "key").select("class", "own", "sure", F.explode(F.filter("reached", other)).alias("q"))
+    across = met.groupBy("class", "own", "sure", "q").agg(F.count(F.lit(1)).alias("n")).where("n >= least(sure, q.weak)")
+    across = across.select("class", "own", pair(F.col("own"), F.col("q.own")).alias("tile"))
+    rows = materialize(inside.unionByName(across).select("class", (F.col("own") == F.col("tile.a")).alias("first"), "tile"), "meetings")
+    discard(homes, placed)
+    return rows
+
+
+def _tiles(meetings: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the classes that meet: ``class, to, links`` for each class and pair of blocks it is in."""
+    member = meetings.join(sets.select("class", "tokens"), "class").join(found.select("class", "copies"), "class")
 
     def run(key, table):
-        rows = {r["node"]: r for r in table.to_pylist()}  # a class may come twice where whole rows are repeated
+        rows = {r["class"]: r for r in table.to_pylist()}  # a class may come twice where whole rows are repeated
         nodes = list(rows)
         links = linked([np.frombuffer(rows[n]["tokens"], np.uint64) for n in nodes], percent)
-        block = np.array([rows[n]["block"] for n in nodes])
-        g, i, h, j = key[1].as_py().values()
-        if (g, i) != (h, j):
-            links &= block[:, None] != block[None, :]
+        tile = key[0].as_py()
+        if tile["a"] != tile["b"]:
+            first = np.array([rows[n]["first"] for n in nodes])
+            links &= first[:, None] != first[None, :]
         copies = np.array([rows[n]["copies"] for n in nodes], np.int64)
         return pa.table(
             {"class": pa.array(nodes, pa.binary()), "to": pa.array([nodes[i] for i in labels_of(links)], pa.binary()),
              "links": pa.array(links @ copies, pa.int64())}
         )
 
-    return member.groupBy("root", "tile").applyInArrow(run, "class binary, to binary, links long")
+    return member.groupBy("tile").applyInArrow(run, "class binary, to binary, links long")
 
 
 def classes(
@@ -315,18 +362,13 @@ def classes(
         F.coalesce("own", F.lit(0)) <= F.floor(F.col("n") * (100 - percent) / 100)
     )
     sets = materialize(_open_sets(texts, still, often, words, percent), "open")
-    band = band_of(F.length("tokens") / 8, percent)  # a key is taken once for each two bands
-    keys = sets.select("class", F.explode(F.array(band, band - 1)).alias("band"), "keys").select("class", "band", F.explode("keys").alias("key"))
-    hubs = materialize(
-        keys.groupBy("key", "band").agg(F.min("class").alias("hub"), F.max("class").alias("top")).where("hub != top")
-        .select("key", "band", "hub"), "hubs",
-    )
-    family = components(keys.join(hubs, ["key", "band"]).select(F.col("class").alias("a"), F.col("hub").alias("b")))
-    family = family.join(
-        found.select(F.col("class").alias("node"), "copies", band_of(F.col("n"), percent).alias("band")), "node"
-    )
-    tiles = materialize(_tiles(family, sets, percent), "tiles")
-    discard(tallied, hubs, sets)
+    keys = sets.select("class", band_of(F.length("tokens") / 8, percent).alias("band"), "sure", F.explode("keys").alias("key"))
+    hubs = keys.groupBy("key").agg(F.min(F.xxhash64("class")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    held = materialize(keys.join(hubs, "key"), "held")
+    meetings = _meetings(held)
+    discard(tallied, held)
+    tiles = materialize(_tiles(meetings, found, sets, percent), "tiles")
+    discard(meetings, sets)
     joined = components(tiles.select(F.col("class").alias("a"), F.col("to").alias("b")))
     links = tiles.groupBy("class").agg(F.sum("links").alias("others"))
     named = materialize(

@@ -145,3 +145,45 @@ def test_one_of_each_keeps_columns_that_clash(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _th int, _row int")
     kept = ngram_join.one_of_each(df)
     assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2], rows[3]]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_linked_sets_share_as_many_keys_as_they_say(percent):
+    rng = np.random.default_rng(percent)
+    most = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 200))
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        lose, gain = int(rng.integers(0, n // 8 + 2)), int(rng.integers(0, n // 8 + 2))
+        b = np.unique(np.append(a[lose:], rng.integers(0, 1 << 63, gain).astype(np.uint64)))
+        a = np.unique(a)
+        often = np.unique(rng.choice(a, int(rng.integers(0, n + 1))))
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= percent * (len(a) + len(b) - both):
+            (x, m), (y, n) = (ngram_join.sure_keys(s, often, percent) for s in (a, b))
+            assert len(np.intersect1d(x, y)) >= min(m, n) >= 1
+            most = max(most, min(m, n))
+    assert most == ngram_join.SURE
+
+
+def test_chains_of_chance_do_not_multiply_sets(spark, monkeypatch):
+    """120 pairs of copies, each pair with one shingle of the next: 240 sets, of which a block holds five."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    sent = []
+
+    def counted(links):
+        sent.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    texts = []
+    for i in range(120):
+        base = [f"a{i}w{j}" for j in range(100)]
+        base[40:43] = [f"s{i}a", f"s{i}b", f"s{i}c"]
+        base[60:63] = [f"s{i + 1}a", f"s{i + 1}b", f"s{i + 1}c"]
+        texts += [" ".join(base), " ".join([*base, "end"])]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = result(ngram_join.join(df))
+    assert found == sorted(((i, 98 + i % 2, i - i % 2, 1) for i, _ in rows), key=str)
+    assert sent[-1] == 240  # a row for each set that a group of two blocks gets
