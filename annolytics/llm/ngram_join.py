@@ -14,9 +14,9 @@ The distinct n-grams of a text are its tokens, named by 64-bit hashes; equal set
    exceed ``misses(n)``. Whichever of two linked texts has the shorter prefix shares a key with the other.
    Prefixes of rare tokens are ``SURE`` - 1 tokens longer than that, so two of them share as many keys as ``SURE``.
 3. The hub of a key is the least of its classes by hash, and the home of a class the hub of most of its keys. The classes
-   of a home and of like size are cut in blocks of about ``BLOCK``; blocks of one home meet. A class meets a block of
-   another home only if they share as many keys as linked texts must, so texts with a few tokens in common by chance do
-   not meet, however long the chains they form. Each pair of blocks is one group that intersects its sets by matrix
+   of a home and of like size are cut in blocks of about ``BLOCK``; blocks of one home meet. A class meets a
+   larger block of another home only if they share as many keys as linked texts must, so texts with a few tokens in common
+   by chance do not meet, however long the chains they form. Each pair of blocks is one group that intersects its sets by matrix
    products, and returns for each class its number of links and the class it is linked to. No pair becomes a row.
 4. Components over these links; the smallest id names each.
 
@@ -287,8 +287,9 @@ def _homes(held: DataFrame) -> DataFrame:
 def _meetings(held: DataFrame) -> DataFrame:
     """``class, first, tile``: the pairs of blocks each class is in, and whether it stands in the first of the two.
 
-    A block meets the blocks of its own home and band and of the two bands beside. A class meets a block of another home
-    if they share keys enough; only keys that some class has without being at home with their hub can be shared like that.
+    A block meets the blocks of its own home and band and of the two bands beside. Of two blocks of different homes, the
+    classes of the smaller one that share keys enough with the larger one meet all of it, so a large group is not counted
+    class by class. Only keys that some class has without being at home with their hub can be shared like that.
     """
     homes = _homes(held)
     counted = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
@@ -303,21 +304,26 @@ def _meetings(held: DataFrame) -> DataFrame:
     )).alias("tile"))
 
     strange = held.join(homes.select("class", "home"), "class").where("hub != home").select("key").distinct()
-    placed = held.select("class", "key").join(strange, "key", "left_semi").join(homes.select("class", "sure", "weak", own), "class")
+    placed = held.select("class", "key").join(strange, "key", "left_semi").join(homes.select("class", "sure", "weak", "members", own), "class")
     placed = materialize(placed, "placed")
-    reached = placed.groupBy("key").agg(F.collect_set(F.struct("own", "weak")).alias("reached")).where("size(reached) > 1")
-    other = lambda q: (q["own"]["home"] != F.col("own.home")) & (F.abs(q["own"]["band"] - F.col("own.band")) <= 1)
-    met = placed.join(reached, "key").select("class", "own", "sure", F.explode(F.filter("reached", other)).alias("q"))
-    across = met.groupBy("class", "own", "sure", "q").agg(F.count(F.lit(1)).alias("n")).where("n >= least(sure, q.weak)")
-    across = across.select("class", "own", pair(F.col("own"), F.col("q.own")).alias("tile"))
-    rows = materialize(inside.unionByName(across).select("class", (F.col("own") == F.col("tile.a")).alias("first"), "tile"), "meetings")
-    discard(homes, placed)
+    larger = placed.groupBy("key").agg(F.collect_set(F.struct("members", "own", "weak")).alias("q")).where("size(q) > 1")
+    other = lambda q: (
+        (q["own"]["home"] != F.col("own.home")) & (F.abs(q["own"]["band"] - F.col("own.band")) <= 1)
+        & (F.struct(q["members"], q["own"]) > F.struct("members", "own"))
+    )
+    met = placed.join(larger, "key").select("class", "own", "sure", F.explode(F.filter("q", other)).alias("q"))
+    met = met.groupBy("class", "own", "sure", "q").agg(F.count(F.lit(1)).alias("n")).where("n >= least(sure, q.weak)")
+    met = materialize(met.select("class", "own", F.col("q.own").alias("other"), pair(F.col("own"), F.col("q.own")).alias("tile")), "met")
+    whole = homes.select("class", own).join(met.select(F.col("other").alias("own"), "tile").distinct(), "own")
+    rows = inside.unionByName(met.drop("other")).unionByName(whole.select("class", "own", "tile"))
+    rows = materialize(rows.select("class", (F.col("own") == F.col("tile.a")).alias("first"), "tile"), "meetings")
+    discard(homes, placed, met)
     return rows
 
 
 def _tiles(meetings: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the classes that meet: ``class, to, links`` for each class and pair of blocks it is in."""
-    member = meetings.join(sets.select("class", "tokens"), "class").join(found.select("class", "copies"), "class")
+    member = meetings.join(sets.select("class", "tokens").join(found.select("class", "copies"), "class"), "class")
 
     def run(key, table):
         rows = {r["class"]: r for r in table.to_pylist()}  # a class may come twice where whole rows are repeated
@@ -399,11 +405,10 @@ def one_of_each(
     """The rows of ``df`` without near copies: of each component the row with the smallest id; wordless rows stay."""
     _, named = classes(df, id_column, text_column, words=words, percent=percent)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class", "th")
-    first = named.where("n > 0").groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("_d"), F.col("r.th").alias("_h"))
-    # the caller's columns travel as one, so that none of them can clash
+    first = named.where("n > 0").groupBy("root").agg(F.min(rank).alias("r")).select(F.struct("r.doc_id").alias("_id"), F.col("r.th").alias("_th"))
+    # the caller's columns travel as one, so that none of them can clash; ids in a struct are equal where both are null, and
+    # the copies of a row are where the join left it
     text = text_or_empty(text_column)
-    marked = df.select(F.struct(*df.columns).alias("_row"), F.col(id_column).alias("_id"), F.xxhash64(text).alias("_th"), text.rlike(r"[^\x20\x09-\x0D]").alias("_worded"))
-    kept = marked.where("_worded").join(
-        first.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_semi"
-    ).dropDuplicates(["_id", "_th"])
+    marked = df.select(F.struct(*df.columns).alias("_row"), F.struct(F.col(id_column).alias("doc_id")).alias("_id"), F.xxhash64(text).alias("_th"), text.rlike(r"[^\x20\x09-\x0D]").alias("_worded"))
+    kept = marked.where("_worded").join(first.hint("shuffle_hash"), ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"])
     return kept.unionByName(marked.where("not _worded")).select("_row.*")
